@@ -23,7 +23,8 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
     """A session for tests and benches; clusters bring their own and only need SETTINGS."""
     b = (SparkSession.builder.master(f"local[{cores}]").appName("rillwave")
          .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-         .config("spark.driver.memory", "8g").config("spark.ui.enabled", "false"))
+         .config("spark.driver.memory", "8g").config("spark.ui.enabled", "false")
+         .config("spark.ui.showConsoleProgress", "false"))
     for k, v in SETTINGS.items():
         b = b.config(k, v)
     return ship(b.getOrCreate())
