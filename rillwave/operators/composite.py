@@ -6,7 +6,6 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.scalars import clip
 from ..model import (BASELINE_CONTEXTS, FULL_CALIBRATION_S, RDI_COMPONENTS, SCORING_CONTEXTS, SOI_COMPONENTS,
                      GuardError)
 from .quality import finite
@@ -41,28 +40,37 @@ def fit_calibrations(epochs: DataFrame, context: str = "awake_personal_baseline"
         aggs += [F.avg(v).alias(f"_{c}_mean"), F.stddev_samp(v).alias(f"_{c}_sd"), F.count(v).alias(f"_{c}_n")]
     stats = rows.groupBy("subject_id").agg(*aggs)
     length = union_duration(rows.where(times), "subject_id", "time_s", "epoch_end_s")
-    problems = [F.when(F.col("n") < 3, "fewer than three baseline epochs"),
-                F.when(F.col("_ctx") > 0, "baseline context is not a documented awake one"),
-                F.when(F.col("_times") > 0, "epoch times must be finite with positive duration")]
-    problems += [F.when((F.col(f"_{c}_gap") > 0) | (F.col(f"_{c}_lo") != F.col(f"_{c}_hi")), f"{c} must be consistent")
-                 for c in ids]
-    problems += [F.when(F.col(f"_{c}_n") < F.col("n"), f"{c} contains missing values") for c in every]
-    problems += [F.when((F.col(f"_{c}_n") == F.col("n")) & ~(F.col(f"_{c}_sd") > 0), f"{c} has zero variance") for c in every]
+    general = [F.when(F.col("n") < 3, "fewer than three baseline epochs"),
+               F.when(F.col("_ctx") > 0, "baseline context is not a documented awake one"),
+               F.when(F.col("_times") > 0, "epoch times must be finite with positive duration")]
+    general += [F.when((F.col(f"_{c}_gap") > 0) | (F.col(f"_{c}_lo") != F.col(f"_{c}_hi")), f"{c} must be consistent")
+                for c in ids]
+    # Turn the wide figures into one row per component and gather them again per subject. The
+    # rows are already partitioned by subject, so this adds no shuffle.
+    parts = F.array(*[F.struct(F.lit(i).alias("index"), F.lit(c).alias("name"), F.col(f"_{c}_mean").alias("mean"),
+                               F.col(f"_{c}_sd").alias("sd"), F.col(f"_{c}_n").alias("n"))
+                      for i, names in present.items() for c in names]
+                    or [F.expr("named_struct('index', '', 'name', '', 'mean', 0D, 'sd', 1D, 'n', 0L)")])
+    tidy = stats.select("subject_id", "n", F.array_compact(F.array(*general)).alias("_general"),
+                        *[F.col(f"_{c}_lo").cast("string").alias(c) for c in ids], F.explode(parts).alias("p"))
+    fault = (F.when(F.col("p.index") == "", None)
+             .when(F.col("p.n") < F.col("n"), F.concat("p.name", F.lit(" contains missing values")))
+             .when(~F.coalesce(F.col("p.sd") > 0, F.lit(False)), F.concat("p.name", F.lit(" has zero variance"))))
 
     def settings(index: str) -> Column:
-        entries = [x for c in present[index] for x in (F.lit(c), F.struct(
-            F.col(f"_{c}_mean").alias("mean"), F.col(f"_{c}_sd").alias("sd"), F.col(f"_{c}_n").alias("n")))]
-        empty = "cast(map() as map<string, struct<mean: double, sd: double, n: bigint>>)"
-        return F.struct((F.create_map(*entries) if entries else F.expr(empty)).alias("components"),
+        entry = F.struct("p.name", F.struct("p.mean", "p.sd", "p.n"))
+        return F.struct(F.map_from_entries(F.collect_list(F.when(F.col("p.index") == index, entry))).alias("components"),
                         F.lit(None).cast("map<string,double>").alias("weights")).alias(index)
 
-    def one(c: str, default: str | None) -> Column:
-        return (F.col(f"_{c}_lo") if c in ids else F.lit(default)).cast("string").alias(c)
-
-    return (stats.join(length, "subject_id", "left")
-            .select("subject_id", one("medication_profile_id", "not_recorded"), one("session_id", None),
-                    F.lit(context).alias("context"), "duration_s", settings("SOI"), settings("RDI"),
-                    F.array_compact(F.array(*problems)).alias("problems")))
+    gathered = tidy.groupBy("subject_id").agg(
+        *[F.first(c).alias(c) for c in ids], settings("SOI"), settings("RDI"),
+        F.concat(F.first("_general"), F.sort_array(F.collect_list(fault))).alias("problems"))
+    for c, default in (("medication_profile_id", "not_recorded"), ("session_id", None)):
+        if c not in ids:
+            gathered = gathered.withColumn(c, F.lit(default).cast("string"))
+    return (gathered.join(length, "subject_id", "left")
+            .select("subject_id", "medication_profile_id", "session_id", F.lit(context).alias("context"), "duration_s",
+                    "SOI", "RDI", "problems"))
 
 
 def require_calibration(epochs: DataFrame, subject_id: str, context: str = "awake_personal_baseline") -> DataFrame:
@@ -81,36 +89,53 @@ def _isfinite(c: Column) -> Column:
     return F.coalesce(~F.isnan(c) & (F.abs(c) < float("inf")), F.lit(False))
 
 
-def _index_columns(index: str, issues: Column) -> tuple[Column, Column]:
-    """Result struct of one composite and its list of invalid settings."""
+def _with_parts(df: DataFrame, index: str) -> DataFrame:
+    """Adds one small array of structs per composite: name, weight, sub-score and validity of each part.
+
+    Higher-order functions keep the expression five times smaller than one branch per component.
+    """
     names = COMPONENTS[index]
-    base = F.col(index)["components"]
-    weights = F.coalesce(F.col(index)["weights"], F.create_map(*[x for c in names for x in (F.lit(c), F.lit(0.2))]))
-    keys_ok = F.array_sort(F.map_keys(weights)) == F.array(*[F.lit(c) for c in sorted(names)])
-    vals = F.map_values(weights)
-    weights_ok = keys_ok & F.forall(vals, lambda w: _isfinite(w) & (w >= 0))
-    total = F.aggregate(vals, F.lit(0.0), lambda s, w: s + w)
-    problems = [F.when(~F.coalesce(weights_ok, F.lit(False)), f"{index} needs five nonnegative finite weights")
-                .when(F.abs(total - 1.0) > 1e-9, f"{index} weights must sum to 1")]
-    parts, missing = {}, []
-    for c in names:
-        x, b = finite(F.try_element_at(F.col("values"), F.lit(c))), F.try_element_at(base, F.lit(c))
-        absent = x.isNull() | b.isNull()
-        problems.append(F.when(~absent & ~(_isfinite(b["mean"]) & _isfinite(b["sd"]) & (b["sd"] > 0)),
-                               f"{c}: calibration SD must be positive and finite"))
-        shift = (x - b["mean"]) / (b["sd"] * 3.0)
-        raw = shift * (100.0 * SOI_COMPONENTS[c]) if index == "SOI" else (F.lit(1.0) - F.abs(shift)) * 100.0
-        parts[c] = F.when(~absent, clip(raw, 0, 100))
-        missing.append(F.when(absent, F.lit(c)))
-    gone = F.array_compact(F.array(*missing))
-    score = F.lit(0.0)
-    for c in names:
-        score = score + F.try_element_at(weights, F.lit(c)) * parts[c]
+    plan = F.array(*[F.struct(F.lit(c).alias("name"), F.lit(float(SOI_COMPONENTS.get(c, 0))).alias("dir")) for c in names])
+    even = F.create_map(*[x for c in names for x in (F.lit(c), F.lit(0.2))])
+    df = df.withColumn("_w", F.coalesce(F.col(index)["weights"], even))
+
+    def read(p):
+        b = F.try_element_at(F.col(index)["components"], p["name"])
+        return F.struct(p["name"].alias("name"), p["dir"].alias("dir"), F.try_element_at(F.col("_w"), p["name"]).alias("w"),
+                        finite(F.try_element_at(F.col("values"), p["name"])).alias("x"),
+                        b["mean"].alias("mean"), b["sd"].alias("sd"), b.isNotNull().alias("has"))
+
+    def grade(p):
+        shift = (p["x"] - p["mean"]) / (p["sd"] * 3.0)
+        raw = shift * p["dir"] * 100.0 if index == "SOI" else (F.lit(1.0) - F.abs(shift)) * 100.0
+        there = p["x"].isNotNull() & p["has"]
+        valid = _isfinite(p["mean"]) & _isfinite(p["sd"]) & (p["sd"] > 0)
+        return F.struct(p["name"].alias("name"), p["w"].alias("w"),
+                        F.when(there & valid, F.least(F.greatest(raw, F.lit(0.0)), F.lit(100.0))).alias("s"),
+                        (~there).alias("missing"), (there & ~valid).alias("invalid"))
+
+    keys = F.array_sort(F.map_keys("_w")) == F.array(*[F.lit(c) for c in sorted(names)])
+    total = F.aggregate(F.map_values("_w"), F.lit(0.0), lambda t, w: t + w)
+    good = keys & F.forall(F.map_values("_w"), lambda w: _isfinite(w) & (w >= 0))
+    wrong = (F.when(~F.coalesce(good, F.lit(False)), f"{index} needs five nonnegative finite weights")
+             .when(F.abs(total - 1.0) > 1e-9, f"{index} weights must sum to 1"))
+    return (df.withColumn(f"_{index}_raw", F.transform(plan, read)).withColumn(f"_{index}", F.transform(f"_{index}_raw", grade))
+            .withColumn(f"_{index}_bad", F.concat(
+                F.array_compact(F.array(wrong)),
+                F.transform(F.filter(f"_{index}", lambda p: p["invalid"]),
+                            lambda p: F.concat(p["name"], F.lit(": calibration SD must be positive and finite")))))
+            .drop("_w", f"_{index}_raw"))
+
+
+def _result(index: str) -> Column:
+    n, part = len(COMPONENTS[index]), f"_{index}"
+    gone = F.transform(F.filter(part, lambda p: p["missing"]), lambda p: p["name"])
+    total = F.aggregate(part, F.lit(0.0), lambda t, p: t + p["w"] * p["s"])       # NULL if any part is
     return F.struct(
-        F.when((F.size(gone) == 0) & (F.size(issues) == 0), score).alias("score"),
-        F.create_map(*[x for c in names for x in (F.lit(c), parts[c])]).alias("components"),
-        gone.alias("missing"), ((len(names) - F.size(gone)) / F.lit(float(len(names)))).alias("component_coverage"),
-        issues.alias("calibration_issues")), F.array_compact(F.array(*problems))
+        F.when(F.size("_issues") == 0, total).alias("score"),
+        F.map_from_arrays(F.transform(part, lambda p: p["name"]), F.transform(part, lambda p: p["s"])).alias("components"),
+        gone.alias("missing"), ((F.lit(n) - F.size(gone)) / F.lit(float(n))).alias("component_coverage"),
+        F.col("_issues").alias("calibration_issues"))
 
 
 def score(pairs: DataFrame, strict: bool = True) -> DataFrame:
@@ -118,25 +143,24 @@ def score(pairs: DataFrame, strict: bool = True) -> DataFrame:
 
     Adds SOI_result, RDI_result and ``problems``. No imputation and no reweighting: a composite
     needs all five components and an adequate calibration. With ``strict`` an invalid setting is
-    an error; otherwise it is listed and both scores are NULL.
+    an error; otherwise it is listed and both results are NULL.
     """
     length, context = F.coalesce(F.col("duration_s"), F.lit(0.0)), F.coalesce(F.col("context"), F.lit("unspecified"))
     issues = F.array_compact(F.array(
         F.when(length < FULL_CALIBRATION_S, "calibration_shorter_than_article_24h"),
         F.when(~context.isin(*SCORING_CONTEXTS), "calibration_not_documented_awake_baseline")))
-    pairs = pairs.withColumn("_issues", issues)
-    soi, p1 = _index_columns("SOI", F.col("_issues"))
-    rdi, p2 = _index_columns("RDI", F.col("_issues"))
     bad = F.array_compact(F.array(F.when(~(_isfinite(length) & (length >= 0)),
                                          "calibration duration must be finite and nonnegative")))
-    out = (pairs.withColumn("SOI_result", soi).withColumn("RDI_result", rdi)
-           .withColumn("problems", F.concat(bad, p1, p2)).drop("_issues"))
+    out = pairs.withColumn("_issues", issues)
+    for index in COMPONENTS:
+        out = _with_parts(out, index)
+    out = out.withColumn("problems", F.concat(bad, "_SOI_bad", "_RDI_bad"))
+    fine = F.size("problems") == 0
     if strict:
-        message = F.when(F.size("problems") > 0, F.raise_error(F.array_join("problems", "; ")).cast("array<string>"))
-        return out.withColumn("problems", F.coalesce(message, F.col("problems")))
-    for c in ("SOI_result", "RDI_result"):
-        out = out.withColumn(c, F.when(F.size("problems") == 0, F.col(c)))
-    return out
+        fine = fine | F.raise_error(F.array_join("problems", "; ")).cast("boolean")
+    for index in COMPONENTS:
+        out = out.withColumn(f"{index}_result", F.when(fine, _result(index)))
+    return out.drop("_issues", "_SOI", "_RDI", "_SOI_bad", "_RDI_bad")
 
 
 def match_calibration(features: DataFrame, calibrations: DataFrame) -> DataFrame:
