@@ -242,10 +242,10 @@ def region_lookup(spark, d):
 def calibration_rows(spark, d) -> DataFrame:
     """Events as labelled epochs of a subject (user)."""
     v, k = F.col("value"), G.prop_k().cast("double")
-    parts = {"alpha_variance": v / 100.0, "gating_efficiency": k / 50.0, "posterior_gamma": v + k,
-             "frontoparietal_plv": k / 100.0, "autonomic_surge": F.log(v + 1.0), "temporal_csd": v - k,
+    parts = {"alpha_variance": F.sqrt(v) / 3.0, "gating_efficiency": F.sqrt(k + 1.0) / 7.0, "posterior_gamma": F.sqrt(v + k),
+             "frontoparietal_plv": F.log(k + 2.0), "autonomic_surge": F.log(v + 1.0), "temporal_csd": F.sqrt(v) - F.sqrt(k),
              "delta_alpha_ratio": v / (k + 1.0), "bifrontal_bicoherence": F.sqrt(v) / 10.0,
-             "hemispheric_asymmetry": k - 50.0, "frontotemporal_coherence": F.lit(1.0) / (k + 1.0)}
+             "hemispheric_asymmetry": F.exp(-k / 50.0), "frontotemporal_coherence": F.lit(1.0) / (k + 1.0)}
     label = F.when(F.col("event_type").isin("view", "click", "signup"), "baseline").otherwise("pre_meltdown")
     t = F.col("event_id").cast("double") * 60.0
     return G.table(spark, d, "events").select(
@@ -274,7 +274,7 @@ def soi_rdi_score(spark, d):
     names = [c for comp in composite.COMPONENTS.values() for c in comp]
     # very long values are unreliable here and count as missing
     vals = F.create_map(*[x for c in names for x in (
-        F.lit(c), F.when(~((F.lit(c) == "posterior_gamma") & (F.col(c) > 180.0)), F.col(c)))])
+        F.lit(c), F.when(~((F.lit(c) == "posterior_gamma") & (F.col(c) > 13.4)), F.col(c)))])
     features = rows.where("research_label <> 'baseline'").select(
         "event_id", "subject_id", F.lit("not_recorded").alias("medication_profile_id"), vals.alias("values"))
     cal = composite.fit_calibrations(rows.drop("event_id")).where(F.size("problems") == 0).drop("problems", "session_id")
