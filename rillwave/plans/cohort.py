@@ -69,8 +69,8 @@ def convert_cohort(spark: SparkSession, manifest: str | DataFrame, out_dir: str,
     rates = [r["fs"] for r in plan.where("error is null and samples >= 0").select("fs").distinct().collect()]   # device types
     raw = decode(plan)
     # blocks are kept as a table: analysis reads them several times and executors may be lost
-    raw.write.mode("overwrite").partitionBy("recording_id").parquet(f"{out_dir}/blocks")
-    stored = spark.read.schema(raw.schema).parquet(f"{out_dir}/blocks").withColumn("recording_id", F.col("recording_id").cast("string"))
+    raw.write.mode("overwrite").parquet(f"{out_dir}/blocks")
+    stored = spark.read.schema(raw.schema).parquet(f"{out_dir}/blocks")
     failures = stored.where("error is not null").groupBy("recording_id").agg(F.min("error").alias("error"))
     usable = stored.where("error is null").join(failures.select("recording_id"), "recording_id", "left_anti")
     rates += [r["fs"] for r in usable.where("fs is not null").select("fs").distinct().collect() if r["fs"] not in rates]
