@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 from itertools import combinations
+from multiprocessing.pool import ThreadPool
 
 from pyspark.ml.classification import LinearSVC
 from pyspark.ml.functions import vector_to_array
@@ -27,15 +28,19 @@ def _scaled(df: DataFrame, features: list[str], mean: list[float], sd: list[floa
         *[f"_x{i}" for i in range(len(features))])
 
 
-def fit_pairs(train: DataFrame, label: str, classes: list[str], max_iter: int = 100) -> dict[tuple[str, str], tuple[list[float], float]]:
+def fit_pairs(train: DataFrame, label: str, classes: list[str], max_iter: int = 25,
+              tol: float = 1e-4) -> dict[tuple[str, str], tuple[list[float], float]]:
     """One weighted linear SVM per class pair (C = 1): coefficients and intercept on scaled features."""
     counts = {r[label]: r["count"] for r in train.groupBy(label).count().collect()}     # one row per class
     total, models = sum(counts.values()), {}
+    per_class = total / len(classes)
     for a, b in combinations(classes, 2):
-        weight = F.when(F.col(label) == a, total / (len(classes) * counts[a])).otherwise(total / (len(classes) * counts[b]))
+        weight = F.when(F.col(label) == a, per_class / counts[a]).otherwise(per_class / counts[b])
         pair = train.where(F.col(label).isin(a, b)).select("_vec", (F.col(label) == b).cast("double").alias("_y"), weight.alias("_w"))
-        mass = total / len(classes) * 2
-        svc = LinearSVC(featuresCol="_vec", labelCol="_y", weightCol="_w", standardization=False, regParam=1.0 / mass, maxIter=max_iter)
+        # every gradient is one job: few rows must not pay for many tasks
+        pair = pair.coalesce(max(1, (counts[a] + counts[b]) // 20000))
+        svc = LinearSVC(featuresCol="_vec", labelCol="_y", weightCol="_w", standardization=False,
+                        regParam=1.0 / (2 * per_class), maxIter=max_iter, tol=tol)
         m = svc.fit(pair)
         models[(a, b)] = (list(map(float, m.coefficients)), float(m.intercept))
     return models
@@ -53,25 +58,29 @@ def vote(df: DataFrame, models: dict, classes: list[str]) -> DataFrame:
     return df.withColumn("pred", ranked["c"]).drop("_vec")
 
 
-def held_out(table: DataFrame, label: str, features: list[str], subject: str = "subject_id", max_iter: int = 100) -> DataFrame:
+def held_out(table: DataFrame, label: str, features: list[str], subject: str = "subject_id", max_iter: int = 25,
+             parallel: int = 8) -> DataFrame:
     """Held-out prediction of every row. Scaler and models of a fold never see the held-out subject.
 
-    Folds are independent fits over the cached table, as in any Spark cross-validation; the only
-    driver-side lists are the subjects and classes.
+    Folds are independent fits over the cached table and run a few at a time, as in any Spark
+    cross-validation; the only driver-side lists are the subjects and classes.
     """
     classes = sorted(r[0] for r in table.select(label).distinct().collect())
-    subjects = sorted(r[0] for r in table.select(subject).distinct().collect())
     data = table.cache()
-    parts = []
+    pairs = data.groupBy(subject, label).count().collect()          # subjects x classes
+    subjects = sorted({r[subject] for r in pairs})
     for s in subjects:
-        train, test = data.where(F.col(subject) != s), data.where(F.col(subject) == s)
-        seen = {r[0] for r in train.select(label).distinct().collect()}
-        if seen != set(classes):
+        if {r[label] for r in pairs if r[subject] != s} != set(classes):
             raise GuardError("a held-out fold lacks a training class; collect labels across more subjects")
+
+    def fold(s) -> DataFrame:
+        train, test = data.where(F.col(subject) != s), data.where(F.col(subject) == s)
         mean, sd = _scaler(train, features)
         models = fit_pairs(_scaled(train, features, mean, sd), label, classes, max_iter)
-        parts.append(vote(_scaled(test, features, mean, sd), models, classes))
-    return reduce(DataFrame.unionByName, parts)
+        return vote(_scaled(test, features, mean, sd), models, classes)
+
+    with ThreadPool(min(parallel, len(subjects))) as pool:
+        return reduce(DataFrame.unionByName, pool.map(fold, subjects))
 
 
 def final_model(table: DataFrame, label: str, features: list[str]) -> dict:
