@@ -1,20 +1,24 @@
 """Detector over stored sessions, exact and parallel inside a session.
 
-The transition is nonlinear in its state, so it has no summary to compose. Instead a session is
-cut into time segments, every segment is run from a guessed start, and starts are corrected to
-the end state of the segment before until nothing changes any more. The fixed point is the
-sequential result, bit for bit; each round re-runs only segments whose start changed. The
-detector forgets (its level decays in seconds, its centres in minutes of calm), so with segments of hours
-two or three rounds suffice. Sessions of one segment need no round at all.
+The transition is nonlinear in its state, so it has no summary to compose. Instead a long session
+is cut into segments of a fixed number of windows, every segment is run from a guessed start, and
+starts are corrected to the end state of the segment before until nothing changes any more. The
+fixed point is the sequential result, bit for bit; each round re-runs only segments whose start
+changed. The detector forgets (its level decays in seconds, its centres in minutes of calm), so
+with segments of hours a few rounds suffice. Sessions of one segment need no round at all.
+
+A task walks rows sorted by session and segment and holds the state of the open segment only.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
 from ..model import STEPS, LiveConfig
-from ..operators.segments import segment_of
+from ..operators.recurrence import ordinal
 from ..session import cut_lineage
 from . import machine as M
 
@@ -38,9 +42,9 @@ def records(pdf: pd.DataFrame) -> list[dict]:
     return out
 
 
-def steps_frame(session: str, steps: list[dict]) -> pd.DataFrame:
+def steps_frame(sessions: str | list[str], steps: list[dict]) -> pd.DataFrame:
     frame = pd.DataFrame(steps, columns=_STEP_COLUMNS[1:])
-    frame.insert(0, "session_id", session)
+    frame.insert(0, "session_id", sessions)
     for f in STEPS.fields:
         if isinstance(f.dataType, T.DoubleType):
             frame[f.name] = frame[f.name].astype(float)
@@ -49,52 +53,78 @@ def steps_frame(session: str, steps: list[dict]) -> pd.DataFrame:
     return frame
 
 
+_KEYS = ["session_id", "segment"]
+
+
+def _walk(frames: Iterator[pd.DataFrame], cfg: LiveConfig):
+    """Rows sorted by (session, segment, t) -> per frame (session ids, steps, ends of closed segments).
+
+    The first row of a segment carries its start state, or nothing when that is a fresh state.
+    """
+    open_key = state = None
+    for pdf in frames:
+        ids, steps, ends = [], [], []
+        for row in records(pdf):
+            key = (row["session_id"], row["segment"])
+            if key != open_key:
+                if open_key is not None:
+                    ends.append((*open_key, state))
+                open_key, state = key, M.loads(row["start"]) if row["start"] else M.fresh(cfg)
+            new = M.run_rows(state, [row], cfg)
+            steps += new
+            ids += [key[0]] * len(new)
+        yield ids, steps, ends
+    if open_key is not None:
+        yield [], [], [(*open_key, state)]
+
+
+def _sorted_rows(rows: DataFrame, starts: DataFrame | None, segment_windows: int) -> DataFrame:
+    """Rows in walking order; start states are attached to first rows only, so they travel once."""
+    nothing = F.lit(None).cast("string").alias("start")
+    if starts is None:
+        staged = rows.select("*", nothing)
+    else:
+        first = F.col("ordinal") % segment_windows == 0
+        staged = (rows.where(first).join(starts.select(*_KEYS, "start"), _KEYS)
+                  .unionByName(rows.where(~first).join(starts.select(*_KEYS), _KEYS, "left_semi").select("*", nothing)))
+    return staged.repartition(*_KEYS).sortWithinPartitions(*_KEYS, "ordinal")
+
+
 def run_sessions(windows: DataFrame, cfg: LiveConfig, segment_windows: int = 16384) -> DataFrame:
     """Steps of every session from WINDOWS rows (plus ``bvc`` from ``with_clinical``, if any)."""
-    keys = ["session_id", "segment"]
-    rows = windows.withColumn("segment", segment_of(F.col("t"), segment_windows * cfg.step_sec))
-    first = M.dumps(M.fresh(cfg))
-    order = W.partitionBy("session_id").orderBy("segment")
-    plan = (rows.select(*keys).distinct()
-            .withColumn("prev", F.lag("segment").over(order)))
-    starts = cut_lineage(plan.withColumn("start", F.when(F.col("prev").isNull(), F.lit(first))))
-    if starts.where("prev is not null").take(1):
-        starts = _settle(rows, starts, cfg)
+    rows = ordinal(windows, "session_id", "t").withColumn("segment", F.floor(F.col("ordinal") / segment_windows).cast("long"))
+    longest = windows.groupBy("session_id").count().agg(F.max("count").alias("n")).first()["n"] or 0
+    starts = _settle(rows, cfg, segment_windows) if longest > segment_windows else None
 
-    def emit(key, pdf, start):
-        state = M.loads(start["start"].iloc[0])
-        return steps_frame(key[0], M.run_rows(state, records(pdf.sort_values("t", kind="stable")), cfg))
+    def emit(frames):
+        for ids, steps, _ in _walk(frames, cfg):
+            if steps:
+                yield steps_frame(ids, steps)
 
-    return (rows.groupBy(*keys).cogroup(starts.select(*keys, "start").groupBy(*keys)).applyInPandas(emit, STEPS))
+    return _sorted_rows(rows, starts, segment_windows).mapInPandas(emit, STEPS)
 
 
-def _settle(rows: DataFrame, starts: DataFrame, cfg: LiveConfig) -> DataFrame:
+def _settle(rows: DataFrame, cfg: LiveConfig, segment_windows: int) -> DataFrame:
     """Correct segment starts until each equals the end of the segment before."""
-    keys = ["session_id", "segment"]
+    fresh = M.dumps(M.fresh(cfg))
+    plan = rows.select(*_KEYS).distinct()
+    known = cut_lineage(plan.select(*_KEYS, F.when(F.col("segment") == 0, F.lit(fresh)).alias("start"),
+                                    F.lit(None).cast("string").alias("end"), (F.col("segment") == 0).alias("changed")))
 
-    def end_state(key, pdf, start):
-        if not len(pdf) or not len(start):
-            return pd.DataFrame({"session_id": [], "segment": [], "end": []})
-        state = M.loads(start["start"].iloc[0])
-        M.run_rows(state, records(pdf.sort_values("t", kind="stable")), cfg)
-        return pd.DataFrame({"session_id": [key[0]], "segment": [key[1]], "end": [M.dumps(state)]})
+    def closing(frames):
+        for _, _, ends in _walk(frames, cfg):
+            if ends:
+                yield pd.DataFrame([(s, g, M.dumps(state)) for s, g, state in ends], columns=["session_id", "segment", "now"])
 
-    known = starts.withColumn("end", F.lit(None).cast("string")).withColumn("changed", F.col("start").isNotNull())
+    before = W.partitionBy("session_id").orderBy("segment")
     while True:
-        todo = known.where("changed").select(*keys, "start")
-        ran = (rows.join(todo.select(*keys), keys, "left_semi").groupBy(*keys)
-               .cogroup(todo.groupBy(*keys)).applyInPandas(end_state, "session_id string, segment long, end string"))
-        ends = (known.drop("changed").withColumnRenamed("end", "_old").join(ran, keys, "left")
-                .withColumn("end", F.coalesce("end", "_old")).drop("_old"))
-        before = ends.select("session_id", F.col("segment").alias("prev"), F.col("end").alias("_given"))
-        joined = ends.join(before, ["session_id", "prev"], "left")
+        todo = known.where("changed").select(*_KEYS, "start")
+        ran = _sorted_rows(rows, todo, segment_windows).mapInPandas(closing, "session_id string, segment long, now string")
+        ends = known.join(ran, _KEYS, "left").withColumn("end", F.coalesce("now", "end"))
         # until the segment before has run, the newest known state of the session is the guess
-        guess = F.last("end", ignorenulls=True).over(
-            W.partitionBy("session_id").orderBy("segment").rowsBetween(W.unboundedPreceding, -1))
-        fixed = (joined.withColumn("_next", F.when(F.col("prev").isNull(), F.col("start"))
-                                   .otherwise(F.coalesce("_given", guess)))
-                 .withColumn("changed", ~F.col("_next").eqNullSafe(F.col("start")))
-                 .withColumn("start", F.col("_next")).select(*keys, "prev", "start", "end", "changed"))
-        known = cut_lineage(fixed)
+        given = F.coalesce(F.lag("end").over(before), F.last("end", ignorenulls=True).over(before.rowsBetween(W.unboundedPreceding, -1)))
+        fixed = ends.withColumn("_next", F.when(F.col("segment") == 0, F.col("start")).otherwise(given))
+        known = cut_lineage(fixed.select(*_KEYS, F.col("_next").alias("start"), "end",
+                                         (~F.col("_next").eqNullSafe(F.col("start"))).alias("changed")))
         if not known.where("changed").take(1):
-            return known.select(*keys, "prev", "start")
+            return known.select(*_KEYS, "start")
