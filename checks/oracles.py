@@ -258,6 +258,68 @@ pp AS (SELECT a.epoch_ix, a.re * b.re + a.im * b.im AS cr, a.im * b.re - a.re *
 SELECT epoch_ix, 'pair_Fp1_P3__alpha_plv' AS pair, {r6("sqrt(avg(cr / sqrt(cr * cr + ci * ci)) ** 2 + avg(ci / sqrt(cr * cr + ci * ci)) ** 2)", "alpha_plv")} FROM pp GROUP BY 1"""
 
 
+
+# --- the detector as a recursive query ------------------------------------------------------------------
+
+def detector(mult: bool, kalman: bool = False) -> str:
+    """Sequential detector over the event sessions: one recursion step per window after calibration.
+
+    Constants are those of the registered session configuration.
+    """
+    up, level_at, k, h = (6.0, "6.0", 2.0, 150.0) if kalman else (1.0, "1.0", 0.3, 2.0)
+    win = f"""qw AS (SELECT *, avg(CASE WHEN ok THEN 1.0 ELSE 0.0 END) OVER (PARTITION BY session_id ORDER BY t ROWS BETWEEN 59 PRECEDING AND CURRENT ROW) AS quality FROM ses),
+mon AS (SELECT q.*, {MULT if mult else "1.0::DOUBLE"} AS mult, {OFFS if mult else "0.0::DOUBLE"} AS offs, {"b.band, b.obs_t" if mult else "'none' AS band, NULL::DOUBLE AS obs_t"},
+  row_number() OVER (PARTITION BY q.session_id ORDER BY q.t) AS rn FROM qw q JOIN fin USING (session_id) {"JOIN bvc b ON b.session_id = q.session_id AND b.t = q.t" if mult else ""} WHERE q.t > cal_t)"""
+    piv = ("pv AS (SELECT session_id, " + ", ".join(f"max(med) FILTER (WHERE feature = '{f}') AS m_{f}, max(scale) FILTER (WHERE feature = '{f}') AS s_{f}" for f in FEATS)
+           + " FROM bl GROUP BY 1)")
+    ms = ", ".join(f"m_{f}" for f in FEATS)
+    ss = ", ".join(f"s_{f}" for f in FEATS)
+    index = "(" + " + ".join(f"({WEIGHTS[f]}) * ({f} - m_{f}) / s_{f}" for f in FEATS) + ") / sqrt(3.5)"
+    prior = f"""init AS (SELECT session_id, {ms}, {ss}, NULL::DOUBLE AS level, []::DOUBLE[] AS tt, []::DOUBLE[] AS yy, 0.0::DOUBLE AS acc,
+  NULL::DOUBLE AS e_since, NULL::DOUBLE AS i_since, NULL::DOUBLE AS e_last, NULL::DOUBLE AS i_last, TRUE AS e_arm, TRUE AS i_arm, NULL::DOUBLE AS noticed FROM pv)"""
+    keep = "session_id, rn, t, ok, quality, mult, offs, band, obs_t"
+    state = f"{ms}, {ss}"
+    # layer by layer: raw index, level, trail, slope and sum, conditions, timers, firing
+    src = f"""SELECT w.session_id, w.rn, w.t, w.ok, w.quality, w.mult, w.offs, w.band, w.obs_t, {", ".join("w." + f for f in FEATS)}, {", ".join("p." + c for c in (ms + ", " + ss).split(", "))},
+      p.level AS level0, p.tt AS tt0, p.yy AS yy0, p.acc AS acc0, p.e_since AS e0, p.i_since AS i0, p.e_last AS el0, p.i_last AS il0, p.e_arm AS ea0, p.i_arm AS ia0, p.noticed AS no0
+      FROM PREVIOUS p JOIN mon w ON w.session_id = p.session_id AND w.rn = NEXT"""
+    a = f"SELECT *, {index} AS raw FROM ({src})"
+    b = f"SELECT *, CASE WHEN level0 IS NULL THEN raw ELSE level0 + {ALPHA!r} * (raw - level0) END AS lv FROM ({a})"
+    c = f"""SELECT *, list_filter(list_append(tt0, t), lambda v: v >= t - 3000) AS tt1, list_append(yy0, lv) AS yall FROM ({b})"""
+    d = "SELECT *, yall[len(yall) - len(tt1) + 1:len(yall)] AS yy1 FROM (" + c + ")"
+    e = f"""SELECT *, list_avg(tt1) AS mt, list_avg(yy1) AS my, greatest(0.0, acc0 + raw - {k}) AS acc1, {h} * mult AS lim, {level_at} + offs AS top FROM ({d})"""
+    f_ = f"""SELECT *, CASE WHEN len(tt1) >= 10 AND tt1[len(tt1)] - tt1[1] >= 60 THEN 60 * list_dot_product(list_transform(tt1, lambda v: v - mt), list_transform(yy1, lambda v: v - my))
+      / list_dot_product(list_transform(tt1, lambda v: v - mt), list_transform(tt1, lambda v: v - mt)) END AS slope,
+      CASE WHEN lv < 0.3 THEN least(acc1, 0.5 * lim) ELSE acc1 END AS acc2, (ea0 OR lv < 0.5) AS ea1, (ia0 OR lv < 0.5) AS ia1 FROM ({e})"""
+    g = f"""SELECT *, lv >= top AS hot, acc2 > lim AND slope IS NOT NULL AND slope >= 0.0001 AND lv < top AND ia1 AS rise,
+      CASE WHEN slope > 0 AND lv < top THEN (top - lv) / slope END AS eta FROM ({f_})"""
+    hh = """SELECT *, CASE WHEN hot THEN coalesce(i0, t) END AS i1, CASE WHEN hot THEN e0 WHEN rise THEN coalesce(e0, t) END AS e1 FROM (""" + g + ")"
+    ii = """SELECT *, hot AND t - i1 >= 100 AND quality >= 0.6 AND ia1 AND (il0 IS NULL OR t - il0 >= 300) AS fire_i,
+      NOT hot AND coalesce(rise, FALSE) AND t - e1 >= 100 AND quality >= 0.6 AND ea1 AND (el0 IS NULL OR t - el0 >= 300) AS fire_e FROM (""" + hh + ")"
+    jj = "SELECT *, NOT fire_i AND NOT fire_e AND band = 'very_high' AND obs_t IS DISTINCT FROM no0 AS fire_c FROM (" + ii + ")"
+
+    def pick(new: str, old: str, name: str) -> str:
+        return f"CASE WHEN ok THEN {new} ELSE {old} END AS {name}"
+
+    out = [f"CASE WHEN ok AND lv < 0.5 THEN m_{f} + 0.002 * ({f} - m_{f}) ELSE m_{f} END AS m_{f}" for f in FEATS] + [f"s_{f}" for f in FEATS]
+    out += [pick("lv", "level0", "level"), pick("tt1", "tt0", "tt"), pick("yy1", "yy0", "yy"), pick("acc2", "acc0", "acc"), pick("e1", "e0", "e_since"),
+            pick("i1", "i0", "i_since"), "CASE WHEN ok AND fire_e THEN t ELSE el0 END AS e_last", "CASE WHEN ok AND fire_i THEN t ELSE il0 END AS i_last",
+            "CASE WHEN ok THEN ea1 AND NOT fire_e ELSE ea0 END AS e_arm", "CASE WHEN ok THEN ia1 AND NOT fire_i ELSE ia0 END AS i_arm",
+            "CASE WHEN ok AND fire_c THEN obs_t ELSE no0 END AS noticed",
+            "CASE WHEN NOT ok THEN 'LOW_QUALITY' WHEN hot THEN 'IMMINENT' WHEN rise THEN 'EARLY_WARNING' ELSE 'CALM' END AS state",
+            "CASE WHEN ok THEN raw END AS raw_index", "CASE WHEN ok THEN slope END AS slope", "CASE WHEN ok THEN eta END AS eta",
+            "CASE WHEN NOT ok THEN NULL WHEN fire_i THEN 'IMMINENT' WHEN fire_e THEN 'EARLY_WARNING' WHEN fire_c THEN 'CLINICAL_RISK' END AS alert_level"]
+    term = f"SELECT {keep}, {', '.join(out)} FROM ({jj})"
+    first = term.replace("PREVIOUS", "init").replace("w.rn = NEXT", "w.rn = 1")
+    later = term.replace("PREVIOUS", "det").replace("w.rn = NEXT", "w.rn = p.rn + 1")
+    return f"{win}, {piv}, {prior}, det AS ({first} UNION ALL {later})"
+
+
+CALM_ROWS = """SELECT q.session_id, q.t, 'CALIBRATING' AS state, NULL::DOUBLE AS raw_index, NULL::DOUBLE AS idx, NULL::DOUBLE AS slope, NULL::DOUBLE AS eta, quality, 0.0::DOUBLE AS acc, NULL::VARCHAR AS alert_level
+  FROM qw q LEFT JOIN fin USING (session_id) WHERE cal_t IS NULL OR q.t <= cal_t"""
+ALL_STEPS = f"st AS ({CALM_ROWS} UNION ALL SELECT session_id, t, state, raw_index, level, slope, eta, quality, acc, alert_level FROM det)"
+
+
 GUARDS = "SELECT rule, CAST(n AS BIGINT) AS n FROM ("
 DOCS = "dl AS (SELECT d.*, l.quality, l.toxic FROM documents d LEFT JOIN labels l USING (doc_id))"
 
@@ -333,6 +395,9 @@ ORACLES = {
       {r6("avg(CASE WHEN ok THEN 1.0 ELSE 0.0 END) OVER (PARTITION BY session_id ORDER BY t ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)", "quality")} FROM ses""",
     "bvc_band": f"WITH {OBS}, b AS (SELECT *, {BAND} AS band FROM obs) SELECT session_id, t, score, band, {MULT} AS mult, {OFFS} AS level_offset FROM b",
     "asof_bvc": f"WITH {SESSIONS}, {WITH_BVC} SELECT session_id, t, {MULT} AS mult, {OFFS} AS level_offset, band, score FROM bvc",
+    "detector_steps": f"""WITH RECURSIVE {SESSIONS}, {CALIB}, {detector(False)}, {ALL_STEPS} SELECT session_id, t, state, {r6("raw_index", "raw_index")}, {r6("idx", '"index"')}, {r6("slope", "slope_per_min")},
+      {r6("eta", "eta_min")}, {r6("quality", "quality")}, {r6("acc", "cusum")}, alert_level FROM st""",
+    "detector_steps_bvc": f"""WITH RECURSIVE {SESSIONS}, {CALIB}, {WITH_BVC}, {detector(True)}, {ALL_STEPS} SELECT session_id, t, state, {r6("idx", '"index"')}, {r6("acc", "cusum")}, alert_level FROM st""",
     "live_window_features": f"""WITH RECURSIVE {LIVE} SELECT window_ix, (window_ix * 256 + 512) / 256.0::DOUBLE AS t, ok, {', '.join(r6(f"CASE WHEN ok THEN avg({f}) END", f) for f in ("alpha_rel", "theta_rel", "beta_alpha_ratio", "muscle_tension"))},
       {r6("CASE WHEN ok THEN max(la) FILTER (WHERE channel = 'AF8') - max(la) FILTER (WHERE channel = 'AF7') END", "frontal_asymmetry")} FROM ch JOIN okw USING (window_ix) GROUP BY window_ix, ok""",
     "live_channel_features": f"""WITH RECURSIVE {LIVE} SELECT window_ix, channel, {r6("alpha_rel", "alpha_rel")}, {r6("beta_alpha_ratio", "beta_alpha_ratio")}, {r6("muscle_tension", "muscle_tension")}
