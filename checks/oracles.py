@@ -315,6 +315,67 @@ mon AS (SELECT q.*, {MULT if mult else "1.0::DOUBLE"} AS mult, {OFFS if mult els
     return f"{win}, {piv}, {prior}, det AS ({first} UNION ALL {later})"
 
 
+def kalman() -> str:
+    """Level of the state-space model: noise from calm windows, output scaled by its own calm track."""
+    from rillwave.functions.statespace import noise_variance
+    from rillwave.plans.queries import EVENTS_CFG
+    spec = noise_variance(EVENTS_CFG)
+    names = ("beta_alpha_ratio", "log_alpha_rel", "log_theta_rel", "frontal_asymmetry", "muscle_tension")
+    weight = dict(zip(names, (1.0, -1.0, -0.3, -0.5, 0.7)))
+    y = {n: n if not n.startswith("log_") else f"ln(greatest({n[4:]}, 1e-9))" for n in names}
+    cols = ", ".join(f"{y[n]} AS y{i}" for i, n in enumerate(names))
+    mus, lam, rr = (", ".join(f"{c}{i}" for i in range(5)) for c in ("mu", "la", "r"))
+    fit = ", ".join(f"any_value(mu{i}) AS mu{i}, {weight[n]} * greatest(median(abs(y{i} - mu{i})) * 1.4826, 1e-6) AS la{i}, "
+                    f"{spec[n]!r} + greatest(greatest(median(abs(y{i} - mu{i})) * 1.4826, 1e-6) ** 2 - {spec[n]!r}, 0.1 * greatest(median(abs(y{i} - mu{i})) * 1.4826, 1e-6) ** 2) AS r{i}"
+                    for i, n in enumerate(names))
+    prec = "1 / (0.98 * 0.98 * p + 1 - 0.98 * 0.98)"
+    gain = " + ".join(f"la{i} * la{i} / r{i}" for i in range(5))
+    pull = " + ".join(f"la{i} * (y{i} - mu{i}) / r{i}" for i in range(5))
+    step = f"(0.98 * a * ({prec}) + {pull}) / ({prec} + {gain})"
+    var = f"1 / ({prec} + {gain})"
+    ys = ", ".join(f"w.y{i}" for i in range(5))
+    carry = ", ".join(f"q.{c}{i}" for c in ("mu", "la", "r") for i in range(5))
+    def walk(out, src, seed, adapt):
+        mu_next = ", ".join(f"CASE WHEN (na - ce) / sc < 0.5 THEN mu{i} + 0.002 * (y{i} - mu{i}) ELSE mu{i} END AS mu{i}" if adapt else f"mu{i}" for i in range(5))
+        term = f"""SELECT session_id, rn, t, na AS a, np AS p, {mu_next}, {lam}, {rr}, ce, sc, (na - ce) / sc AS level FROM (
+          SELECT *, {step} AS na, {var} AS np FROM (SELECT w.session_id, w.rn, w.t, {ys}, q.a, q.p, {carry}, q.ce, q.sc FROM PREV q JOIN {src} w ON w.session_id = q.session_id AND w.rn = NEXT))"""
+        return f"{out} AS ({term.replace('PREV', seed).replace('NEXT', '1')} UNION ALL {term.replace('PREV', out).replace('NEXT', 'q.rn + 1')})"
+    return f"""cy AS (SELECT session_id, t, row_number() OVER (PARTITION BY session_id ORDER BY t) AS rn, {cols} FROM calm),
+cm AS (SELECT session_id, {", ".join(f"median(y{i}) AS mu{i}" for i in range(5))} FROM cy GROUP BY 1),
+ft AS (SELECT session_id, {fit}, 0.0::DOUBLE AS a, 1.0::DOUBLE AS p, 0.0::DOUBLE AS ce, 1.0::DOUBLE AS sc FROM cy JOIN cm USING (session_id) GROUP BY 1),
+{walk("k1", "cy", "ft", False)},
+bn AS (SELECT session_id, a FROM (SELECT session_id, a, rn, count(*) OVER (PARTITION BY session_id) AS n FROM k1) WHERE rn > least(n // 4, 30)),
+bc AS (SELECT session_id, median(a) AS ce FROM bn GROUP BY 1),
+bs AS (SELECT session_id, any_value(ce) AS ce, greatest(median(abs(a - ce)) * 1.4826, 1e-3) AS sc FROM bn JOIN bc USING (session_id) GROUP BY 1),
+f2 AS (SELECT session_id, {mus}, {lam}, {rr}, 0.0::DOUBLE AS a, 1.0::DOUBLE AS p, bs.ce, bs.sc FROM ft JOIN bs USING (session_id)),
+my AS (SELECT session_id, t, row_number() OVER (PARTITION BY session_id ORDER BY t) AS rn, {cols} FROM ses JOIN fin USING (session_id) WHERE ok AND t > cal_t),
+{walk("k2", "my", "f2", True)}"""
+
+
+def onsets() -> str:
+    """Per channel and kind: accumulator since the last calm window and its first crossing."""
+    chans = "(VALUES ('TP9', 0, 'L', 'left temporoparietal'), ('AF7', 1, 'L', 'left frontal'), ('AF8', 2, 'R', 'right frontal'), ('TP10', 3, 'R', 'right temporoparietal')) c(channel, sh, side, region)"
+    val = "beta_alpha_ratio + sh * k / 100.0 AS b, alpha_rel + sh * k / 1000.0 AS al, muscle_tension + sh AS m"
+    sc = lambda c: f"greatest(median(abs({c} - m{c})) * 1.4826, 1e-6, 0.05 * abs(any_value(m{c})))"
+    tenth, hundredth = "CAST(format('{:.1f}', ", "CAST(format('{:.2f}', "
+    return f"""cc AS (SELECT session_id, channel, {val} FROM calm, {chans}),
+c1 AS (SELECT session_id, channel, median(b) AS mb, median(al) AS mal, median(m) AS mm FROM cc GROUP BY 1, 2),
+c2 AS (SELECT session_id, channel, any_value(mb) AS mb, any_value(mal) AS mal, any_value(mm) AS mm, {sc("b")} AS sb, {sc("al")} AS sal, {sc("m")} AS sm FROM cc JOIN c1 USING (session_id, channel) GROUP BY 1, 2),
+mv AS (SELECT d.session_id, d.t, d.level, c.channel, row_number() OVER (PARTITION BY d.session_id, c.channel ORDER BY d.t) AS rn, {val} FROM det d JOIN ses s ON s.session_id = d.session_id AND s.t = d.t, {chans} WHERE d.ok),
+pushes AS (SELECT session_id, t, level, channel, rn, 'neural' AS kind, ((b - mb) / sb - (al - mal) / sal) / sqrt(2) AS x FROM mv JOIN c2 USING (session_id, channel)
+  UNION ALL SELECT session_id, t, level, channel, rn, 'muscle', (m - mm) / sm FROM mv JOIN c2 USING (session_id, channel)),
+os AS (SELECT session_id, channel, kind, rn, t, CASE WHEN level < 0.3 THEN 0.0 ELSE greatest(0.0, x - 0.5) END AS acc, CASE WHEN level >= 0.3 AND x - 0.5 > 1.0 THEN t END AS hit FROM pushes WHERE rn = 1
+  UNION ALL SELECT session_id, channel, kind, rn, t, acc, CASE WHEN level < 0.3 THEN NULL WHEN hit0 IS NOT NULL THEN hit0 WHEN acc > 1.0 THEN t END FROM (
+    SELECT w.session_id, w.channel, w.kind, w.rn, w.t, w.level, CASE WHEN w.level < 0.3 THEN 0.0 ELSE greatest(0.0, o.acc + w.x - 0.5) END AS acc, o.hit AS hit0
+    FROM os o JOIN pushes w ON w.session_id = o.session_id AND w.channel = o.channel AND w.kind = o.kind AND w.rn = o.rn + 1)),
+fired AS (SELECT session_id, t FROM det WHERE alert_level IN ('IMMINENT', 'EARLY_WARNING')),
+lat AS (SELECT session_id, t, sum(acc) FILTER (WHERE side = 'R') AS ri, sum(acc) FILTER (WHERE side = 'L') AS le FROM os JOIN fired USING (session_id, t) JOIN {chans} USING (channel) WHERE kind = 'neural' GROUP BY 1, 2),
+rk AS (SELECT session_id, t, channel, region, kind, {tenth}(t - hit) / 60.0) AS DOUBLE) AS min_before_alert, row_number() OVER (PARTITION BY session_id, t ORDER BY hit, channel, kind) - 1 AS rank
+  FROM os JOIN fired USING (session_id, t) JOIN {chans} USING (channel) WHERE hit IS NOT NULL)
+SELECT r.session_id, r.t, f.channel AS first_channel, f.region AS first_region, f.kind AS first_kind, CASE WHEN ri + le > 0 THEN {hundredth}(ri - le) / (ri + le)) AS DOUBLE) ELSE 0.0 END AS lateralisation,
+  CAST(r.rank AS INTEGER) AS rank, r.channel, r.region, r.kind, r.min_before_alert FROM rk r JOIN rk f ON f.session_id = r.session_id AND f.t = r.t AND f.rank = 0 JOIN lat l ON l.session_id = r.session_id AND l.t = r.t"""
+
+
 CALM_ROWS = """SELECT q.session_id, q.t, 'CALIBRATING' AS state, NULL::DOUBLE AS raw_index, NULL::DOUBLE AS idx, NULL::DOUBLE AS slope, NULL::DOUBLE AS eta, quality, 0.0::DOUBLE AS acc, NULL::VARCHAR AS alert_level
   FROM qw q LEFT JOIN fin USING (session_id) WHERE cal_t IS NULL OR q.t <= cal_t"""
 ALL_STEPS = f"st AS ({CALM_ROWS} UNION ALL SELECT session_id, t, state, raw_index, level, slope, eta, quality, acc, alert_level FROM det)"
@@ -398,6 +459,8 @@ ORACLES = {
     "detector_steps": f"""WITH RECURSIVE {SESSIONS}, {CALIB}, {detector(False)}, {ALL_STEPS} SELECT session_id, t, state, {r6("raw_index", "raw_index")}, {r6("idx", '"index"')}, {r6("slope", "slope_per_min")},
       {r6("eta", "eta_min")}, {r6("quality", "quality")}, {r6("acc", "cusum")}, alert_level FROM st""",
     "detector_steps_bvc": f"""WITH RECURSIVE {SESSIONS}, {CALIB}, {WITH_BVC}, {detector(True)}, {ALL_STEPS} SELECT session_id, t, state, {r6("idx", '"index"')}, {r6("acc", "cusum")}, alert_level FROM st""",
+    "kalman_level": f"""WITH RECURSIVE {SESSIONS}, {CALIB}, {kalman()} SELECT session_id, t, {r6("level", '"index"')} FROM k2""",
+    "onset_order": f"WITH RECURSIVE {SESSIONS}, {CALIB}, {detector(False)}, {onsets()}",
     "live_window_features": f"""WITH RECURSIVE {LIVE} SELECT window_ix, (window_ix * 256 + 512) / 256.0::DOUBLE AS t, ok, {', '.join(r6(f"CASE WHEN ok THEN avg({f}) END", f) for f in ("alpha_rel", "theta_rel", "beta_alpha_ratio", "muscle_tension"))},
       {r6("CASE WHEN ok THEN max(la) FILTER (WHERE channel = 'AF8') - max(la) FILTER (WHERE channel = 'AF7') END", "frontal_asymmetry")} FROM ch JOIN okw USING (window_ix) GROUP BY window_ix, ok""",
     "live_channel_features": f"""WITH RECURSIVE {LIVE} SELECT window_ix, channel, {r6("alpha_rel", "alpha_rel")}, {r6("beta_alpha_ratio", "beta_alpha_ratio")}, {r6("muscle_tension", "muscle_tension")}
