@@ -501,3 +501,4 @@ ORACLES = {
     "resume_pending": """SELECT doc_id, lang, CASE WHEN doc_id IN (SELECT doc_id FROM labels) THEN 'done' ELSE 'pending' END AS status FROM documents""",
     "content_digest": "SELECT doc_id, sha256(text) AS sha256 FROM documents",
 }
+ORACLES["stream_detector_steps"] = ORACLES["detector_steps"]

@@ -368,6 +368,13 @@ def detector_steps_bvc(spark, d):
                    "session_id", "t", "state", "alert_level")
 
 
+def stream_detector_steps(spark, d):
+    """The detector as a Structured Streaming query over the same sessions."""
+    s = live.drain(live.detect_windows_stream(G.session_stream(spark, d), EVENTS_CFG), "stream_detector_steps")
+    return rounded(s.select("session_id", "t", "state", "raw_index", "index", "slope_per_min", "eta_min", "quality", "cusum",
+                            F.col("alert.level").alias("alert_level")), "session_id", "t", "state", "alert_level")
+
+
 def kalman_level(spark, d):
     s = _steps(spark, d, EVENTS_CFG.with_kalman())
     return rounded(s.where("index is not null and state <> 'LOW_QUALITY'").select("session_id", "t", "index"), "session_id", "t")
@@ -510,7 +517,7 @@ QUERIES = [epoch_qc, history_qc, clock_validate, unit_convert, compact_clock, tr
            epoch_counts, welch_psd, band_powers, relative_power, delta_alpha_ratio, sef95, spectral_entropy, notch_power,
            mean_psd, density_array, bicoherence_60s, plv_alpha, bipolar_montage, bipolar_montage_mean_reference, depth_proxy,
            site_of, region_lookup, calibration_fit, interval_union, soi_rdi_score, robust_baseline, arousal_index, ewma, cusum,
-           cusum_forget, ols_trend, quality_fraction, bvc_band, asof_bvc, detector_steps, detector_steps_bvc, kalman_level,
+           cusum_forget, ols_trend, quality_fraction, bvc_band, asof_bvc, detector_steps, detector_steps_bvc, stream_detector_steps, kalman_level,
            alert_messages, onset_order, live_window_features, live_channel_features, live_steps, lead_times, false_alarms,
            evaluation, majority_vote, confusion, classification_metrics, subject_metrics, manifest_guards, group_guards,
            state_guards, union_columns, set_checks, resume_pending, content_digest]

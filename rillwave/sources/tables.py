@@ -59,10 +59,19 @@ def prop_k() -> Column:
 
 
 def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sessions_of(table(spark, sf_dir, "events"))
+
+
+def session_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same windows as an unbounded table."""
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    return sessions_of(spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir))
+
+
+def sessions_of(ev: DataFrame) -> DataFrame:
     """Events as live windows: one session per user, features by plain arithmetic on value and k."""
     k = prop_k().cast("double")
     v = F.col("value")
-    ev = table(spark, sf_dir, "events")
     bar = F.log(v + 1.0)
     muscle = F.log(v + k / 10.0 + 1.0)
     alpha = F.lit(1.0) / (F.lit(1.0) + v / 50.0)

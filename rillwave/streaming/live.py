@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,6 +13,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..functions import kernels as K
 from ..functions.batches import append_kernel
 from ..model import LIVE_FEATURES, STEPS, GuardError, LiveConfig
+from ..session import shared_folder
 from . import machine as M
 from .sessions import records, steps_frame
 
@@ -86,6 +88,19 @@ def detect_windows_stream(windows: DataFrame, cfg: LiveConfig) -> DataFrame:
         update, STEPS, "doc string", "append", GroupStateTimeout.NoTimeout)
 
 
+def drain(stream: DataFrame, name: str) -> DataFrame:
+    """Run a streaming query over everything available now and return its output as a table.
+
+    Output and progress live in the shared folder, so a lost executor only costs a retry.
+    """
+    spark = stream.sparkSession
+    base = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    query = (stream.writeStream.format("parquet").outputMode("append").option("path", f"{base}/out")
+             .option("checkpointLocation", f"{base}/progress").trigger(availableNow=True).start())
+    query.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{base}/out")
+
+
 def detect_chunks_stream(chunks: DataFrame, cfg: LiveConfig) -> DataFrame:
     """Streaming raw chunks (session_id, start_ix, uv: channel-major arrays) -> STEPS.
 
