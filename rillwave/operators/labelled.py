@@ -23,7 +23,7 @@ def confusion(predictions: DataFrame) -> DataFrame:
 
 def confusion_matrix(predictions: DataFrame, labels: list[str]) -> DataFrame:
     """One row per true class, one column per predicted class."""
-    return (predictions.groupBy("truth").pivot("pred", labels).agg(F.count("*")).na.fill(0).orderBy("truth"))
+    return (predictions.groupBy("truth").pivot("pred", labels).agg(F.count(F.lit(1))).na.fill(0).orderBy("truth"))
 
 
 def class_scores(predictions: DataFrame) -> DataFrame:

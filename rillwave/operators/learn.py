@@ -1,95 +1,181 @@
-"""Leave-one-subject-out linear SVM on Spark ML, with fold-safe scaling and one-vs-one voting."""
+"""Leave-one-subject-out linear SVMs, fitted together: one pass over the table serves every fold.
+
+A fold per subject and a model per class pair would mean thousands of separate fits, each of many
+passes. Here a pass computes the gradient and curvature of *all* models inside the tasks, the
+sums are reduced by Spark, and the driver updates a few small vectors. The number of passes does
+not depend on the number of subjects.
+"""
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import combinations
-from multiprocessing.pool import ThreadPool
 
-from pyspark.ml.classification import LinearSVC
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import Column, DataFrame, functions as F
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..model import GROUP_NAMES, GuardError
 from . import guards, labelled
 
+_STEPS = (1.0, 0.5, 0.2, 0.05)            # step lengths judged in the same pass
+_WIDTHS = (4.0, 1.0, 0.3, 0.1, 0.03, 0.01)   # the hinge corner is rounded ever less
 
-def _scaler(train: DataFrame, features: list[str]) -> tuple[list[float], list[float]]:
-    """Mean and population deviation from training rows only (deviation 0 scales by 1)."""
-    r = train.agg(*[F.avg(f).alias(f"m_{f}") for f in features], *[F.stddev_pop(f).alias(f"s_{f}") for f in features]).first()
-    return [r[f"m_{f}"] for f in features], [r[f"s_{f}"] or 1.0 for f in features]
-
-
-def _scaled(df: DataFrame, features: list[str], mean: list[float], sd: list[float]) -> DataFrame:
-    cols = [((F.col(f) - m) / s).alias(f"_x{i}") for i, (f, m, s) in enumerate(zip(features, mean, sd))]
-    wide = df.select("*", *cols)
-    return VectorAssembler(inputCols=[f"_x{i}" for i in range(len(features))], outputCol="_vec").transform(wide).drop(
-        *[f"_x{i}" for i in range(len(features))])
-
-
-def fit_pairs(train: DataFrame, label: str, classes: list[str], max_iter: int = 25,
-              tol: float = 1e-4) -> dict[tuple[str, str], tuple[list[float], float]]:
-    """One weighted linear SVM per class pair (C = 1): coefficients and intercept on scaled features."""
-    counts = {r[label]: r["count"] for r in train.groupBy(label).count().collect()}     # one row per class
-    total, models = sum(counts.values()), {}
-    per_class = total / len(classes)
-    for a, b in combinations(classes, 2):
-        weight = F.when(F.col(label) == a, per_class / counts[a]).otherwise(per_class / counts[b])
-        pair = train.where(F.col(label).isin(a, b)).select("_vec", (F.col(label) == b).cast("double").alias("_y"), weight.alias("_w"))
-        # every gradient is one job: few rows must not pay for many tasks
-        pair = pair.coalesce(max(1, (counts[a] + counts[b]) // 20000))
-        svc = LinearSVC(featuresCol="_vec", labelCol="_y", weightCol="_w", standardization=False,
-                        regParam=1.0 / (2 * per_class), maxIter=max_iter, tol=tol)
-        m = svc.fit(pair)
-        models[(a, b)] = (list(map(float, m.coefficients)), float(m.intercept))
-    return models
-
-
-def vote(df: DataFrame, models: dict, classes: list[str]) -> DataFrame:
-    """Adds ``pred``: the class with most pairwise wins, ties to the alphabetically first."""
-    x = vector_to_array(F.col("_vec"))
-    wins: dict[str, Column] = {c: F.lit(0) for c in classes}
-    for (a, b), (coef, bias) in models.items():
-        margin = reduce(Column.__add__, [x[i] * w for i, w in enumerate(coef)], F.lit(bias))
-        wins[a] = wins[a] + F.when(margin <= 0, 1).otherwise(0)
-        wins[b] = wins[b] + F.when(margin > 0, 1).otherwise(0)
-    ranked = F.array_min(F.array(*[F.struct((-wins[c]).alias("n"), F.lit(c).alias("c")) for c in classes]))
-    return df.withColumn("pred", ranked["c"]).drop("_vec")
-
-
-def held_out(table: DataFrame, label: str, features: list[str], subject: str = "subject_id", max_iter: int = 25,
-             parallel: int = 8) -> DataFrame:
-    """Held-out prediction of every row. Scaler and models of a fold never see the held-out subject.
-
-    Folds are independent fits over the cached table and run a few at a time, as in any Spark
-    cross-validation; the only driver-side lists are the subjects and classes.
-    """
-    classes = sorted(r[0] for r in table.select(label).distinct().collect())
-    data = table.cache()
-    pairs = data.groupBy(subject, label).count().collect()          # subjects x classes
-    subjects = sorted({r[subject] for r in pairs})
-    for s in subjects:
-        if {r[label] for r in pairs if r[subject] != s} != set(classes):
+
+@dataclass
+class Fold:
+    """Training view that leaves out one subject (or nobody): scaler and balanced class weights."""
+
+    held_out: str | None
+    mean: np.ndarray
+    sd: np.ndarray
+    weight: np.ndarray          # per class
+
+
+def folds_of(table: DataFrame, label: str, features: list[str], subject: str, whole: bool = False) -> tuple[list[str], list[Fold]]:
+    """Classes and folds from one aggregate row per (subject, class); scalers never see the held-out subject."""
+    aggs = [F.count("*").alias("n")] + [x for i, f in enumerate(features)
+                                        for x in (F.avg(f).alias(f"m{i}"), F.var_pop(f).alias(f"v{i}"))]
+    rows = table.groupBy(subject, label).agg(*aggs).collect()
+    classes, subjects = sorted({r[label] for r in rows}), sorted({r[subject] for r in rows})
+    who = np.array([subjects.index(r[subject]) for r in rows])
+    cls = np.array([classes.index(r[label]) for r in rows])
+    n = np.array([r["n"] for r in rows], dtype=float)
+    m = np.array([[r[f"m{i}"] for i in range(len(features))] for r in rows])
+    v = np.array([[r[f"v{i}"] for i in range(len(features))] for r in rows])
+
+    def fold(left_out: int | None) -> Fold:
+        use = np.ones(len(n), dtype=bool) if left_out is None else who != left_out
+        counts = np.bincount(cls[use], weights=n[use], minlength=len(classes))
+        if (counts == 0).any():
             raise GuardError("a held-out fold lacks a training class; collect labels across more subjects")
+        w = n[use, None]
+        mean = (w * m[use]).sum(axis=0) / w.sum()
+        sd = np.sqrt((w * (v[use] + (m[use] - mean) ** 2)).sum(axis=0) / w.sum())
+        return Fold(None if left_out is None else subjects[left_out], mean, np.where(sd > 0, sd, 1.0),
+                    counts.sum() / (len(classes) * counts))
 
-    def fold(s) -> DataFrame:
-        train, test = data.where(F.col(subject) != s), data.where(F.col(subject) == s)
-        mean, sd = _scaler(train, features)
-        models = fit_pairs(_scaled(train, features, mean, sd), label, classes, max_iter)
-        return vote(_scaled(test, features, mean, sd), models, classes)
+    return classes, [fold(None)] if whole else [fold(i) for i in range(len(subjects))]
 
-    with ThreadPool(min(parallel, len(subjects))) as pool:
-        return reduce(DataFrame.unionByName, pool.map(fold, subjects))
 
+def _soft_hinge(z: np.ndarray, width: float):
+    """Value, slope and curvature of the hinge with a parabola of the given width at its corner.
 
-def final_model(table: DataFrame, label: str, features: list[str]) -> dict:
+    On the straight part the curvature of the usual quadratic bound keeps steps finite.
+    """
+    flat, bend = z <= 0, (z > 0) & (z < width)
+    value = np.where(flat, 0.0, np.where(bend, z * z / (2 * width), z - width / 2))
+    return value, np.where(flat, 0.0, np.where(bend, z / width, 1.0)), np.where(bend, 1.0 / width, np.where(flat, 0.0, 0.5 / np.maximum(z, width)))
+
+
+def _pass(table: DataFrame, label: str, features: list[str], subject: str, classes: list[str], folds: list[Fold],
+          tries: np.ndarray, width: float) -> np.ndarray:
+    """Sums over rows for tries (candidate, fold, pair, d + 1): loss, gradient and curvature, flattened last."""
+    pairs = list(combinations(range(len(classes)), 2))
+    d = len(features) + 1
+    size = 1 + d + d * d
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((*tries.shape[:3], size))
+        for pdf in frames:
+            x = pdf[features].to_numpy(float)
+            y = pdf[label].map({c: i for i, c in enumerate(classes)}).to_numpy()
+            s = pdf[subject].to_numpy()
+            for fi, fold in enumerate(folds):
+                mine = np.ones(len(x), dtype=bool) if fold.held_out is None else s != fold.held_out
+                z = np.column_stack([(x[mine] - fold.mean) / fold.sd, np.ones(mine.sum())])
+                for pi, (low, high) in enumerate(pairs):
+                    rows = (y[mine] == low) | (y[mine] == high)
+                    zz, sign = z[rows], np.where(y[mine][rows] == high, 1.0, -1.0)
+                    c = fold.weight[y[mine][rows]]
+                    for k in range(len(tries)):
+                        value, slope, curve = _soft_hinge(1.0 - sign * (zz @ tries[k, fi, pi]), width)
+                        out = total[k, fi, pi]
+                        out[0] += (c * value).sum()
+                        out[1:1 + d] -= zz.T @ (c * slope * sign)
+                        out[1 + d:] += ((zz * (c * curve)[:, None]).T @ zz).ravel()
+        flat = total.reshape(-1, size)
+        yield pd.DataFrame({"model": np.repeat(np.arange(len(flat)), size), "pos": np.tile(np.arange(size), len(flat)), "v": flat.ravel()})
+
+    sums = (table.select(subject, label, *features).mapInPandas(run, "model long, pos long, v double")
+            .groupBy("model", "pos").agg(F.sum("v").alias("v")).toPandas())      # models x (1 + d + d^2) numbers
+    out = np.zeros((tries[..., 0].size, size))
+    out[sums["model"], sums["pos"]] = sums["v"]
+    return out.reshape(*tries.shape[:3], size)
+
+
+def fit(table: DataFrame, label: str, features: list[str], subject: str, classes: list[str], folds: list[Fold],
+        rounds: int = 6) -> np.ndarray:
+    """Coefficients (fold, pair, d + 1) on scaled features, C = 1, intercept unpenalised and last."""
+    d = len(features) + 1
+    n_pairs = len(classes) * (len(classes) - 1) // 2
+    ridge = np.diag([1.0] * (d - 1) + [0.0])
+    at = np.zeros((len(folds), n_pairs, d))
+
+    def score(tries, width):
+        sums = _pass(table, label, features, subject, classes, folds, tries, width)
+        return 0.5 * (tries[..., :-1] ** 2).sum(axis=-1) + sums[..., 0], sums
+
+    for width in _WIDTHS:
+        value, sums = score(at[None], width)
+        value, sums = value[0], sums[0]
+        for _ in range(rounds):
+            grad = sums[..., 1:1 + d] + at @ ridge
+            hess = sums[..., 1 + d:].reshape(len(folds), n_pairs, d, d) + ridge + 1e-9 * np.eye(d)
+            move = -np.linalg.solve(hess, grad[..., None])[..., 0]
+            tries = np.stack([at + t * move for t in _STEPS])
+            values, all_sums = score(tries, width)
+            best = values.argmin(axis=0)
+            pick = np.take_along_axis(values, best[None], axis=0)[0]
+            better = pick < value
+            gain = np.where(better, value - pick, 0.0)
+            chosen = np.take_along_axis(tries, best[None, ..., None], axis=0)[0]
+            chosen_sums = np.take_along_axis(all_sums, best[None, ..., None], axis=0)[0]
+            at = np.where(better[..., None], chosen, at)
+            sums = np.where(better[..., None], chosen_sums, sums)
+            value = np.where(better, pick, value)
+            if (gain <= 1e-7 * (1.0 + np.abs(value))).all():
+                break
+    return at
+
+
+def predict(table: DataFrame, features: list[str], subject: str, classes: list[str], folds: list[Fold], coef: np.ndarray) -> DataFrame:
+    """Adds ``pred`` from the fold that held the row's subject out: most pairwise wins, ties to the first class."""
+    pairs = list(combinations(range(len(classes)), 2))
+    index = {f.held_out: i for i, f in enumerate(folds)}
+    schema = T.StructType(table.schema.fields + [T.StructField("pred", T.StringType())])
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            x = pdf[features].to_numpy(float)
+            which = pdf[subject].map(lambda s: index.get(s, index.get(None))).to_numpy()
+            wins = np.zeros((len(x), len(classes)))
+            for fi in np.unique(which):
+                rows = np.flatnonzero(which == fi)
+                z = np.column_stack([(x[rows] - folds[fi].mean) / folds[fi].sd, np.ones(len(rows))])
+                for pi, (low, high) in enumerate(pairs):
+                    up = z @ coef[fi, pi] > 0
+                    wins[rows, np.where(up, high, low)] += 1
+            yield pdf.assign(pred=np.array(classes, dtype=object)[wins.argmax(axis=1)])
+
+    return table.mapInPandas(run, schema)
+
+
+def held_out(table: DataFrame, label: str, features: list[str], subject: str = "subject_id") -> DataFrame:
+    """Held-out prediction of every row."""
+    table = table.cache()
+    classes, folds = folds_of(table, label, features, subject)
+    return predict(table, features, subject, classes, folds, fit(table, label, features, subject, classes, folds))
+
+
+def final_model(table: DataFrame, label: str, features: list[str], subject: str = "subject_id") -> dict:
     """Model over all rows as plain numbers (scaler and pairwise hyperplanes)."""
-    classes = sorted(r[0] for r in table.select(label).distinct().collect())
-    mean, sd = _scaler(table, features)
-    models = fit_pairs(_scaled(table, features, mean, sd), label, classes)
-    return {"features": features, "classes": classes, "mean": mean, "sd": sd,
-            "pairs": [{"low": a, "high": b, "coef": c, "intercept": i} for (a, b), (c, i) in models.items()]}
+    classes, folds = folds_of(table, label, features, subject, whole=True)
+    coef = fit(table, label, features, subject, classes, folds)[0]
+    return {"features": features, "classes": classes, "mean": folds[0].mean.tolist(), "sd": folds[0].sd.tolist(),
+            "pairs": [{"low": a, "high": b, "coef": c[:-1].tolist(), "intercept": float(c[-1])}
+                      for (a, b), c in zip(combinations(classes, 2), coef)]}
 
 
 def train_states(table: DataFrame, features: list[str]) -> tuple[dict, DataFrame]:

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..functions import scalars as S
 from ..functions.kernels import SPECTRAL_COLUMNS
 from ..model import BVC_ITEMS, LIVE_FEATURES, LiveConfig, QualityPolicy
-from ..operators import (asof, clinical, composite, coupling, epochs as E, evaluate, guards, labelled, montage,
+from ..operators import (asof, clinical, composite, coupling, epochs as E, evaluate, guards, labelled, learn, montage,
                          personal, quality, recurrence, spectral)
 from ..sources import tables as G
 from ..streaming import live, sessions
@@ -443,6 +443,17 @@ def predictions(spark, d) -> DataFrame:
     return o.join(c, "o_custkey").withColumnRenamed("o_custkey", "subject_id")
 
 
+def svm_held_out(spark, d):
+    """Leave-one-subject-out SVM on the vectors: parity of the label as state, four recording sites as subjects."""
+    half = lambda a: F.aggregate(F.slice("embedding", a, 32).cast("array<double>"), F.lit(0.0), lambda s, x: s + x)
+    t = G.table(spark, d, "embeddings").select(
+        "vec_id", F.concat(F.lit("s"), F.col("vec_id") % 4).alias("subject_id"),
+        F.when(F.col("label") % 2 == 0, "baseline").otherwise("sensory_loading").alias("research_label"),
+        half(1).alias("f1"), half(33).alias("f2"), F.col("embedding")[0].cast("double").alias("f3"))
+    p = learn.held_out(t, "research_label", ["f1", "f2", "f3"])
+    return p.select("vec_id", "subject_id", "research_label", "pred")
+
+
 def majority_vote(spark, d):
     return labelled.majority_vote(predictions(spark, d))
 
@@ -519,5 +530,5 @@ QUERIES = [epoch_qc, history_qc, clock_validate, unit_convert, compact_clock, tr
            site_of, region_lookup, calibration_fit, interval_union, soi_rdi_score, robust_baseline, arousal_index, ewma, cusum,
            cusum_forget, ols_trend, quality_fraction, bvc_band, asof_bvc, detector_steps, detector_steps_bvc, stream_detector_steps, kalman_level,
            alert_messages, onset_order, live_window_features, live_channel_features, live_steps, lead_times, false_alarms,
-           evaluation, majority_vote, confusion, classification_metrics, subject_metrics, manifest_guards, group_guards,
+           evaluation, svm_held_out, majority_vote, confusion, classification_metrics, subject_metrics, manifest_guards, group_guards,
            state_guards, union_columns, set_checks, resume_pending, content_digest]

@@ -182,6 +182,23 @@ def test_state_guards(spark, change):
         learn.train_states(change(states(spark)), ["alpha_power"])
 
 
+def test_hyperplane_is_optimal(spark):
+    """No small change of any coefficient lowers the exact weighted hinge objective noticeably."""
+    rng = np.random.default_rng(4)
+    y = rng.integers(0, 2, 90)
+    x = rng.normal(0, 1, (90, 2)) + y[:, None] * [1.5, 0.5]
+    df = spark.createDataFrame([(f"s{i % 3}", "ab"[k], float(v[0]), float(v[1])) for i, (k, v) in enumerate(zip(y, x))],
+                               "subject_id string, label string, f1 double, f2 double")
+    m = learn.final_model(df, "label", ["f1", "f2"])
+    z = (x - x.mean(axis=0)) / x.std(axis=0)
+    np.testing.assert_allclose([m["mean"], m["sd"]], [x.mean(axis=0), x.std(axis=0)])
+    c = np.where(y == 1, 90 / (2 * (y == 1).sum()), 90 / (2 * (y == 0).sum()))
+    cost = lambda w: 0.5 * (w[:2] ** 2).sum() + (c * np.maximum(0, 1 - (2 * y - 1) * (z @ w[:2] + w[2]))).sum()
+    w = np.array([*m["pairs"][0]["coef"], m["pairs"][0]["intercept"]])
+    around = [cost(w + rng.normal(0, s, 3)) for s in (0.3, 0.1, 0.03, 0.01) for _ in range(200)]
+    assert cost(w) <= min(around) * (1 + 5e-4)
+
+
 def test_groups_by_subject_votes(spark):
     rng = np.random.default_rng(0)
     rows = [(f"{g}-{s}", g, f"site{s % 2}", True, float(i + rng.normal(0, 0.2)), float(rng.normal()))
