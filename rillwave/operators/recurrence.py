@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from ..session import cut_lineage
 from .segments import own_rows, segment_of, with_halo
 
 _FAN = 4096
@@ -118,9 +119,10 @@ def scan(df: DataFrame, key: str, position: str, op, out: str, size: float = 655
 
     key_type = to_arrow_type(df.schema[key].dataType)
     slim = rows.select(key, "segment", "_pos", *values)
-    level1 = (_sorted_by(slim, key, "segment", "_pos")
-              .mapInArrow(summaries("segment", values, op.lift), f"{key} {kind}, segment long, p array<double>")
-              .withColumn("fan", F.floor(F.col("segment") / _FAN).cast("long")))
+    # one row per segment: kept, so that the input is read once for summaries and once for the replay
+    level1 = cut_lineage(_sorted_by(slim, key, "segment", "_pos")
+                         .mapInArrow(summaries("segment", values, op.lift), f"{key} {kind}, segment long, p array<double>")
+                         .withColumn("fan", F.floor(F.col("segment") / _FAN).cast("long")))
     level2 = (_sorted_by(level1, key, "fan", "segment")
               .mapInArrow(summaries("fan", ["p"], list), f"{key} {kind}, fan long, p array<double>"))
 

@@ -10,6 +10,7 @@ from ..functions.kernels import SPECTRAL_COLUMNS
 from ..functions.scalars import depth_proxy, epochs_column
 from ..model import RDI_COMPONENTS, RESERVED_NUMERICS, SOI_COMPONENTS, GuardError, QualityPolicy
 from ..operators import coupling, epochs as E, quality, spectral
+from ..session import cut_lineage
 
 HISTORY_S = 60.0
 
@@ -79,13 +80,15 @@ def analyze(blocks: DataFrame, fs: float, epoch_s: float = 4.0, line_hz: float |
     ``numerics``: sample-aligned monitor values (recording_id, sample_ix, name, value); ``flags``:
     see ``assess_epochs``; ``sites``: verified electrode sites; ``starts`` (recording_id, start_s).
     Raw signal is shuffled once for the epochs and once, with a 60 s halo, for the histories; all
-    other exchanges carry one small row per epoch and channel.
+    other exchanges carry one small row per epoch and channel. The epoch figures are computed
+    right away and kept in the shared folder.
     """
     n = E.epoch_samples(fs, epoch_s)
     if line_hz is not None and not 0 < line_hz < fs / 2:
         raise GuardError("notch frequency must be positive and below Nyquist")
     cut = E.cut(blocks, n)
-    per = spectral.epoch_features(cut, fs, line_hz)
+    # verdicts, histories and features all start here: keep the figures, never redo the signal work
+    per = cut_lineage(spectral.epoch_features(cut, fs, line_hz))
     aux = None if numerics is None else quality.wide_numerics(quality.numeric_stats(numerics, n))
     verdict = quality.assess_epochs(per, aux, policy, flags, require_sqi)
 

@@ -9,6 +9,7 @@ from ..functions.kernels import SPECTRAL_COLUMNS
 from ..model import BVC_ITEMS, LIVE_FEATURES, LiveConfig, QualityPolicy
 from ..operators import (asof, clinical, composite, coupling, epochs as E, evaluate, guards, labelled, learn, montage,
                          personal, quality, recurrence, spectral)
+from ..session import cut_lineage
 from ..sources import tables as G
 from ..streaming import live, sessions
 
@@ -58,9 +59,9 @@ def cut_e(spark, d) -> DataFrame:
     return E.cut(G.recording_blocks(spark, d), N)
 
 
-def verdicts(spark, d) -> DataFrame:
+def verdicts(spark, d, stats: DataFrame | None = None) -> DataFrame:
     numerics = quality.wide_numerics(quality.numeric_stats(sqi_emg(spark, d), N))
-    return quality.assess_epochs(quality.signal_stats(cut_e(spark, d)), numerics, POLICY)
+    return quality.assess_epochs(quality.signal_stats(cut_e(spark, d)) if stats is None else stats, numerics, POLICY)
 
 
 def features_e(spark, d, line_hz=None) -> DataFrame:
@@ -126,10 +127,11 @@ def epoch_recorded_median(spark, d):
 
 def epoch_counts(spark, d):
     """Samples, complete epochs, accepted, rejected and unused tail."""
-    n = E.lengths(G.recording_blocks(spark, d)).select("samples", (F.col("samples") % N).alias("unused_tail_samples"))
-    v = verdicts(spark, d).agg(F.count("*").alias("complete_epochs"), F.count_if("accepted").alias("accepted_epochs"),
-                               F.count_if(~F.col("accepted")).alias("rejected_epochs"))
-    return v.join(n)      # one row each
+    n = E.lengths(G.recording_blocks(spark, d)).withColumn("unused_tail_samples", F.col("samples") % N)
+    v = verdicts(spark, d).groupBy("recording_id").agg(
+        F.count("*").alias("complete_epochs"), F.count_if("accepted").alias("accepted_epochs"),
+        F.count_if(~F.col("accepted")).alias("rejected_epochs"))
+    return v.join(n, "recording_id").drop("recording_id")
 
 
 def welch_psd(spark, d):
@@ -218,9 +220,10 @@ def bipolar_montage_mean_reference(spark, d):
 
 
 def depth_proxy(spark, d):
-    good = verdicts(spark, d).select("recording_id", "epoch_ix", "accepted")
+    per = cut_lineage(features_e(spark, d))
+    good = verdicts(spark, d, per).select("recording_id", "epoch_ix", "accepted")
     p = S.depth_proxy(F.col("sef95_hz"), F.col("spectral_entropy"), F.col("delta_relative_power"))
-    return (features_e(spark, d).join(good, ["recording_id", "epoch_ix"])
+    return (per.join(good, ["recording_id", "epoch_ix"])
             .select("channel", "epoch_ix", r6(F.when(F.col("accepted"), p)).alias("bis_proxy_uncalibrated")))
 
 

@@ -19,6 +19,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _named(key: str, recording: str) -> Column:
+    """Recording id that stays a column: a bare literal would be folded away from join keys."""
+    return F.when(F.col(key).isNotNull(), F.lit(recording))
+
+
 def _blocks(spark: SparkSession, sf_dir: str, recording: str, channels: tuple[str, ...]) -> DataFrame:
     emb = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     width = 64 // len(channels)
@@ -27,7 +32,7 @@ def _blocks(spark: SparkSession, sf_dir: str, recording: str, channels: tuple[st
                                   lambda v: v * 100.0).alias("uv"))
              for i, c in enumerate(channels)]
     return (emb.select("vec_id", F.explode(F.array(*parts)).alias("p"))
-            .select(F.lit(recording).alias("recording_id"), "p.channel",
+            .select(_named("vec_id", recording).alias("recording_id"), "p.channel",
                     (F.col("vec_id") * width).alias("start_ix"), "p.uv"))
 
 
@@ -43,13 +48,13 @@ def clock(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sample clock of ``E``: one row per sample."""
     ids = table(spark, sf_dir, "embeddings").select("vec_id")
     return (ids.select(F.explode(F.sequence(F.col("vec_id") * 32, F.col("vec_id") * 32 + 31)).alias("sample_ix"))
-            .select(F.lit("E").alias("recording_id"), "sample_ix",
+            .select(_named("sample_ix", "E").alias("recording_id"), "sample_ix",
                     (F.col("sample_ix") / F.lit(FS)).alias("t")))
 
 
 def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = table(spark, sf_dir, "events")
-    return ev.select(F.lit("E").alias("recording_id"), F.lit("E").alias("case_id"), F.col("event_type").alias("tname"),
+    return ev.select(_named("event_id", "E").alias("recording_id"), _named("event_id", "E").alias("case_id"), F.col("event_type").alias("tname"),
                      F.col("event_id").alias("row_ix"), F.col("event_id").cast("double").alias("t"), "value")
 
 
