@@ -6,6 +6,8 @@ are convolutions with an impulse response that is itself produced by a recursive
 
 from __future__ import annotations
 
+import re
+
 from rillwave.functions.filters import butter_sections, notch_section, pad_length
 from rillwave.model import REGIONS
 
@@ -50,9 +52,9 @@ LOUD = held({"SQI": ("view", "100.0 - value * 0.2"), "EMG": ("click", "value * 0
 QUIET = held({"SQI": ("view", "100.0 - value * 0.05"), "EMG": ("click", "value * 0.2")}, 60.0)
 
 
-def judged(amp: float, flat: float, sqi: float, span: int) -> str:
+def judged(amp: float, flat: float, sqi: float, span: int, tag: str = "") -> str:
     """Verdicts over ``span`` consecutive epochs ending with each epoch."""
-    return f"""ends AS (SELECT epoch_ix AS last_ix FROM whole WHERE epoch_ix >= {span - 1}),
+    sql = f"""ends AS (SELECT epoch_ix AS last_ix FROM whole WHERE epoch_ix >= {span - 1}),
 sig AS (SELECT last_ix AS epoch_ix, channel, max(abs(uv)) AS pk, stddev_pop(uv) AS sd
   FROM ends JOIN ep ON ep.epoch_ix BETWEEN last_ix - {span - 1} AND last_ix GROUP BY 1, 2),
 sig2 AS (SELECT epoch_ix, max(pk) AS max_abs, min(sd) AS min_sd FROM sig GROUP BY 1),
@@ -65,6 +67,11 @@ verdict AS (SELECT *, concat_ws(';', CASE WHEN max_abs > {amp} THEN 'amplitude_o
     CASE WHEN qgap THEN 'missing_sqi' WHEN qlo < 0 OR qhi > 100 THEN 'invalid_sqi' WHEN qlo < {sqi} THEN 'low_sqi' END) AS quality_reasons,
     CASE WHEN mgap THEN 'emg_quality_unknown' WHEN mhi >= 40 THEN 'possible_muscle_contamination' ELSE '' END AS quality_warnings
   FROM v)"""
+    if tag:
+        for name in ("verdict", "ends", "sig2", "sig", "num"):
+            sql = re.sub(rf"\b{name}\b", name + tag, sql)
+        sql = sql.replace("v AS (SELECT s.*", f"v{tag} AS (SELECT s.*").replace("FROM v)", f"FROM v{tag})")
+    return sql
 
 
 STRICT = judged(45.0, 12.0, 70.0, 1)
@@ -230,9 +237,8 @@ SELECT event_id, subject_id, {r6("CASE WHEN ns = 5 AND d >= 86400 THEN soi END",
   {r6("ns / 5.0::DOUBLE", "soi_coverage")}, soi_missing, CASE WHEN d < 86400 THEN 'calibration_shorter_than_article_24h' ELSE '' END AS issues FROM ag"""
 
 
-def bicoherence() -> str:
-    return f"""WITH {E}, {QUIET}, {judged(300.0, 0.05, 80.0, 15)},
-s1 AS (SELECT channel, g AS seg, sample_ix - g * 128 AS n, uv - avg(uv) OVER (PARTITION BY channel, g) AS x
+def bicoherence_ctes() -> str:
+    return f"""s1 AS (SELECT channel, g AS seg, sample_ix - g * 128 AS n, uv - avg(uv) OVER (PARTITION BY channel, g) AS x
   FROM e, range((SELECT max(sample_ix) // 128 FROM e)) t(g) WHERE sample_ix BETWEEN g * 128 AND g * 128 + 255),
 f1 AS (SELECT channel, seg, k, sum(x * (0.5 - 0.5 * cos({PI2} * n / 256.0)) * cos({PI2} * ((k * n) % 256) / 256.0)) AS re,
   -sum(x * (0.5 - 0.5 * cos({PI2} * n / 256.0)) * sin({PI2} * ((k * n) % 256) / 256.0)) AS im FROM s1, range(10, 61) b(k) GROUP BY 1, 2, 3),
@@ -241,7 +247,11 @@ tri AS (SELECT a.channel, a.seg, a.k AS i, b.k AS j, a.re * b.re - a.im * b.im A
   JOIN f1 c ON c.channel = a.channel AND c.seg = a.seg AND c.k = a.k + b.k),
 tot AS (SELECT t.channel, h.last_ix AS epoch_ix, i, j, sum(pr * cr + pi * ci) AS nr, sum(pi * cr - pr * ci) AS ni, sum(pr * pr + pi * pi) AS dp, sum(cr * cr + ci * ci) AS ds
   FROM ends h JOIN tri t ON t.seg BETWEEN (h.last_ix - 14) * 4 AND (h.last_ix - 14) * 4 + 58 GROUP BY 1, 2, 3, 4),
-bic AS (SELECT channel, epoch_ix, avg(least(1.0, greatest(0.0, (nr * nr + ni * ni) / (dp * ds)))) AS b FROM tot WHERE dp * ds > 2.2250738585072014e-308 GROUP BY 1, 2)
+bic AS (SELECT channel, epoch_ix, avg(least(1.0, greatest(0.0, (nr * nr + ni * ni) / (dp * ds)))) AS b FROM tot WHERE dp * ds > 2.2250738585072014e-308 GROUP BY 1, 2)"""
+
+
+def bicoherence() -> str:
+    return f"""WITH {E}, {QUIET}, {judged(300.0, 0.05, 80.0, 15)}, {bicoherence_ctes()}
 SELECT c.channel, w.epoch_ix, {r6("CASE WHEN d.quality_reasons = '' AND d.quality_warnings = '' THEN b END", "auto_bicoherence_squared_60s")}
 FROM whole w CROSS JOIN (VALUES ('A'), ('B')) c(channel) LEFT JOIN verdict d ON d.epoch_ix = w.epoch_ix LEFT JOIN bic ON bic.channel = c.channel AND bic.epoch_ix = w.epoch_ix"""
 
@@ -502,3 +512,22 @@ ORACLES = {
     "content_digest": "SELECT doc_id, sha256(text) AS sha256 FROM documents",
 }
 ORACLES["stream_detector_steps"] = ORACLES["detector_steps"]
+
+
+def whole_analysis() -> str:
+    """Everything of one epoch and channel, NULL where the epoch is rejected."""
+    feats = ("CASE WHEN g.quality_reasons = '' THEN {} END").format
+    cols = [r6(feats(n), f"{n}_power_uv2") for n in BANDS] + [r6(feats(f"{n} / total"), f"{n}_relative_power") for n in BANDS]
+    cols += [r6(feats("total"), "total_power_uv2"), r6(feats("CASE WHEN alpha > 1e-12 THEN delta / alpha END"), "delta_alpha_ratio"),
+             r6(feats("sef"), "sef95_hz"), r6(feats("ent"), "spectral_entropy"),
+             r6(feats("CASE WHEN h.quality_reasons = '' AND h.quality_warnings = '' THEN b END"), "auto_bicoherence_squared_60s"),
+             r6(feats("100 * (least(1, greatest(0, sef / 30)) + least(1, greatest(0, ent)) + least(1, greatest(0, 1 - delta / total))) / 3"), "bis_proxy_uncalibrated")]
+    return f"""WITH {E}, {QUIET}, {judged(300.0, 0.05, 80.0, 15)}, {judged(300.0, 0.05, 80.0, 1, "_one")}, {bicoherence_ctes()}, {SPEC}, {POWERS}, {SEF}, {ENT}
+SELECT CASE WHEN g.quality_reasons = '' THEN c.channel END AS channel, g.epoch_ix, {r6("g.epoch_ix * 4.0::DOUBLE", "time_s")}, {r6("g.epoch_ix * 4.0::DOUBLE + 4.0", "epoch_end_s")},
+  g.quality_reasons = '' AS accepted, g.quality_reasons, g.quality_warnings, 'indeterminate' AS classification, {", ".join(cols)}
+FROM verdict_one g JOIN (VALUES ('A'), ('B')) c(channel) ON g.quality_reasons = '' OR c.channel = 'A' JOIN pw ON pw.epoch_ix = g.epoch_ix AND pw.channel = c.channel
+JOIN sef ON sef.epoch_ix = g.epoch_ix AND sef.channel = c.channel JOIN ent ON ent.epoch_ix = g.epoch_ix AND ent.channel = c.channel
+LEFT JOIN verdict h ON h.epoch_ix = g.epoch_ix LEFT JOIN bic ON bic.epoch_ix = g.epoch_ix AND bic.channel = c.channel"""
+
+
+ORACLES["analyze_recording"] = whole_analysis()

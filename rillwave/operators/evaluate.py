@@ -1,10 +1,15 @@
-"""Lead times and false alarms against labelled event times, as bucketed range joins."""
+"""Lead times and false alarms against labelled event times, as forward as-of joins.
+
+Only the first alert of a look-back and the first event after an alert matter, so nothing pairs
+events with all alerts near them: times are negated and the backward as-of join finds the one
+row that counts, in time buckets, however many rows a session has.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .segments import segment_of
+from .asof import asof_backward
 
 LEVELS = ("EARLY_WARNING", "IMMINENT")
 
@@ -13,38 +18,30 @@ def _alerts(alerts: DataFrame) -> DataFrame:
     return alerts.where(F.col("level").isin(*LEVELS)).select("session_id", "level", F.col("t").alias("alert_t"))
 
 
-def lead_times(events: DataFrame, alerts: DataFrame, lookback_min: float = 15.0) -> DataFrame:
-    """Per event: minutes from the earliest alert of each level within the look-back to the event.
+def _first_after(left: DataFrame, begin: str, right: DataFrame, time: str, within: float) -> DataFrame:
+    """Left rows plus ``ref``: the earliest right row at or after ``begin``, at most ``within`` seconds later."""
+    probe = left.withColumn("_q", -F.col(begin))
+    held = right.select("session_id", F.col(time), (-F.col(time)).alias("_n"))
+    return asof_backward(probe, held, ["session_id"], "_q", "_n", within, width=max(3600.0, within)).drop("_q")
+
 
-    Each event visits the two time buckets its look-back can touch, so the join stays an equi-join
-    and a session with very many alerts spreads over buckets.
-    """
+def lead_times(events: DataFrame, alerts: DataFrame, lookback_min: float = 15.0) -> DataFrame:
+    """Per event: minutes from the earliest alert of each level within the look-back to the event."""
     back = lookback_min * 60.0
-    ev = events.select("session_id", F.col("t").alias("event_t"))
-    probe = ev.withColumn("bucket", F.explode(F.sequence(segment_of(F.col("event_t") - back, back),
-                                                         segment_of(F.col("event_t"), back))))
-    al = _alerts(alerts).withColumn("bucket", segment_of(F.col("alert_t"), back))
-    hits = (probe.join(al, ["session_id", "bucket"])
-            .where((F.col("alert_t") >= F.col("event_t") - back) & (F.col("alert_t") <= F.col("event_t")))
-            .groupBy("session_id", "event_t")
-            .agg(*[F.min(F.when(F.col("level") == lv, F.col("alert_t"))).alias(f"_{lv.lower()}") for lv in LEVELS]))
-    out = ev.join(hits, ["session_id", "event_t"], "left")
-    for lv in LEVELS:
-        name = lv.lower()
-        out = out.withColumn(f"{name}_lead_min", F.bround((F.col("event_t") - F.col(f"_{name}")) / 60.0, 2)).drop(f"_{name}")
-    return out.withColumn("event_min", F.bround(F.col("event_t") / 60.0, 2))
+    out = events.select("session_id", F.col("t").alias("event_t")).withColumn("_from", F.col("event_t") - back)
+    for level in LEVELS:
+        mine = _alerts(alerts).where(F.col("level") == level)
+        hit = F.when(F.col("ref.alert_t") <= F.col("event_t"), F.col("ref.alert_t"))
+        out = (_first_after(out, "_from", mine, "alert_t", back + 1e-3)
+               .withColumn(f"{level.lower()}_lead_min", F.bround((F.col("event_t") - hit) / 60.0, 2)).drop("ref"))
+    return out.drop("_from").withColumn("event_min", F.bround(F.col("event_t") / 60.0, 2))
 
 
 def false_alarms(events: DataFrame, alerts: DataFrame, horizon_min: float) -> DataFrame:
     """Alerts that no event follows within the horizon plus two minutes."""
-    ahead = (horizon_min + 2.0) * 60.0
-    ev = (events.select("session_id", F.col("t").alias("event_t"))
-          .withColumn("bucket", F.explode(F.sequence(segment_of(F.col("event_t") - ahead, ahead),
-                                                     segment_of(F.col("event_t"), ahead)))))
-    al = _alerts(alerts).withColumn("bucket", segment_of(F.col("alert_t"), ahead))
-    follows = (F.col("event_t") - F.col("alert_t")).between(0.0, ahead)
-    return (al.alias("a").join(ev.alias("e"), (F.col("a.session_id") == F.col("e.session_id"))
-                               & (F.col("a.bucket") == F.col("e.bucket")) & follows, "left_anti").drop("bucket"))
+    ev = events.select("session_id", F.col("t").alias("event_t"))
+    return (_first_after(_alerts(alerts), "alert_t", ev, "event_t", (horizon_min + 2.0) * 60.0)
+            .where("ref is null").drop("ref"))
 
 
 def evaluation(events: DataFrame, alerts: DataFrame, horizon_min: float, lookback_min: float = 15.0) -> DataFrame:

@@ -12,6 +12,7 @@ from ..operators import (asof, clinical, composite, coupling, epochs as E, evalu
 from ..session import cut_lineage
 from ..sources import tables as G
 from ..streaming import live, sessions
+from . import analyze as offline
 
 FS, N = G.FS, 512
 POLICY = QualityPolicy(min_sqi=70.0, max_abs_uv=45.0, flat_std_uv=12.0)
@@ -191,6 +192,14 @@ def bicoherence_60s(spark, d):
             .select("channel", "epoch_ix", r6(F.when(F.col("_ok"), F.col("bicoherence"))).alias("auto_bicoherence_squared_60s")))
 
 
+def analyze_recording(spark, d):
+    """The whole offline analysis of the recording: verdicts, spectra, bicoherence and proxy per epoch and channel."""
+    a = offline.analyze(G.recording_blocks(spark, d), FS, numerics=quiet_sqi_emg(spark, d))
+    f = a.epochs.select("recording_id", "epoch_ix", "time_s", "epoch_end_s", "accepted", "quality_reasons", "quality_warnings",
+                        "classification").join(a.features, ["recording_id", "epoch_ix"], "left").drop("recording_id")
+    return rounded(f, "epoch_ix", "channel", "accepted", "quality_reasons", "quality_warnings", "classification")
+
+
 def plv_alpha(spark, d):
     blocks = G.recording_blocks(spark, d)
     site = F.when(F.col("channel") == "A", "Fp1").otherwise("P3")
@@ -529,7 +538,7 @@ def content_digest(spark, d):
 
 QUERIES = [epoch_qc, history_qc, clock_validate, unit_convert, compact_clock, track_check, asof_numeric, epoch_recorded_median,
            epoch_counts, welch_psd, band_powers, relative_power, delta_alpha_ratio, sef95, spectral_entropy, notch_power,
-           mean_psd, density_array, bicoherence_60s, plv_alpha, bipolar_montage, bipolar_montage_mean_reference, depth_proxy,
+           mean_psd, density_array, bicoherence_60s, analyze_recording, plv_alpha, bipolar_montage, bipolar_montage_mean_reference, depth_proxy,
            site_of, region_lookup, calibration_fit, interval_union, soi_rdi_score, robust_baseline, arousal_index, ewma, cusum,
            cusum_forget, ols_trend, quality_fraction, bvc_band, asof_bvc, detector_steps, detector_steps_bvc, stream_detector_steps, kalman_level,
            alert_messages, onset_order, live_window_features, live_channel_features, live_steps, lead_times, false_alarms,

@@ -92,6 +92,8 @@ def _sorted_rows(rows: DataFrame, starts: DataFrame | None, segment_windows: int
 
 def run_sessions(windows: DataFrame, cfg: LiveConfig, segment_windows: int = 16384) -> DataFrame:
     """Steps of every session from WINDOWS rows (plus ``bvc`` from ``with_clinical``, if any)."""
+    # windows stand for kilobytes of raw signal each: compute them once, then only walk them
+    windows = cut_lineage(windows)
     rows = ordinal(windows, "session_id", "t").withColumn("segment", F.floor(F.col("ordinal") / segment_windows).cast("long"))
     longest = windows.groupBy("session_id").count().agg(F.max("count").alias("n")).first()["n"] or 0
     starts = _settle(rows, cfg, segment_windows) if longest > segment_windows else None
