@@ -362,7 +362,7 @@ my AS (SELECT session_id, t, row_number() OVER (PARTITION BY session_id ORDER BY
 {walk("k2", "my", "f2", True)}"""
 
 
-def onsets() -> str:
+def onset_ctes() -> str:
     """Per channel and kind: accumulator since the last calm window and its first crossing."""
     chans = "(VALUES ('TP9', 0, 'L', 'left temporoparietal'), ('AF7', 1, 'L', 'left frontal'), ('AF8', 2, 'R', 'right frontal'), ('TP10', 3, 'R', 'right temporoparietal')) c(channel, sh, side, region)"
     val = "beta_alpha_ratio + sh * k / 100.0 AS b, alpha_rel + sh * k / 1000.0 AS al, muscle_tension + sh AS m"
@@ -381,9 +381,14 @@ os AS (SELECT session_id, channel, kind, rn, t, CASE WHEN level < 0.3 THEN 0.0 E
 fired AS (SELECT session_id, t FROM det WHERE alert_level IN ('IMMINENT', 'EARLY_WARNING')),
 lat AS (SELECT session_id, t, sum(acc) FILTER (WHERE side = 'R') AS ri, sum(acc) FILTER (WHERE side = 'L') AS le FROM os JOIN fired USING (session_id, t) JOIN {chans} USING (channel) WHERE kind = 'neural' GROUP BY 1, 2),
 rk AS (SELECT session_id, t, channel, region, kind, {tenth}(t - hit) / 60.0) AS DOUBLE) AS min_before_alert, row_number() OVER (PARTITION BY session_id, t ORDER BY hit, channel, kind) - 1 AS rank
-  FROM os JOIN fired USING (session_id, t) JOIN {chans} USING (channel) WHERE hit IS NOT NULL)
-SELECT r.session_id, r.t, f.channel AS first_channel, f.region AS first_region, f.kind AS first_kind, CASE WHEN ri + le > 0 THEN {hundredth}(ri - le) / (ri + le)) AS DOUBLE) ELSE 0.0 END AS lateralisation,
-  CAST(r.rank AS INTEGER) AS rank, r.channel, r.region, r.kind, r.min_before_alert FROM rk r JOIN rk f ON f.session_id = r.session_id AND f.t = r.t AND f.rank = 0 JOIN lat l ON l.session_id = r.session_id AND l.t = r.t"""
+  FROM os JOIN fired USING (session_id, t) JOIN {chans} USING (channel) WHERE hit IS NOT NULL),
+lr AS (SELECT session_id, t, CASE WHEN ri + le > 0 THEN {hundredth}(ri - le) / (ri + le)) AS DOUBLE) ELSE 0.0 END AS lateralisation FROM lat)"""
+
+
+def onsets() -> str:
+    return f"""{onset_ctes()}
+SELECT r.session_id, r.t, f.channel AS first_channel, f.region AS first_region, f.kind AS first_kind, lateralisation,
+  CAST(r.rank AS INTEGER) AS rank, r.channel, r.region, r.kind, r.min_before_alert FROM rk r JOIN rk f ON f.session_id = r.session_id AND f.t = r.t AND f.rank = 0 JOIN lr l ON l.session_id = r.session_id AND l.t = r.t"""
 
 
 CALM_ROWS = """SELECT q.session_id, q.t, 'CALIBRATING' AS state, NULL::DOUBLE AS raw_index, NULL::DOUBLE AS idx, NULL::DOUBLE AS slope, NULL::DOUBLE AS eta, quality, 0.0::DOUBLE AS acc, NULL::VARCHAR AS alert_level
@@ -531,3 +536,37 @@ LEFT JOIN verdict h ON h.epoch_ix = g.epoch_ix LEFT JOIN bic ON bic.epoch_ix = g
 
 
 ORACLES["analyze_recording"] = whole_analysis()
+
+
+def messages() -> str:
+    """Alert lines with their onset text."""
+    from rillwave.model import PROFILES
+
+    def quote(text: str) -> str:
+        return "'" + text.replace("'", "''") + "'"
+
+    texts = PROFILES["meltdown"]
+    before, after = texts["early_msg"].split("{when}")
+    return f"""WITH RECURSIVE {SESSIONS}, {CALIB}, {WITH_BVC}, {detector(True)}, {onset_ctes()},
+later AS (SELECT session_id, t, string_agg(region || ' (' || kind || ')', ', ' ORDER BY rank) AS txt FROM rk WHERE rank BETWEEN 1 AND 3 GROUP BY 1, 2),
+ot AS (SELECT f.session_id, f.t, CASE WHEN r.region IS NULL THEN 'Onset map: no channel-level onset detected yet.' ELSE
+  'Onset map (sensor level, not a brain focus): earliest change at ' || r.region || ' (' || r.channel || '), ' || format('{{:.1f}}', r.min_before_alert) || ' min before this alert - '
+  || CASE r.kind WHEN 'neural' THEN 'cortical (beta/alpha) change' ELSE '30-45 Hz change, most likely muscle tension rather than brain activity' END
+  || '; cortical change is ' || CASE WHEN lateralisation > 0.2 THEN 'right-dominant' WHEN lateralisation < -0.2 THEN 'left-dominant' ELSE 'bilateral' END
+  || ' (R-L index ' || format('{{:+.2f}}', lateralisation) || ')' || coalesce('; then ' || txt, '') || '.' END AS onset
+  FROM fired f LEFT JOIN rk r ON r.session_id = f.session_id AND r.t = f.t AND r.rank = 0 LEFT JOIN lr l ON l.session_id = f.session_id AND l.t = f.t
+  LEFT JOIN later x ON x.session_id = f.session_id AND x.t = f.t),
+al AS (SELECT d.session_id, d.t, d.alert_level, d.level, coalesce(d.slope, 0.0) AS slope, d.eta, d.band, b.score, o.onset FROM det d JOIN bvc b ON b.session_id = d.session_id AND b.t = d.t
+  LEFT JOIN ot o ON o.session_id = d.session_id AND o.t = d.t WHERE d.alert_level IS NOT NULL),
+ms AS (SELECT *, CASE WHEN eta IS NULL OR eta > 10 THEN 'escalation may follow within ~10 min' WHEN eta < 1 THEN 'projected to reach the imminent level within a minute'
+    ELSE 'projected to reach the imminent level in ~' || format('{{:.0f}}', eta) || ' min' END
+  || CASE WHEN band IN ('moderate', 'very_high') THEN ' (sensitivity raised: BVC ' || score || ' = ' || replace(band, '_', ' ') || ' risk)' ELSE '' END AS due FROM al)
+SELECT session_id, t, alert_level AS level, '[' || format('{{:02d}}:{{:02d}}', CAST(t AS BIGINT) // 60, CAST(t AS BIGINT) % 60) || '] '
+  || CASE alert_level WHEN 'EARLY_WARNING' THEN 'EARLY WARNING' WHEN 'CLINICAL_RISK' THEN 'CLINICAL NOTICE' ELSE alert_level END
+  || ' | index ' || format('{{:+.2f}}', level) || ' z | trend ' || format('{{:+.2f}}', slope) || ' z/min'
+  || CASE WHEN alert_level <> 'EARLY_WARNING' OR eta IS NULL THEN '' WHEN eta < 1 THEN ' | ETA <1 min' ELSE ' | ETA ~' || format('{{:.0f}}', eta) || ' min' END || chr(10) || '  '
+  || CASE alert_level WHEN 'CLINICAL_RISK' THEN 'Clinical notice: BVC score ' || score || ' (>2) = very high risk of violence within 24 h. Agree a preventive, least-restrictive plan; monitoring sensitivity has been raised.'
+     WHEN 'IMMINENT' THEN {quote(texts["imminent_msg"])} || chr(10) || '  ' || onset ELSE {quote(before)} || due || {quote(after)} || chr(10) || '  ' || onset END AS text FROM ms"""
+
+
+ORACLES["alert_messages"] = messages()
