@@ -45,7 +45,8 @@ class Recording:
     def sites(self) -> DataFrame | None:
         """Verified channel locations only; NULL locations never name an electrode."""
         where = self.metadata.get("channel_locations") or {}
-        rows = [(r, s, c) for c, s in where.items() if c in self.channels for r in [self.metadata["recording_id"]]]
+        by_site = {site: c for c, site in where.items() if c in self.channels}      # a repeated site: the last entry wins
+        rows = [(self.metadata["recording_id"], site, c) for site, c in by_site.items()]
         if self.metadata.get("reference_verified") is not True or not rows:
             return None
         return self.frame.sparkSession.createDataFrame(rows, "recording_id string, site string, channel string")

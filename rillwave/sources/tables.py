@@ -70,7 +70,8 @@ def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def session_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same windows as an unbounded table."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    return sessions_of(spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir))
+    return sessions_of(spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
+                       .option("maxFilesPerTrigger", 1).parquet(sf_dir))
 
 
 def sessions_of(ev: DataFrame) -> DataFrame:

@@ -74,7 +74,8 @@ def detect_windows_stream(windows: DataFrame, cfg: LiveConfig) -> DataFrame:
     """Streaming WINDOWS rows -> STEPS. State per session is one bounded JSON document.
 
     Rows of a micro-batch are put in time order; a row at or before the last processed time
-    arrived late, changes nothing and is counted in the state.
+    arrived late, changes nothing and is counted in the state. What one session can bring at once
+    is bounded by the source's trigger limit (files, bytes or offsets per trigger): set one.
     """
     def update(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         doc = M.loads(state.get[0]) if state.exists else M.fresh(cfg)

@@ -396,3 +396,16 @@ def test_command_line(spark, tmp_path, capsys):
     (tmp_path / "c.json").write_text(json.dumps({**c, "subject_id": "s"}))
     assert cli.main(args) == 0 and json.loads((tmp_path / "r.json").read_text())["indices"]["SOI"]["score"] is None
     assert set(PROFILES) == {"meltdown", "psychosis"} and QualityPolicy().min_sqi == 80
+
+
+def test_verified_pairs_are_reported(spark, tmp_path):
+    t = np.arange(1024) / 128
+    write_csv(tmp_path / "raw.csv", {"time_s": t, "c1": 10 * np.sin(2 * np.pi * 10 * t), "c2": 9 * np.sin(2 * np.pi * 10 * t + 0.7), "c3": t * 0 + np.cos(50 * t)})
+    meta = {"sampling_rate_hz": 128, "eeg_unit": "uV", "eeg_columns": ["c1", "c2", "c3"], "subject_id": "r", "reference_verified": True,
+            "channel_locations": {"c3": "P3", "c1": "Fp1", "c2": "P3"}}
+    (tmp_path / "m.json").write_text(json.dumps(meta))
+    rec = R.read_csv(spark, str(tmp_path / "raw.csv"), str(tmp_path / "m.json"))
+    w = analyze_recording(rec).wide(rec.channels).toPandas()
+    assert (w["pair_Fp1_P3__alpha_plv"] > 0.995).all() and w["pair_Fp2_P4__alpha_plv"].isna().all()
+    rec.metadata["reference_verified"] = False
+    assert analyze_recording(rec).pairs is None
