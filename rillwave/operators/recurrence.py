@@ -88,8 +88,14 @@ def _runs(batches, columns: list[str], begin, each, end=None):
         yield None, [], [end(group, state)]
 
 
-def _sorted_by(df: DataFrame, *cols: str) -> DataFrame:
-    return df.repartition(*cols[:2]).sortWithinPartitions(*cols)
+def sorted_runs(df: DataFrame, *cols: str) -> DataFrame:
+    """Rows hashed by the first two columns and sorted by all of them.
+
+    The partition count is given, because byte-sized coalescing would put a Python-heavy walk over
+    compact rows into a few tasks.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(parts, *cols[:2]).sortWithinPartitions(*cols)
 
 
 def scan(df: DataFrame, key: str, position: str, op, out: str, size: float = 65536.0, **columns: str) -> DataFrame:
@@ -120,10 +126,10 @@ def scan(df: DataFrame, key: str, position: str, op, out: str, size: float = 655
     key_type = to_arrow_type(df.schema[key].dataType)
     slim = rows.select(key, "segment", "_pos", *values)
     # one row per segment: kept, so that the input is read once for summaries and once for the replay
-    level1 = cut_lineage(_sorted_by(slim, key, "segment", "_pos")
+    level1 = cut_lineage(sorted_runs(slim, key, "segment", "_pos")
                          .mapInArrow(summaries("segment", values, op.lift), f"{key} {kind}, segment long, p array<double>")
                          .withColumn("fan", F.floor(F.col("segment") / _FAN).cast("long")))
-    level2 = (_sorted_by(level1, key, "fan", "segment")
+    level2 = (sorted_runs(level1, key, "fan", "segment")
               .mapInArrow(summaries("fan", ["p"], list), f"{key} {kind}, fan long, p array<double>"))
 
     def prefixes(batches):
@@ -137,10 +143,10 @@ def scan(df: DataFrame, key: str, position: str, op, out: str, size: float = 655
 
     shape = f"{key} {kind}, item long, before array<double>"
     none = F.lit(None).cast("array<double>")
-    tops = (_sorted_by(level2.select(key, F.lit(0).cast("long").alias("run"), F.col("fan").alias("item"), "p",
+    tops = (sorted_runs(level2.select(key, F.lit(0).cast("long").alias("run"), F.col("fan").alias("item"), "p",
                                      none.alias("first")), key, "run", "item")
             .mapInArrow(prefixes, shape).select(key, F.col("item").alias("fan"), F.col("before").alias("first")))
-    starts = (_sorted_by(level1.join(tops, [key, "fan"])
+    starts = (sorted_runs(level1.join(tops, [key, "fan"])
                          .select(key, F.col("fan").alias("run"), F.col("segment").alias("item"), "p", "first"),
                          key, "run", "item")
               .mapInArrow(prefixes, shape).select(key, F.col("item").alias("segment"), F.col("before").alias("_before")))
@@ -154,7 +160,7 @@ def scan(df: DataFrame, key: str, position: str, op, out: str, size: float = 655
                 yield pa.RecordBatch.from_arrays([batch.column(c) for c in names] + [pa.array(result, pa.float64())],
                                                  names=[*names, out])
 
-    return _sorted_by(rows.join(starts, [key, "segment"]), key, "segment", "_pos").mapInArrow(replay, schema)
+    return sorted_runs(rows.join(starts, [key, "segment"]), key, "segment", "_pos").mapInArrow(replay, schema)
 
 
 def ordinal(df: DataFrame, key: str, position: str, out: str = "ordinal", size: float = 65536.0) -> DataFrame:

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
 from ..model import STEPS, LiveConfig
-from ..operators.recurrence import ordinal
+from ..operators.recurrence import ordinal, sorted_runs
 from ..session import cut_lineage
 from . import machine as M
 
@@ -87,7 +87,7 @@ def _sorted_rows(rows: DataFrame, starts: DataFrame | None, segment_windows: int
         first = F.col("ordinal") % segment_windows == 0
         staged = (rows.where(first).join(starts.select(*_KEYS, "start"), _KEYS)
                   .unionByName(rows.where(~first).join(starts.select(*_KEYS), _KEYS, "left_semi").select("*", nothing)))
-    return staged.repartition(*_KEYS).sortWithinPartitions(*_KEYS, "ordinal")
+    return sorted_runs(staged, *_KEYS, "ordinal")
 
 
 def run_sessions(windows: DataFrame, cfg: LiveConfig, segment_windows: int = 16384) -> DataFrame:
