@@ -570,3 +570,24 @@ SELECT session_id, t, alert_level AS level, '[' || format('{{:02d}}:{{:02d}}', C
 
 
 ORACLES["alert_messages"] = messages()
+
+
+def live_detector() -> str:
+    """The same recursion over the wearable's windows, with the constants of its configuration."""
+    rules, calib = detector(False), CALIB
+    for old, new in (("acc0 + raw - 0.3) AS acc1, 2.0 * mult AS lim, 1.0 + offs", "acc0 + raw - 0.3) AS acc1, 4.0 * mult AS lim, 2.5 + offs"),
+                     ("v >= t - 3000", "v >= t - 20"), ("tt1[1] >= 60 THEN", "tt1[1] >= 10 THEN"), ("slope >= 0.0001", "slope >= 0.05"),
+                     ("lv < 0.5", "lv < 1.0"), ("t - i1 >= 100", "t - i1 >= 2"), ("t - e1 >= 100", "t - e1 >= 3")):
+        assert old in rules, old
+        rules = rules.replace(old, new)
+    for old, new in (("rn <= 8 GROUP BY 1 HAVING count(*) = 8", "rn <= 20 GROUP BY 1 HAVING count(*) = 20"), ("greatest(t8, 2000.0)", "greatest(t8, 10.0)")):
+        assert old in calib, old
+        calib = calib.replace(old, new)
+    feats = ", ".join(f"CASE WHEN ok THEN avg({f}) END AS {f}" for f in FEATS[:4])
+    return f"""WITH RECURSIVE {LIVE}, ses AS MATERIALIZED (SELECT 'wearable' AS session_id, (window_ix * 256 + 512) / 256.0::DOUBLE AS t, ok, {feats},
+  CASE WHEN ok THEN max(la) FILTER (WHERE channel = 'AF8') - max(la) FILTER (WHERE channel = 'AF7') END AS frontal_asymmetry
+  FROM ch JOIN okw USING (window_ix) GROUP BY window_ix, ok), {calib}, {rules}, {ALL_STEPS}
+SELECT session_id, t, state, {r6("raw_index", "raw_index")}, {r6("idx", '"index"')}, {r6("slope", "slope_per_min")}, {r6("quality", "quality")}, {r6("acc", "cusum")} FROM st"""
+
+
+ORACLES["live_steps"] = live_detector()
