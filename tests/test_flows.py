@@ -380,7 +380,7 @@ def test_monitor_excerpt(spark):
 
 
 def test_sensor_sheets(spark):
-    assert C.sensor_sheet(spark, "bis_quatro").count() == 2 and C.sensor_sheet(spark, "psi_extended").count() == 8
+    assert C.sensor_sheet(spark, "quatro_sensor").count() == 2 and C.sensor_sheet(spark, "eight_site_extended").count() == 8
 
 
 def test_command_line(spark, tmp_path, capsys):
