@@ -240,6 +240,8 @@ def _fetch(groups: int):
             out = []
             for k, copy, raw, asked in zip(*(batch[c].to_pylist() for c in ("k", "copy", "raw", "asked"))):
                 for a in asked:
+                    if a["copy"] != copy:
+                        continue
                     content = raw[a["start"]:a["stop"]]
                     if a["parts"] == 1:
                         out.append((a["h"] % groups, a["h"], k, copy, a["start"], content))
@@ -260,9 +262,9 @@ def _kept(batches):
     """Step 4: what remains of each document."""
     for batch in batches:
         out = []
-        for raw, ranges in zip(batch["raw"].to_pylist(), batch["covered"].to_pylist()):
+        for copy, raw, ranges in zip(*(batch[c].to_pylist() for c in ("copy", "raw", "covered"))):
             left, at, gone, spans, end = hashlib.sha256(), 0, 0, 0, -1
-            for start, stop in sorted((r["start"], r["stop"]) for r in ranges or ()):
+            for start, stop in sorted((r["start"], r["stop"]) for r in ranges or () if r["copy"] == copy):
                 if start > end:
                     left.update(raw[at:start])
                     spans, gone, end = spans + 1, gone + stop - start, stop
@@ -287,13 +289,14 @@ def deduplicated(docs: DataFrame) -> DataFrame:
 
     packed = rows.select("k", "copy", "raw").mapInArrow(_pack(buckets), _PACKED)
     found = packed.groupBy("bucket").applyInArrow(_settle, _FOUND)
-    asked = found.where("h is not null").groupBy("k", "copy").agg(F.collect_list(F.struct("start", "stop", "h", "parts")).alias("asked"))
-    bytes_ = rows.join(asked, ["k", "copy"]).select("k", "copy", "raw", "asked").mapInArrow(
+    # joins go by k alone, as the rows lie: their texts are shuffled once
+    asked = found.where("h is not null").groupBy("k").agg(F.collect_list(F.struct("copy", "start", "stop", "h", "parts")).alias("asked"))
+    bytes_ = rows.join(asked, "k").select("k", "copy", "raw", "asked").mapInArrow(
         _fetch(2 * buckets), "grp bigint, h bigint, k bigint, copy int, start bigint, content binary")
     copies = bytes_.groupBy("grp").applyInArrow(_copies, "k bigint, copy int, start bigint, stop bigint")
     covered = (found.where("h is null").select("k", "copy", "start", "stop").union(copies)
-               .groupBy("k", "copy").agg(F.collect_list(F.struct("start", "stop")).alias("covered")))
-    return rows.join(covered, ["k", "copy"], "left").select("doc_id", "raw", "covered").mapInArrow(
+               .groupBy("k").agg(F.collect_list(F.struct("copy", "start", "stop")).alias("covered")))
+    return rows.join(covered, "k", "left").select("doc_id", "copy", "raw", "covered").mapInArrow(
         _kept, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
 
 
