@@ -9,8 +9,10 @@ differs in at most one slot or one of the others in none. One error is enumerate
 
 Links are confirmed on full sets. First every class is compared with the least class of each of its buckets; what is
 then still apart in a bucket is compared pair by pair, in blocks of `BLOCK` classes, so no bucket meets in one task.
-There a wider signature (`WIDE` slots of 4 bits, at most `WIDE_RADIUS` different) and the sizes decide which pairs go on
-to the full sets. Pairs inside a component that is already linked are left out: they can change nothing.
+There a wider signature (`WIDE` slots of 4 bits) and the sizes decide which pairs go on to the full sets: first likely
+links (at most `LIKELY` slots differ, which is the mean at 0.85), of which each task sends no more than connect its
+classes, then, between the components so found, all up to `WIDE_RADIUS`, four standard deviations beyond that mean.
+Pairs inside a component that is already linked are left out: they can change nothing.
 
 Defined cases: null, empty and word-less texts have an empty set and are linked with nothing; a text of fewer than
 WIDTH words is one shingle; rows that repeat or share a doc_id fall into classes like all others; a null doc_id is
@@ -35,8 +37,10 @@ WIDTH = 3
 #: Links need 100 * intersection >= PERCENT * union.
 PERCENT = 85
 SLOTS, CHUNKS, LOOSE, RADIUS = 64, 16, 8, 23
-WIDE, WIDE_RADIUS = 1024, 200
+WIDE, WIDE_RADIUS, LIKELY = 2048, 351, 288
 BLOCK = 2048
+#: Buckets up to this size are compared together; pairs compared at once; members of buckets that share a task.
+SMALL, PAIRS, SHARED = 32, 1 << 16, 10_000
 
 _DIFFERENT = np.array([((x & 15) > 0) + ((x >> 4) > 0) for x in range(256)], np.uint8)
 
@@ -140,39 +144,82 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             .mapInArrow(run, "a bigint, b bigint"))
 
 
-def _apart(members: DataFrame) -> DataFrame:
-    """Pairs of one bucket that are not linked yet and may be similar: block against block.
+def _joining(x, y) -> list[int]:
+    """Places of the pairs that connect what the pairs before them do not."""
+    root: dict[int, int] = {}
 
-    `members`: key, parts (blocks of the bucket), node, label, n, signature, wide. A pair that shares several buckets
-    comes from the first of them only.
+    def find(v):
+        while (up := root.get(v, v)) != v:
+            root[v] = root.get(up, up)
+            v = up
+        return v
+
+    out = []
+    for i, (p, q) in enumerate(zip(x.tolist(), y.tolist())):
+        if (p := find(p)) != (q := find(q)):
+            root[q] = p
+            out.append(i)
+    return out
+
+
+def _apart(members: DataFrame, groups: int, likely: bool) -> DataFrame:
+    """Pairs of one bucket that are not linked yet and may be similar.
+
+    `members`: key, parts (blocks of the bucket), node, label, n, signature, wide. Small buckets share a task; the
+    blocks of a large one meet two by two. A pair that shares several buckets comes from the first of them only.
     """
+    crowd = F.col("parts") > 1
     part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
-    ranged = members.withColumn("part", part).withColumn(
-        "pair", F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1),
-                                      lambda j: F.struct(F.least("part", j).alias("i"), F.greatest("part", j).alias("j")))))
+    ranged = (members.withColumn("part", part)
+              .withColumn("grp", F.when(crowd, F.col("key")).otherwise(F.pmod(F.xxhash64("key"), F.lit(groups))))
+              .withColumn("pair", F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct(
+                  F.when(crowd, F.least("part", j)).otherwise(-1).alias("i"), F.when(crowd, F.greatest("part", j)).otherwise(-1).alias("j"))))))
 
     def compare(rows: pa.Table) -> pa.Table:
+        rows = rows.take(pa.array(np.argsort(rows["key"].to_numpy(), kind="stable")))
         i, j = rows["i"][0].as_py(), rows["j"][0].as_py()
-        node, label, n, part = (rows[c].to_numpy() for c in ("node", "label", "n", "part"))
-        key = np.int64(rows["key"][0].as_py()).view(np.uint64)
+        key, node, label, n, part = (rows[c].to_numpy() for c in ("key", "node", "label", "n", "part"))
         slots = np.frombuffer(b"".join(rows["signature"].to_pylist()), "<u2").reshape(len(node), SLOTS)
         wide = np.frombuffer(b"".join(rows["wide"].to_pylist()), np.uint8).reshape(len(node), WIDE // 2)
         keys = bucket_keys(slots.astype(np.uint64))
-        at = int(np.argmax(keys[0] == key))                # which of its keys this bucket is
-        left, right = np.flatnonzero(part == i), np.flatnonzero(part == j)
+        at = (keys == key.view(np.uint64)[:, None]).argmax(1)      # which of a row's keys this bucket is
         found = []
-        for x in left:
-            y = right[(label[right] != label[x]) & (100 * np.minimum(n[right], n[x]) >= PERCENT * np.maximum(n[right], n[x]))
-                      & ((node[right] > node[x]) | (i != j))]
-            y = y[~(keys[y, :at] == keys[x, :at]).any(1)]
-            y = y[(slots[y] != slots[x]).sum(1) <= RADIUS]
-            y = y[_DIFFERENT[wide[y] ^ wide[x]].sum(1, dtype=np.int32) <= WIDE_RADIUS]
-            found += [(min(node[x], node[k]), max(node[x], node[k])) for k in y]
-        a, b = zip(*found) if found else ((), ())
+
+        def judge(x, y):
+            for test in (lambda: label[x] != label[y],
+                         lambda: 100 * np.minimum(n[x], n[y]) >= PERCENT * np.maximum(n[x], n[y]),
+                         lambda: (keys[x] == keys[y]).argmax(1) == at[x],
+                         lambda: (slots[x] != slots[y]).sum(1) <= RADIUS,
+                         lambda: _DIFFERENT[wide[x] ^ wide[y]].sum(1, dtype=np.int32) <= (LIKELY if likely else WIDE_RADIUS)):
+                keep = test()
+                x, y = x[keep], y[keep]
+            found.append((np.minimum(node[x], node[y]), np.maximum(node[x], node[y]), label[x], label[y]))
+
+        if i != j:
+            left, right = np.flatnonzero(part == i), np.flatnonzero(part == j)
+            for x in left:
+                judge(np.full(len(right), x), right)
+        else:
+            begin = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            size = np.diff(np.append(begin, len(key)))
+            for m in np.unique(size[size > 1]):
+                own = begin[size == m]
+                if m > SMALL:
+                    for b in own:
+                        for x in range(b, b + m - 1):
+                            judge(np.full(b + m - 1 - x, x), np.arange(x + 1, b + m))
+                    continue
+                x, y = np.triu_indices(m, 1)
+                step = max(1, PAIRS // len(x))
+                for k in range(0, len(own), step):
+                    judge((own[k:k + step, None] + x).ravel(), (own[k:k + step, None] + y).ravel())
+        a, b, p, q = (np.concatenate(c) for c in zip(*found)) if found else (np.zeros(0, np.int64),) * 4
+        if likely:
+            a, b = (c[_joining(p, q)] for c in (a, b))
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return (ranged.select("key", "pair.i", "pair.j", "part", "node", "label", "n", "signature", "wide")
-            .groupBy("key", "i", "j").applyInArrow(compare, "a bigint, b bigint"))
+    return (ranged.select("grp", "pair.i", "pair.j", "key", "part", "node", "label", "n", "signature", "wide")
+            .groupBy("grp", "i", "j").applyInArrow(compare, "a bigint, b bigint"))
 
 
 def linked(docs: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -194,12 +241,14 @@ def linked(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     edges = stored(_confirmed(near, sets))
     labels = components(edges)
 
-    tagged = crowded.join(labels, "node", "left").select("key", "node", "members", F.coalesce("label", "node").alias("label"))
-    open_keys = tagged.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
-    members = (tagged.join(open_keys, "key").join(signed, "node").join(sets.select("node", "wide").dropDuplicates(["node"]), "node")
-               .withColumn("parts", F.ceil(F.col("members") / BLOCK).cast("int")))
-    more = stored(_confirmed(_apart(members).distinct(), sets))
-    labels = stored(components(edges.union(more)))
+    groups = max(1, crowded.count() // SHARED)
+    for likely in (True, False):
+        tagged = crowded.join(labels, "node", "left").select("key", "node", "members", F.coalesce("label", "node").alias("label"))
+        open_keys = tagged.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
+        members = (tagged.join(open_keys, "key").join(signed, "node").join(sets.select("node", "wide").dropDuplicates(["node"]), "node")
+                   .withColumn("parts", F.ceil(F.col("members") / BLOCK).cast("int")))
+        edges = stored(edges.union(_confirmed(_apart(members, groups, likely).distinct(), sets)))
+        labels = stored(components(edges))
 
     named = classes.select("node", "digest", "first").join(labels, "node", "left").withColumn("group", F.coalesce("label", "node"))
     smallest = named.groupBy("group").agg(F.min("first").alias("component_id"))
