@@ -48,4 +48,5 @@ def split(rows: pa.Table, extra: list[str], kind) -> tuple:
         at = np.flatnonzero(role == r)
         at = at[np.argsort(ids[at])]
         out += [ids[at], matrix[at]]
-    return (*out, *[rows[c].to_numpy(zero_copy_only=False)[at].astype(np.int64) if len(at) else np.zeros(0, np.int64) for c in extra])
+    # nulls are filled first: with them the numbers would pass through doubles
+    return (*out, *[rows[c].fill_null(0).to_numpy()[at] for c in extra])
