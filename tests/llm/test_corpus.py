@@ -200,7 +200,7 @@ def test_exact_top_k(spark, monkeypatch, kind):
     if kind == "ties":
         rows = [(i, [1.0, 0.0, 0.0, float(i % 3)]) for i, _ in rows]
     if kind == "huge":
-        rows = [(i, [x * 1e6 for x in v]) for i, v in rows[:120]]
+        rows = [(i, [float(np.float32(x * 1e6)) for x in v]) for i, v in rows[:120]]
     got = topk.top_k(vectors(spark, rows + bad), lambda i: i % 100 == 0).collect()
     want = exact(rows + [(1007, [1.0] * 3), (1200, [1.0, 2.0, 3.0])], 10)
     assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in got) == want
