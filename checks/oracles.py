@@ -182,8 +182,8 @@ bvc AS (SELECT session_id, t, coalesce(score, 0) AS score, obs_t, coalesce({BAND
 ALPHA = 1 - __import__("math").exp(-1 / 20)
 
 EVAL = """ev AS (SELECT CAST(user_id AS VARCHAR) AS session_id, CAST(event_id AS DOUBLE) AS t, event_type, value FROM events),
-truth AS (SELECT session_id, t AS event_t FROM ev WHERE event_type = 'purchase' AND value > 60),
-al AS (SELECT session_id, t AS alert_t, CASE event_type WHEN 'click' THEN 'EARLY_WARNING' ELSE 'IMMINENT' END AS level FROM ev WHERE event_type IN ('click', 'view') AND value > 30),
+truth AS (SELECT session_id, t AS event_t FROM ev WHERE event_type = 'purchase'),
+al AS (SELECT session_id, t AS alert_t, CASE event_type WHEN 'click' THEN 'EARLY_WARNING' ELSE 'IMMINENT' END AS level FROM ev WHERE event_type IN ('click', 'view')),
 lead AS (SELECT session_id, event_t, min(alert_t) FILTER (WHERE level = 'EARLY_WARNING') AS e, min(alert_t) FILTER (WHERE level = 'IMMINENT') AS i
   FROM truth LEFT JOIN al USING (session_id) WHERE alert_t IS NULL OR TRUE GROUP BY 1, 2),
 hit AS (SELECT t.session_id, t.event_t, min(alert_t) FILTER (WHERE level = 'EARLY_WARNING') AS e, min(alert_t) FILTER (WHERE level = 'IMMINENT') AS i
@@ -490,7 +490,7 @@ ORACLES = {
     "confusion": f"WITH {PRED} SELECT truth, pred, count(*) AS n FROM pr GROUP BY 1, 2",
     "classification_metrics": f"WITH {PRED}, {metrics('pr')}",
     "subject_metrics": f"WITH {PRED}, {VOTE}, {metrics('vote')}",
-    "manifest_guards": f"""WITH m AS (SELECT CASE lang WHEN 'en' THEN 'ASD' WHEN 'fr' THEN 'PSY' WHEN 'de' THEN 'HC' ELSE 'es' END AS g, CASE WHEN n_chars > 5000 THEN '.' ELSE '' END || substr(text, 1, 3) AS s FROM documents)
+    "manifest_guards": f"""WITH m AS (SELECT CASE lang WHEN 'en' THEN 'ASD' WHEN 'fr' THEN 'PSY' WHEN 'de' THEN 'HC' ELSE 'es' END AS g, CASE WHEN n_chars > 5000 THEN '.' ELSE '' END || CAST(doc_id % 7 AS VARCHAR) AS s FROM documents)
       {GUARDS} SELECT 'unknown_group' AS rule, count(*) FILTER (WHERE g = 'es') AS n FROM m
       UNION ALL SELECT 'path_like_subject_id', count(*) FILTER (WHERE s LIKE '.%' OR s LIKE '%/%' OR contains(s, chr(92))) FROM m
       UNION ALL SELECT 'duplicate_subject_id', count(*) FROM (SELECT s FROM m GROUP BY 1 HAVING count(*) > 1))""",

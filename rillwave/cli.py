@@ -72,12 +72,11 @@ def _convert(spark, a) -> dict:
     from .operators import montage
     from .plans.analyze import analyze
     from .plans.report import write_json, write_report
-    from .sources.recordings import choose_signals, decode, decode_plan, edf_layout
+    from .sources.recordings import choose_signals, decode_one, edf_layout
 
     signals, fs = choose_signals(edf_layout(a.input), a.channels)
     names, reference, locations = [s["label"] for s in signals], "documented_common_reference", {}
-    files = spark.createDataFrame([(a.subject_id, a.input, "")], "recording_id string, path string, channels string")
-    blocks = (decode(decode_plan(files)).where(F.col("channel").isin(*names)).select("recording_id", "channel", "start_ix", "uv"))
+    blocks = decode_one(spark, a.subject_id, a.input, names).select("recording_id", "channel", "start_ix", "uv")
     if a.bis_montage:
         from .model import MONTAGE_SITES
         reference = montage.montage_plan(blocks, a.bis_montage, a.bis_reference).first()["reference"]

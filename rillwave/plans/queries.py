@@ -429,8 +429,8 @@ def _truth_and_alerts(spark, d) -> tuple[DataFrame, DataFrame]:
     ev = G.table(spark, d, "events").select(F.col("user_id").cast("string").alias("session_id"),
                                             F.col("event_id").cast("double").alias("t"), "event_type", "value")
     level = F.when(F.col("event_type") == "click", "EARLY_WARNING").when(F.col("event_type") == "view", "IMMINENT").otherwise("CLINICAL_RISK")
-    return (ev.where("event_type = 'purchase' and value > 60").select("session_id", "t"),
-            ev.where("event_type in ('click', 'view', 'signup') and value > 30").select("session_id", "t", level.alias("level")))
+    return (ev.where("event_type = 'purchase'").select("session_id", "t"),
+            ev.where("event_type in ('click', 'view', 'signup')").select("session_id", "t", level.alias("level")))
 
 
 def lead_times(spark, d):
@@ -486,7 +486,7 @@ def manifest_guards(spark, d):
     group = F.when(F.col("lang") == "en", "ASD").when(F.col("lang") == "fr", "PSY").when(F.col("lang") == "de", "HC").otherwise("es")
     m = G.table(spark, d, "documents").select(
         F.concat(F.col("source"), F.lit("/x.edf")).alias("file"), group.alias("group"),
-        F.concat(F.when(F.col("n_chars") > 5000, ".").otherwise(""), F.substring("text", 1, 3)).alias("subject_id"))
+        F.concat(F.when(F.col("n_chars") > 5000, ".").otherwise(""), (F.col("doc_id") % 7).cast("string")).alias("subject_id"))
     return guards.manifest_report(m)
 
 

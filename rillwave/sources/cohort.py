@@ -28,7 +28,7 @@ def build_manifest(spark: SparkSession, root: str) -> DataFrame:
     rows = (files.select(rel.alias("file")).where(F.lower("file").rlike(rf"\.({suffix})$"))
             .withColumn("group", F.split("file", "/")[0]).where(F.col("group").isin(*GROUP_NAMES)))
     stem = F.regexp_replace("file", r"\.[^./]+$", "")
-    tail = F.array_join(F.slice(F.split(stem, "/"), 2, 1000), "_")
+    tail = F.array_join(F.slice(F.split(stem, "/"), F.lit(2), F.size(F.split(stem, "/"))), "_")
     return rows.select("file", F.concat_ws("_", "group", tail).alias("subject_id"), "group").orderBy("group", "file")
 
 
@@ -45,7 +45,12 @@ def read_labelled(spark: SparkSession, path: str) -> DataFrame:
     if path.endswith(".parquet"):
         table = spark.read.parquet(path)
     else:
-        table = spark.read.option("header", True).option("inferSchema", True).csv(path)
+        # everything is read as text: an inferred type would turn the id 007 into 7
+        table = spark.read.option("header", True).csv(path)
+        ids = {"subject_id", "session_id", "epoch_id"}
+        plain = [c for c in table.columns if c not in ids]
+        bad = table.agg(*[F.max(F.col(f"`{c}`").isNotNull() & F.expr(f"try_cast(trim(`{c}`) as double)").isNull()).alias(c) for c in plain]).first()
+        table = table.select(*[F.col(f"`{c}`") if c in ids or bad[c] else F.trim(F.col(f"`{c}`")).cast("double").alias(c) for c in table.columns])
     for c in ("subject_id", "session_id", "epoch_id"):
         if c in table.columns:
             table = table.withColumn(c, F.col(c).cast("string"))

@@ -209,6 +209,11 @@ def register_decoder(suffix: str, fn: Callable) -> None:
 _PLAN = ("recording_id string, path string, channels string, first long, count long, fs double, samples long, layout string, error string")
 
 
+def chosen_labels(channels: str) -> list[str] | None:
+    """Labels end with a line feed each (they may hold blanks), or are separated by blanks; none: all channels."""
+    return [c for c in (channels.split("\n") if "\n" in channels else channels.split()) if c] or None
+
+
 def decode_plan(files: DataFrame, chunk_bytes: int = 8 << 20) -> DataFrame:
     """files (recording_id, path, channels: space separated or '') -> record ranges of about ``chunk_bytes``.
 
@@ -229,7 +234,7 @@ def decode_plan(files: DataFrame, chunk_bytes: int = 8 << 20) -> DataFrame:
                     if suffix not in (".edf", ".bdf"):
                         raise GuardError(f"unsupported format {suffix}; register a decoder")
                     layout = edf_layout(path)
-                    picked, fs = choose_signals(layout, channels.split() or None)
+                    picked, fs = choose_signals(layout, chosen_labels(channels))
                     step = max(1, chunk_bytes // (layout["record_samples"] * layout["width"]))
                     for first in range(0, layout["records"], step):
                         rows.append({**base, "first": first, "count": min(step, layout["records"] - first), "fs": fs,
@@ -260,7 +265,7 @@ def decode(plan: DataFrame) -> DataFrame:
                     yield pd.DataFrame({**bad, "error": [row.error]})
                     continue
                 try:
-                    wanted = row.channels.split() or None
+                    wanted = chosen_labels(row.channels)
                     if row.count < 0:
                         names, fs, x = decoders[row.layout](row.path, wanted)
                         start = 0
@@ -281,6 +286,14 @@ def decode(plan: DataFrame) -> DataFrame:
     return plan.repartition(parts, "recording_id", "first").mapInPandas(run, _DECODED)
 
 
+def decode_one(spark: SparkSession, recording_id: str, path: str, labels: list[str]) -> DataFrame:
+    """Blocks of the named channels of one file; any range that cannot be decoded ends the job with its error."""
+    files = spark.createDataFrame([(recording_id, path, "".join(f"{c}\n" for c in labels))],
+                                  "recording_id string, path string, channels string")
+    broken = F.raise_error(F.concat_ws(": ", "recording_id", "error")).cast("boolean")
+    return decode(decode_plan(files)).where(F.when(F.col("error").isNotNull(), broken).otherwise(True)).drop("error")
+
+
 def read_edf(spark: SparkSession, path: str, metadata_path: str) -> tuple[DataFrame, dict]:
     """One EDF/BDF with its sidecar -> (blocks, metadata); the file's rate overrides the sidecar's."""
     meta = read_document(metadata_path)
@@ -289,8 +302,6 @@ def read_edf(spark: SparkSession, path: str, metadata_path: str) -> tuple[DataFr
     layout = edf_layout(path)
     _, fs = choose_signals(layout, list(meta["eeg_columns"]))
     rid = meta.get("subject_id") or PurePosixPath(path).stem
-    # channel labels may contain blanks, so the plan carries all channels and the sidecar selects
-    files = spark.createDataFrame([(rid, path, "")], "recording_id string, path string, channels string")
-    blocks = decode(decode_plan(files)).where(F.col("channel").isin(*meta["eeg_columns"]))
+    blocks = decode_one(spark, rid, path, list(meta["eeg_columns"]))
     meta.update(sampling_rate_hz=fs, eeg_unit="uV", original_eeg_unit="physical units of the file", recording_id=rid)
     return blocks.select("recording_id", "channel", "start_ix", "uv"), meta
