@@ -234,7 +234,9 @@ ag AS (SELECT event_id, subject_id, any_value(duration_s) AS d, sum(0.2 * s) FIL
   sum(0.2 * s) FILTER (WHERE NOT is_soi) AS rdi, count(s) FILTER (WHERE NOT is_soi) AS nr, coalesce(string_agg(component, ',' ORDER BY o) FILTER (WHERE is_soi AND s IS NULL), '') AS soi_missing
   FROM sub GROUP BY 1, 2)
 SELECT event_id, subject_id, {r6("CASE WHEN ns = 5 AND d >= 86400 THEN soi END", "soi")}, {r6("CASE WHEN nr = 5 AND d >= 86400 THEN rdi END", "rdi")},
-  {r6("ns / 5.0::DOUBLE", "soi_coverage")}, soi_missing, CASE WHEN d < 86400 THEN 'calibration_shorter_than_article_24h' ELSE '' END AS issues FROM ag"""
+  {r6("ns / 5.0::DOUBLE", "soi_coverage")}, soi_missing, CASE WHEN d < 86400 THEN 'calibration_shorter_than_article_24h' ELSE '' END AS issues FROM ag
+UNION ALL SELECT DISTINCT event_id, subject_id, NULL::DOUBLE, NULL::DOUBLE, NULL::DOUBLE, NULL, 'no calibration of this subject and medication profile'
+  FROM fl WHERE NOT EXISTS (SELECT 1 FROM ag WHERE ag.event_id = fl.event_id)"""
 
 
 def bicoherence_ctes() -> str:

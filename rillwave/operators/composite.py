@@ -138,6 +138,9 @@ def _result(index: str) -> Column:
         F.col("_issues").alias("calibration_issues"))
 
 
+NO_CALIBRATION = "no calibration of this subject and medication profile"
+
+
 def score(pairs: DataFrame, strict: bool = True) -> DataFrame:
     """Both composites for rows with ``values`` and the calibration columns.
 
@@ -149,7 +152,8 @@ def score(pairs: DataFrame, strict: bool = True) -> DataFrame:
     issues = F.array_compact(F.array(
         F.when(length < FULL_CALIBRATION_S, "calibration_shorter_than_article_24h"),
         F.when(~context.isin(*SCORING_CONTEXTS), "calibration_not_documented_awake_baseline")))
-    bad = F.array_compact(F.array(F.when(~(_isfinite(length) & (length >= 0)),
+    bad = F.array_compact(F.array(F.when(F.col("SOI").isNull() & F.col("RDI").isNull(), NO_CALIBRATION),
+                                  F.when(~(_isfinite(length) & (length >= 0)),
                                          "calibration duration must be finite and nonnegative")))
     out = pairs.withColumn("_issues", issues)
     for index in COMPONENTS:
@@ -164,8 +168,11 @@ def score(pairs: DataFrame, strict: bool = True) -> DataFrame:
 
 
 def match_calibration(features: DataFrame, calibrations: DataFrame) -> DataFrame:
-    """Features joined to the calibration of the same subject under the same medication profile."""
-    return features.join(calibrations, ["subject_id", "medication_profile_id"])
+    """Features with the calibration of the same subject under the same medication profile.
+
+    Features without one keep their row; `score` names the reason.
+    """
+    return features.join(calibrations, ["subject_id", "medication_profile_id"], "left")
 
 
 def check_identity(features: dict, calibration: dict) -> None:

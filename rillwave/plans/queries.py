@@ -294,7 +294,7 @@ def soi_rdi_score(spark, d):
     return s.select("event_id", "subject_id", r6("SOI_result.score").alias("soi"), r6("RDI_result.score").alias("rdi"),
                     r6("SOI_result.component_coverage").alias("soi_coverage"),
                     F.array_join("SOI_result.missing", ",").alias("soi_missing"),
-                    F.array_join("SOI_result.calibration_issues", ",").alias("issues"))
+                    F.coalesce(F.array_join("SOI_result.calibration_issues", ","), F.array_join("problems", "; ")).alias("issues"))
 
 
 # --- sessions ----------------------------------------------------------------------------------------

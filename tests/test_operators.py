@@ -306,3 +306,15 @@ def test_halo_copies_only_what_is_needed(spark):
     df = spark.range(100).select(F.col("id").alias("p"))
     h = segments.with_halo(df, "p", 10, 3)
     assert h.where("is_own").count() == 100 and h.where("not is_own").count() == 30
+
+
+def test_features_without_calibration_keep_their_row(spark):
+    from rillwave.model import CALIBRATION
+
+    vals = "map('alpha_variance', 1.0D)"
+    f = spark.sql(f"SELECT 'b' AS subject_id, 'none' AS medication_profile_id, {vals} AS values "
+                  f"UNION ALL SELECT NULL, 'none', {vals}")
+    rows = composite.score(composite.match_calibration(f, spark.createDataFrame([], CALIBRATION)), strict=False).collect()
+    assert len(rows) == 2
+    for r in rows:
+        assert r["problems"] == [composite.NO_CALIBRATION] and r["SOI_result"] is None and r["RDI_result"] is None
