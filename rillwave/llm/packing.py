@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -50,6 +51,11 @@ class Ids(dict):
 
     #: An apostrophe-free piece that ends in a letter or digit may lose its tail: both parts tokenise as they did together.
     PARTS = re.compile(r"([^']*[^\W_])([.,!#$%&*;:?)]+)")
+    #: Letters before this point are composed, and their lower case is the same everywhere.
+    LATIN = "\u0250"
+    #: The byte-level alphabet: printable Latin-1 bytes stand for themselves, the others follow from 256 in order.
+    SHOWN = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    ALPHABET = {b: 256 + i for i, b in enumerate(sorted({*range(256)} - SHOWN))}
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -57,13 +63,24 @@ class Ids(dict):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.model = self.tokenizer.model
+
+    def word(self, low: str) -> bytes:
+        """Ids of a run of lower-case Latin letters: one token of the splitter, so only the merges are left to do."""
+        if not low.isascii():
+            low = low.encode().decode("latin-1").translate(self.ALPHABET)
+        ids = [t.id for t in self.model.tokenize(low)]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def __missing__(self, piece: str) -> bytes:
         if len(self) >= REMEMBERED:
             self.clear()
-        if (m := self.PARTS.fullmatch(piece)) and m[1][-1].isalpha():
+        low = piece.lower()
+        if piece.isalpha() and low.isalpha() and max(piece + low) < self.LATIN:
+            ids = self.word(low) if piece == low else self[low]
+        elif (m := self.PARTS.fullmatch(piece)) and m[1][-1].lower().isalpha():
             ids = self[m[1]] + self[m[2]]
-        elif piece.isascii() and piece != (low := piece.lower()):
+        elif piece.isascii() and piece != low:
             ids = self[low]
         else:
             ids = np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()

@@ -316,6 +316,15 @@ def test_packing_round_trip(spark):
     assert packing.pieces(docs(spark, [])).collect() == []
 
 
+def test_pieces_tokenise_as_whole_texts():
+    ids = packing.token_ids(packing.vocabulary())
+    signs = "aZ\u00e9\u00c9\u00df\u00f1\u0130\u0131\u017f\u212a\u0141\u0153\u01c5\u01f0\u03a9\u03c3\u03a3\u03c2\u0434\u4e2d\u00aa'\u02bc.,!#$%9\uff10\u00b2\u0301\u0307  \t\n -_"
+    texts = ["".join(RNG.choice(list(signs), int(n))) for n in RNG.integers(1, 10, 4000)]
+    texts += [a + chr(c) + b for c in range(1, 0x260) for a, b in (("", ""), ("a", ""), ("", "b."), ("", "."))]
+    for t in texts:
+        assert np.frombuffer(ids.of(t), "<u4")[:-1].tolist() == ids.tokenizer.encode(t, add_special_tokens=False).ids, t
+
+
 def test_fullest_is_the_best_subset_sum():
     rng = np.random.default_rng(5)
     for _ in range(50):
