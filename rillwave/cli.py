@@ -52,13 +52,15 @@ def _parser() -> argparse.ArgumentParser:
 def _analyze(spark, a) -> dict:
     from .plans.analyze import analyze, analyze_recording
     from .plans.report import write_report
-    from .sources.recordings import read_csv, read_edf
+    from .sources.recordings import read_csv, read_edf, verified_sites
 
     policy = QualityPolicy(min_sqi=a.min_sqi)
     if a.input.lower().endswith((".edf", ".bdf")):
         blocks, meta = read_edf(spark, a.input, a.metadata)
         family = (meta.get("sensor") or {}).get("family")
-        result, channels = analyze(blocks, meta["sampling_rate_hz"], a.epoch_s, a.line_hz, policy, require_sqi=family == "BIS"), meta["eeg_columns"]
+        channels = meta["eeg_columns"]
+        result = analyze(blocks, meta["sampling_rate_hz"], a.epoch_s, a.line_hz, policy, require_sqi=family == "BIS",
+                         sites=verified_sites(spark, meta, channels), channels=len(channels))
     else:
         rec = read_csv(spark, a.input, a.metadata)
         result, meta, channels = analyze_recording(rec, a.epoch_s, a.line_hz, policy), rec.metadata, rec.channels
@@ -76,14 +78,14 @@ def _convert(spark, a) -> dict:
 
     signals, fs = choose_signals(edf_layout(a.input), a.channels)
     names, reference, locations = [s["label"] for s in signals], "documented_common_reference", {}
-    blocks = decode_one(spark, a.subject_id, a.input, names).select("recording_id", "channel", "start_ix", "uv")
+    blocks = decode_one(spark, a.subject_id, a.input, names)
     if a.bis_montage:
         from .model import MONTAGE_SITES
         reference = montage.montage_plan(blocks, a.bis_montage, a.bis_reference).first()["reference"]
         blocks = montage.rederive(blocks, a.bis_montage, a.bis_reference).drop("reference")
         locations = {f"BISlike_{s}_minus_ref": s for s in MONTAGE_SITES[a.bis_montage]}
         names = list(locations)
-    blocks.write.mode("overwrite").parquet(f"{a.out}/blocks")
+    blocks.select("recording_id", "channel", "start_ix", "uv").write.mode("overwrite").parquet(f"{a.out}/blocks")
     meta = {"sampling_rate_hz": fs, "eeg_unit": "uV", "eeg_columns": names, "channel_locations": locations, "reference": reference,
             "reference_verified": False, "sensor": {"family": "research_eeg", "model": "not_reported"}, "recording_context": a.context,
             "subject_id": a.subject_id, "psychiatric_labels": None, "source": a.input, "license": a.license,

@@ -37,7 +37,8 @@ def rederive(blocks: DataFrame, side: str = "left", reference: str | None = None
     """Blocks of ``site - reference`` for the two sites of ``side``.
 
     Channels of one recording are cut into blocks at the same positions, so the subtraction is an
-    array expression after grouping by (recording, start_ix): no sample is exploded.
+    array expression after grouping by (recording, start_ix): no sample is exploded. An optional column ``position``
+    tells a channel's place in its recording; without it the alphabetical order decides between channels of one site.
     """
     plan = montage_plan(blocks, side, reference)
     if strict:
@@ -46,8 +47,10 @@ def rederive(blocks: DataFrame, side: str = "left", reference: str | None = None
             raise GuardError(f"{bad[0]['recording_id']}: {bad[0]['problem']}")
     wanted = {s.lower() for s in MONTAGE_SITES[side]} | {reference.lower() if reference else "fpz", "fp1", "fp2"}
     at = lambda s: F.max(F.when(F.col("site") == s.lower(), F.col("uv"))).alias(f"_{s.lower()}")
-    # two channels of one site: the alphabetically last one wins
-    last = site_table(blocks).groupBy("recording_id", "site").agg(F.max("channel").alias("channel"))
+    # two channels of one site: the last one in the recording's order wins
+    order = F.struct(F.max("position"), F.col("channel")) if "position" in blocks.columns else F.struct("channel")
+    last = (blocks.groupBy("recording_id", "channel").agg(order.alias("_order")).withColumn("site", site_of(F.col("channel")))
+            .groupBy("recording_id", "site").agg(F.max("_order")["channel"].alias("channel")))
     wide = (blocks.join(last.where(F.col("site").isin(*wanted)), ["recording_id", "channel"])
             .groupBy("recording_id", "start_ix").agg(*[at(s) for s in sorted(wanted)])
             .join(plan.where("problem is null"), "recording_id"))

@@ -98,27 +98,43 @@ def _attach(joint: DataFrame, numerics: DataFrame | None, ix: str, flags: DataFr
     return joint, F.col("has_sqi"), F.col("has_emg"), F.col("require_sqi")
 
 
-def joint_channels(stats: DataFrame, ix: str = "epoch_ix") -> DataFrame:
-    """Quality is judged over all channels together."""
-    return (stats.groupBy("recording_id", ix)
-            .agg(F.max(F.col("n_missing") > 0).alias("any_missing"), F.max("max_abs").alias("max_abs"),
-                 F.min(F.sqrt(F.col("m2_uv") / F.col("n_samples"))).alias("min_sd")))
+def channel_counts(blocks: DataFrame) -> DataFrame:
+    """(recording_id, n_channels): how many channels each recording has."""
+    return blocks.groupBy("recording_id").agg(F.count_distinct("channel").alias("n_channels"))
+
+
+def joint_channels(stats: DataFrame, ix: str = "epoch_ix", channels: int | DataFrame | None = None) -> DataFrame:
+    """Quality is judged over all channels together.
+
+    ``channels``: how many there must be, one number or ``channel_counts``; an epoch that lacks one has missing samples.
+    """
+    joint = (stats.groupBy("recording_id", ix)
+             .agg(F.max(F.col("n_missing") > 0).alias("any_missing"), F.max("max_abs").alias("max_abs"),
+                  F.min(F.sqrt(F.col("m2_uv") / F.col("n_samples"))).alias("min_sd"), F.count("*").alias("_present")))
+    need = F.lit(channels) if channels is None or isinstance(channels, int) else F.col("n_channels")
+    if isinstance(channels, DataFrame):
+        joint = joint.join(channels, "recording_id", "left")
+    return (joint.withColumn("any_missing", F.col("any_missing") | F.coalesce(F.col("_present") < need, F.lit(False)))
+            .drop("_present", "n_channels"))
 
 
 def assess_epochs(stats: DataFrame, numerics: DataFrame | None = None, policy: QualityPolicy = QualityPolicy(),
-                  flags: DataFrame | None = None, require_sqi: bool = False, ix: str = "epoch_ix") -> DataFrame:
+                  flags: DataFrame | None = None, require_sqi: bool = False, ix: str = "epoch_ix",
+                  channels: int | DataFrame | None = None) -> DataFrame:
     """Epoch verdicts from per-channel signal stats and per-epoch monitor numerics.
 
     ``flags`` (recording_id, has_sqi, has_emg, require_sqi) mixes recordings with different
     monitors; without it the presence of ``numerics`` speaks for every recording.
+    ``channels``: see ``joint_channels``.
     """
-    joint, has_sqi, has_emg, need = _attach(joint_channels(stats, ix), numerics, ix, flags, require_sqi)
+    joint, has_sqi, has_emg, need = _attach(joint_channels(stats, ix, channels), numerics, ix, flags, require_sqi)
     return verdict(joint, policy, has_sqi, has_emg, need)
 
 
 def assess_histories(stats: DataFrame, pieces: int, numerics: DataFrame | None = None,
                      policy: QualityPolicy = QualityPolicy(), flags: DataFrame | None = None,
-                     require_sqi: bool = False, ix: str = "epoch_ix", segment: int = 512) -> DataFrame:
+                     require_sqi: bool = False, ix: str = "epoch_ix", segment: int = 512,
+                     channels: int | DataFrame | None = None) -> DataFrame:
     """The same verdict over the ``pieces`` consecutive pieces that end with each piece.
 
     The flat test needs the deviation of the *whole* history, so means and squared deviations of
@@ -153,7 +169,7 @@ def assess_histories(stats: DataFrame, pieces: int, numerics: DataFrame | None =
                     .select("recording_id", ix, *[
                         F.when(F.col("_c") == pieces, F.col(c)).alias(c) if c.endswith("gaps") else F.col(c)
                         for c in _NUMERIC_NEEDS]))
-    joint, has_sqi, has_emg, need = _attach(joint_channels(per_channel, ix), numerics, ix, flags, require_sqi)
+    joint, has_sqi, has_emg, need = _attach(joint_channels(per_channel, ix, channels), numerics, ix, flags, require_sqi)
     return verdict(joint, policy, has_sqi, has_emg, need)
 
 

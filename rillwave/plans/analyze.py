@@ -74,11 +74,13 @@ class Analysis:
 
 def analyze(blocks: DataFrame, fs: float, epoch_s: float = 4.0, line_hz: float | None = None,
             policy: QualityPolicy = QualityPolicy(), numerics: DataFrame | None = None, flags: DataFrame | None = None,
-            require_sqi: bool = False, sites: DataFrame | None = None, starts: DataFrame | None = None) -> Analysis:
+            require_sqi: bool = False, sites: DataFrame | None = None, starts: DataFrame | None = None,
+            channels: int | None = None) -> Analysis:
     """Quality-controlled spectral, bicoherence and phase-locking features of recordings with one rate.
 
     ``numerics``: sample-aligned monitor values (recording_id, sample_ix, name, value); ``flags``:
-    see ``assess_epochs``; ``sites``: verified electrode sites; ``starts`` (recording_id, start_s).
+    see ``assess_epochs``; ``sites``: verified electrode sites; ``starts`` (recording_id, start_s);
+    ``channels``: channels of every recording (default: those that each recording's blocks hold).
     Raw signal is shuffled once for the epochs and once, with a 60 s halo, for the histories; all
     other exchanges carry one small row per epoch and channel. The epoch figures are computed
     right away and kept in the shared folder.
@@ -90,12 +92,14 @@ def analyze(blocks: DataFrame, fs: float, epoch_s: float = 4.0, line_hz: float |
     # verdicts, histories and features all start here: keep the figures, never redo the signal work
     per = cut_lineage(spectral.epoch_features(cut, fs, line_hz))
     aux = None if numerics is None else quality.wide_numerics(quality.numeric_stats(numerics, n))
-    verdict = quality.assess_epochs(per, aux, policy, flags, require_sqi)
+    channels = quality.channel_counts(blocks) if channels is None else channels
+    verdict = quality.assess_epochs(per, aux, policy, flags, require_sqi, channels=channels)
 
     piece = coupling.piece_length(n, fs, HISTORY_S)
     stats = per if piece == n else quality.signal_stats(E.cut(blocks, piece))
     aux_piece = aux if piece == n or numerics is None else quality.wide_numerics(quality.numeric_stats(numerics, piece))
-    past = quality.assess_histories(stats, round(HISTORY_S * fs) // piece, aux_piece, policy, flags, require_sqi)
+    past = quality.assess_histories(stats, round(HISTORY_S * fs) // piece, aux_piece, policy, flags, require_sqi,
+                                    channels=channels)
     good = (past.where(F.col("accepted") & (F.size("warnings") == 0) & ((F.col("epoch_ix") + 1) * piece % n == 0))
             .select("recording_id", (F.floor((F.col("epoch_ix") + 1) * piece / n) - 1).cast("long").alias("epoch_ix"),
                     F.lit(True).alias("_past_ok")))
@@ -129,6 +133,7 @@ def analyze_recording(rec, epoch_s: float = 4.0, line_hz: float | None = None, p
     flags = spark.createDataFrame([(rec.metadata["recording_id"], f["sqi"], f["emg"], f["require_sqi"])],
                                   "recording_id string, has_sqi boolean, has_emg boolean, require_sqi boolean")
     starts = rec.frame.where("sample_ix = 0").select("recording_id", F.col("time_s").alias("start_s"))
+    n = len(rec.channels)
     if numerics is None:
-        return analyze(rec.blocks(), rec.fs, epoch_s, line_hz, policy, None, None, f["require_sqi"], rec.sites(), starts)
-    return analyze(rec.blocks(), rec.fs, epoch_s, line_hz, policy, numerics, flags, False, rec.sites(), starts)
+        return analyze(rec.blocks(), rec.fs, epoch_s, line_hz, policy, None, None, f["require_sqi"], rec.sites(), starts, n)
+    return analyze(rec.blocks(), rec.fs, epoch_s, line_hz, policy, numerics, flags, False, rec.sites(), starts, n)

@@ -74,7 +74,7 @@ def convert_cohort(spark: SparkSession, manifest: str | DataFrame, out_dir: str,
     failures = stored.where("error is not null").groupBy("recording_id").agg(F.min("error").alias("error"))
     usable = stored.where("error is null").join(failures.select("recording_id"), "recording_id", "left_anti")
     rates += [r["fs"] for r in usable.where("fs is not null").select("fs").distinct().collect() if r["fs"] not in rates]
-    blocks, unmountable = _rederived(usable.select("recording_id", "channel", "start_ix", "uv"), jobs)
+    blocks, unmountable = _rederived(usable.select("recording_id", "channel", "start_ix", "uv", "position"), jobs)
     failures = failures.unionByName(unmountable)
     results = []
     for fs in sorted(rates):

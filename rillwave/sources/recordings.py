@@ -43,19 +43,23 @@ class Recording:
         return self.frame.select("recording_id", "sample_ix", F.explode(pairs).alias("p")).select("recording_id", "sample_ix", "p.*")
 
     def sites(self) -> DataFrame | None:
-        """Verified channel locations only; NULL locations never name an electrode."""
-        where = self.metadata.get("channel_locations") or {}
-        by_site = {site: c for c, site in where.items() if c in self.channels}      # a repeated site: the last entry wins
-        rows = [(self.metadata["recording_id"], site, c) for site, c in by_site.items()]
-        if self.metadata.get("reference_verified") is not True or not rows:
-            return None
-        return self.frame.sparkSession.createDataFrame(rows, "recording_id string, site string, channel string")
+        return verified_sites(self.frame.sparkSession, self.metadata, self.channels)
 
     def flags(self) -> dict:
         return {"sqi": "SQI" in self.frame.columns, "emg": "EMG" in self.frame.columns,
                 "require_sqi": (self.metadata.get("sensor") or {}).get("family") == "BIS"}
 
 
+def verified_sites(spark: SparkSession, metadata: dict, channels: list[str]) -> DataFrame | None:
+    """Verified channel locations only; NULL locations never name an electrode."""
+    where = metadata.get("channel_locations") or {}
+    by_site = {site: c for c, site in where.items() if c in channels}      # a repeated site: the last entry wins
+    rows = [(metadata["recording_id"], site, c) for site, c in by_site.items()]
+    if metadata.get("reference_verified") is not True or not rows:
+        return None
+    return spark.createDataFrame(rows, "recording_id string, site string, channel string")
+
+
 def read_sidecars(spark: SparkSession, path: str) -> DataFrame:
     """Sidecar documents as a table."""
     return spark.read.schema(SIDECAR).option("multiLine", True).json(path)
@@ -250,17 +254,18 @@ def decode_plan(files: DataFrame, chunk_bytes: int = 8 << 20) -> DataFrame:
     return files.select("recording_id", "path", F.coalesce("channels", F.lit("")).alias("channels")).repartition(parts).mapInPandas(plan, _PLAN)
 
 
-_DECODED = "recording_id string, channel string, start_ix long, uv array<double>, fs double, error string"
+_DECODED = "recording_id string, channel string, start_ix long, uv array<double>, fs double, position int, error string"
 
 
 def decode(plan: DataFrame) -> DataFrame:
-    """Record ranges -> blocks (recording_id, channel, start_ix, uv, fs, error); ranges spread over tasks."""
+    """Record ranges -> blocks (recording_id, channel, start_ix, uv, fs, position, error); ranges spread over tasks."""
     decoders = dict(_DECODERS)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             for row in pdf.itertuples(index=False):
-                bad = {"recording_id": [row.recording_id], "channel": [None], "start_ix": [None], "uv": [None], "fs": [None]}
+                bad = {"recording_id": [row.recording_id], "channel": [None], "start_ix": [None], "uv": [None], "fs": [None],
+                       "position": [None]}
                 if row.error is not None:
                     yield pd.DataFrame({**bad, "error": [row.error]})
                     continue
@@ -278,7 +283,7 @@ def decode(plan: DataFrame) -> DataFrame:
                             raise GuardError("file ends before its last data record")
                         x, names, start = decode_records(raw, layout, picked), [s["label"] for s in picked], row.first * picked[0]["samples"]
                     yield pd.DataFrame({"recording_id": row.recording_id, "channel": names, "start_ix": start,
-                                        "uv": list(x), "fs": fs, "error": None})
+                                        "uv": list(x), "fs": fs, "position": range(len(names)), "error": None})
                 except Exception as exc:
                     yield pd.DataFrame({**bad, "error": [f"{type(exc).__name__}: {exc}"]})
 

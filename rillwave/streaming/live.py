@@ -74,7 +74,7 @@ def detect_windows_stream(windows: DataFrame, cfg: LiveConfig) -> DataFrame:
     """Streaming WINDOWS rows -> STEPS. State per session is one bounded JSON document.
 
     Rows of a micro-batch are put in time order; a row at or before the last processed time
-    arrived late, changes nothing and is counted in the state. What one session can bring at once
+    arrived late, changes nothing and gives a LATE step. What one session can bring at once
     is bounded by the source's trigger limit (files, bytes or offsets per trigger): set one.
     """
     def update(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -106,7 +106,8 @@ def detect_chunks_stream(chunks: DataFrame, cfg: LiveConfig) -> DataFrame:
     """Streaming raw chunks (session_id, start_ix, uv: channel-major arrays) -> STEPS.
 
     The state additionally keeps the samples that the next window still needs, never more than
-    one window. Gaps are not representable: a chunk that does not continue its session is an error.
+    one window. A chunk that does not continue its session gives a GAP step; windows start anew behind the gap. A chunk
+    that brings nothing new gives a LATE step.
     """
     win, hop, width = cfg.window_n, cfg.hop_n, len(cfg.channels)
 
@@ -117,34 +118,43 @@ def detect_chunks_stream(chunks: DataFrame, cfg: LiveConfig) -> DataFrame:
         else:
             doc, rest, at = M.fresh(cfg), np.zeros((width, 0)), 0
         rows = pd.concat(list(frames), ignore_index=True).sort_values("start_ix", kind="stable")
-        parts, expect = [rest], at + rest.shape[1]
+        parts, expect, steps = [rest], at + rest.shape[1], []
+
+        def windows_done(parts: list[np.ndarray], at: int) -> tuple[np.ndarray, int]:
+            """Steps of the complete windows; what the next window still needs, and where that begins."""
+            buf = np.concatenate(parts, axis=1)
+            first = -(-at // hop)
+            count = max(0, (at + buf.shape[1] - first * hop - win) // hop + 1)
+            if count:
+                off = first * hop - at
+                views = np.lib.stride_tricks.sliding_window_view(buf[:, off:], win, axis=1)[:, ::hop][:, :count]
+                done = _window_kernel(np.ascontiguousarray(views.transpose(1, 0, 2)), cfg)
+                for i in range(count):
+                    row = {"t": ((first + i) * hop + win) / cfg.fs, "ok": bool(done["ok"][i]), "bvc": None,
+                           **{f: float(done[f][i]) for f in LIVE_FEATURES},
+                           "channels": {c: {k: float(done[f"site_{k}"][i, j]) for k in _SITE}
+                                        for j, c in enumerate(cfg.channels)}}
+                    steps.extend(M.run_rows(doc, [row], cfg))
+                keep = min((first + count) * hop - at, buf.shape[1])
+                buf, at = buf[:, keep:], at + keep
+            return buf, at
+
         for start, uv in zip(rows["start_ix"], rows["uv"]):
             block = np.array([np.asarray(c, dtype=float) for c in uv])
             if block.shape[0] != width:
                 raise GuardError(f"chunk has {block.shape[0]} channels, expected {width}")
             if start + block.shape[1] <= expect:
                 doc["late"] += 1
+                steps.append(M.unused(start / cfg.fs, M.LATE))
                 continue
             if start > expect:
-                raise GuardError(f"session {key[0]} has a gap before sample {start}")
+                windows_done(parts, at)
+                steps.append(M.unused(start / cfg.fs, M.GAP))
+                parts, at, expect = [], int(start), int(start)
             parts.append(block[:, expect - start:])
             expect = start + block.shape[1]
-        buf = np.concatenate(parts, axis=1)
-        first = -(-at // hop)
-        count = max(0, (at + buf.shape[1] - first * hop - win) // hop + 1)
-        if count:
-            off = first * hop - at
-            views = np.lib.stride_tricks.sliding_window_view(buf[:, off:], win, axis=1)[:, ::hop][:, :count]
-            done = _window_kernel(np.ascontiguousarray(views.transpose(1, 0, 2)), cfg)
-            steps = []
-            for i in range(count):
-                row = {"t": ((first + i) * hop + win) / cfg.fs, "ok": bool(done["ok"][i]), "bvc": None,
-                       **{f: float(done[f][i]) for f in LIVE_FEATURES},
-                       "channels": {c: {k: float(done[f"site_{k}"][i, j]) for k in _SITE}
-                                    for j, c in enumerate(cfg.channels)}}
-                steps += M.run_rows(doc, [row], cfg)
-            keep = (first + count) * hop - at
-            buf, at = buf[:, min(keep, buf.shape[1]):], at + min(keep, buf.shape[1])
+        buf, at = windows_done(parts, at)
+        if steps:
             yield steps_frame(key[0], steps)
         state.update((M.dumps(doc), np.ascontiguousarray(buf, dtype="<f8").tobytes(), int(at)))
 

@@ -13,6 +13,7 @@ A task walks rows sorted by session and segment and holds the state of the open
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F, types as T
@@ -57,13 +58,13 @@ _KEYS = ["session_id", "segment"]
 
 
 def _walk(frames: Iterator[pd.DataFrame], cfg: LiveConfig):
-    """Rows sorted by (session, segment, t) -> per frame (session ids, steps, ends of closed segments).
+    """Rows sorted by (session, segment, t) -> per frame (keys of the steps, steps, ends of closed segments).
 
     The first row of a segment carries its start state, or nothing when that is a fresh state.
     """
     open_key = state = None
     for pdf in frames:
-        ids, steps, ends = [], [], []
+        keys, steps, ends = [], [], []
         for row in records(pdf):
             key = (row["session_id"], row["segment"])
             if key != open_key:
@@ -72,17 +73,20 @@ def _walk(frames: Iterator[pd.DataFrame], cfg: LiveConfig):
                 open_key, state = key, M.loads(row["start"]) if row["start"] else M.fresh(cfg)
             new = M.run_rows(state, [row], cfg)
             steps += new
-            ids += [key[0]] * len(new)
-        yield ids, steps, ends
+            keys += [key] * len(new)
+        yield keys, steps, ends
     if open_key is not None:
         yield [], [], [(*open_key, state)]
 
 
 def _sorted_rows(rows: DataFrame, starts: DataFrame | None, segment_windows: int) -> DataFrame:
-    """Rows in walking order; start states are attached to first rows only, so they travel once."""
+    """Rows in walking order: first segments from a fresh state, or those of `starts`.
+
+    Start states are attached to first rows only, so they travel once.
+    """
     nothing = F.lit(None).cast("string").alias("start")
     if starts is None:
-        staged = rows.select("*", nothing)
+        staged = rows.where("segment = 0").select("*", nothing)
     else:
         first = F.col("ordinal") % segment_windows == 0
         staged = (rows.where(first).join(starts.select(*_KEYS, "start"), _KEYS)
@@ -90,43 +94,48 @@ def _sorted_rows(rows: DataFrame, starts: DataFrame | None, segment_windows: int
     return sorted_runs(staged, *_KEYS, "ordinal")
 
 
+_WALKED = T.StructType([*STEPS.fields, T.StructField("segment", T.LongType()), T.StructField("end", T.StringType())])
+
+
 def run_sessions(windows: DataFrame, cfg: LiveConfig, segment_windows: int = 16384) -> DataFrame:
-    """Steps of every session from WINDOWS rows (plus ``bvc`` from ``with_clinical``, if any)."""
+    """Steps of every session from WINDOWS rows (plus ``bvc`` from ``with_clinical``, if any).
+
+    Each turn walks the segments whose start has changed and keeps their steps and end states; starts are then set to
+    the end of the segment before. When none changes, the last steps of each segment are those of the whole session.
+    """
     # windows stand for kilobytes of raw signal each: compute them once, then only walk them
     windows = cut_lineage(windows)
     rows = ordinal(windows, "session_id", "t").withColumn("segment", F.floor(F.col("ordinal") / segment_windows).cast("long"))
-    longest = windows.groupBy("session_id").count().agg(F.max("count").alias("n")).first()["n"] or 0
-    starts = _settle(rows, cfg, segment_windows) if longest > segment_windows else None
+    fresh, text = M.dumps(M.fresh(cfg)), F.lit(None).cast("string")
+    known = rows.select(*_KEYS).distinct().select(*_KEYS, F.when(F.col("segment") == 0, F.lit(fresh)).alias("start"),
+                                                  text.alias("end"), F.lit(None).cast("int").alias("turn"))
+    before = W.partitionBy("session_id").orderBy("segment")
 
-    def emit(frames):
-        for ids, steps, _ in _walk(frames, cfg):
+    def walk(frames):
+        for keys, steps, ends in _walk(frames, cfg):
             if steps:
-                yield steps_frame(ids, steps)
-
-    return _sorted_rows(rows, starts, segment_windows).mapInPandas(emit, STEPS)
-
-
-def _settle(rows: DataFrame, cfg: LiveConfig, segment_windows: int) -> DataFrame:
-    """Correct segment starts until each equals the end of the segment before."""
-    fresh = M.dumps(M.fresh(cfg))
-    plan = rows.select(*_KEYS).distinct()
-    known = cut_lineage(plan.select(*_KEYS, F.when(F.col("segment") == 0, F.lit(fresh)).alias("start"),
-                                    F.lit(None).cast("string").alias("end"), (F.col("segment") == 0).alias("changed")))
-
-    def closing(frames):
-        for _, _, ends in _walk(frames, cfg):
+                ids, segments = zip(*keys)
+                yield steps_frame(list(ids), steps).assign(segment=segments, end=None)
             if ends:
-                yield pd.DataFrame([(s, g, M.dumps(state)) for s, g, state in ends], columns=["session_id", "segment", "now"])
+                ids, segments, states = zip(*ends)
+                yield steps_frame(list(ids), [dict.fromkeys(_STEP_COLUMNS)] * len(ends)).assign(segment=segments, end=[*map(M.dumps, states)])
 
-    before = W.partitionBy("session_id").orderBy("segment")
+    todo, turns = None, []
     while True:
-        todo = known.where("changed").select(*_KEYS, "start")
-        ran = _sorted_rows(rows, todo, segment_windows).mapInPandas(closing, "session_id string, segment long, now string")
-        ends = known.join(ran, _KEYS, "left").withColumn("end", F.coalesce("now", "end"))
+        ran = cut_lineage(_sorted_rows(rows, todo, segment_windows).mapInPandas(walk, _WALKED))
+        turn = F.lit(len(turns))
+        turns.append(ran.where("end is null").drop("end").withColumn("turn", turn))
+        ends = (known.join(ran.where("end is not null").select(*_KEYS, F.col("end").alias("now")), _KEYS, "left")
+                .withColumn("end", F.coalesce("now", "end")).withColumn("turn", F.when(F.col("now").isNotNull(), turn).otherwise(F.col("turn"))))
         # until the segment before has run, the newest known state of the session is the guess
         given = F.coalesce(F.lag("end").over(before), F.last("end", ignorenulls=True).over(before.rowsBetween(W.unboundedPreceding, -1)))
         fixed = ends.withColumn("_next", F.when(F.col("segment") == 0, F.col("start")).otherwise(given))
-        known = cut_lineage(fixed.select(*_KEYS, F.col("_next").alias("start"), "end",
+        known = cut_lineage(fixed.select(*_KEYS, F.col("_next").alias("start"), "end", "turn",
                                          (~F.col("_next").eqNullSafe(F.col("start"))).alias("changed")))
-        if not known.where("changed").take(1):
-            return known.select(*_KEYS, "start")
+        todo = known.where("changed").select(*_KEYS, "start")
+        if not todo.take(1):
+            break
+    steps = reduce(DataFrame.unionByName, turns)
+    if len(turns) > 1:
+        steps = steps.join(known.select(*_KEYS, "turn"), [*_KEYS, "turn"], "left_semi")
+    return steps.select(*_STEP_COLUMNS)

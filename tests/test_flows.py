@@ -287,6 +287,12 @@ def test_segments_do_not_change_the_detector(spark, demo):
     assert as_json(sessions.run_sessions(part, cfg, 400)) == as_json(sessions.run_sessions(part, cfg))
 
 
+def test_equal_times_give_a_late_step(spark, demo):
+    part = demo.where("t <= 10").drop("window_ix")
+    steps = sessions.run_sessions(part.union(part.where("t = 5")), LiveConfig())
+    assert [(r["t"], r["state"]) for r in steps.where("state <> 'CALIBRATING'").collect()] == [(5.0, "LATE")] and steps.count() == part.count() + 1
+
+
 def test_stream_equals_batch(spark, demo, tmp_path):
     cfg = replace(LiveConfig(), baseline_sec=60.0)
     blocks = simulated(spark, cfg, minutes=4.0, events_min=(3.0,), distractors_min=()).cache()
@@ -305,7 +311,19 @@ def test_stream_equals_batch(spark, demo, tmp_path):
         assert got[t]["state"] == r["state"] and (r["index"] is None or got[t]["index"] == pytest.approx(r["index"], abs=1e-9))
 
 
-def test_windows_stream_drops_late_rows(spark, demo, tmp_path):
+def test_gap_of_a_session_is_a_step_and_others_go_on(spark, tmp_path):
+    cfg = replace(LiveConfig(), channels=("a", "b"), frontal_pair=("a", "b"))
+    x = np.random.default_rng(4).normal(0, 10, (2, 4 * 256)).tolist()
+    rows = [("whole", 0, x), ("whole", 1024, x), ("torn", 0, x), ("torn", 5 * 1024, x), ("torn", 0, x)]
+    spark.createDataFrame(rows, "session_id string, start_ix long, uv array<array<double>>").coalesce(1).write.parquet(str(tmp_path / "c"))
+    out = live.drain(live.detect_chunks_stream(wearable.chunk_stream(spark, str(tmp_path / "c")), cfg), "gap")
+    got = {s: sorted((r["t"], r["state"]) for r in out.where(F.col("session_id") == s).collect()) for s in ("whole", "torn")}
+    calm = lambda *t: [(float(v), "CALIBRATING") for v in t]
+    assert got["whole"] == calm(2, 3, 4, 5, 6, 7, 8)
+    assert got["torn"] == [(0.0, "LATE"), *calm(2, 3, 4), (20.0, "GAP"), *calm(22, 23, 24)]
+
+
+def test_windows_stream_names_late_rows(spark, demo, tmp_path):
     cfg = replace(LiveConfig(), baseline_sec=30.0)
     part = demo.where("t <= 120").drop("window_ix")
     part.where("t <= 60").coalesce(1).write.parquet(str(tmp_path / "w"))
@@ -321,7 +339,9 @@ def test_windows_stream_drops_late_rows(spark, demo, tmp_path):
          .option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start())
     q.awaitTermination(120)
     out = spark.read.parquet(str(tmp_path / "o"))
-    assert out.count() == out.select("t").distinct().count() == 119
+    late = "state = 'LATE'"
+    assert out.where(f"not ({late})").count() == out.select("t").distinct().count() == 119
+    assert sorted(r["t"] for r in out.where(late).collect()) == [float(t) for t in range(51, 61)]
     notify.deliver([Sink()])(sessions.run_sessions(demo, LiveConfig()), 0)
     assert len(sent) == 5 and sent[0]["level"] == "EARLY_WARNING"
 

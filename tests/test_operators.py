@@ -94,6 +94,17 @@ def test_epoch_verdicts(spark, kw, reasons, warnings):
     assert (r["reasons"], r["warnings"], r["accepted"]) == (reasons, warnings, not reasons)
 
 
+def test_epoch_without_a_channel_has_missing_samples(spark):
+    x = np.sin(np.arange(1536.0))
+    b = blocks(spark, {"a": x}, size=512).union(blocks(spark, {"b": x}, size=512).where("start_ix <> 512"))
+    stats = quality.signal_stats(E.cut(b, 512))
+    for channels in (2, quality.channel_counts(b)):
+        got = {r["epoch_ix"]: r["reasons"] for r in quality.assess_epochs(stats, channels=channels).collect()}
+        assert got == {0: [], 1: ["missing_eeg_samples"], 2: []}
+        past = quality.assess_histories(stats, 3, channels=channels).collect()
+        assert [r["reasons"] for r in past] == [["missing_eeg_samples"]]
+
+
 def test_policy_guards():
     for bad in ({"min_sqi": -1}, {"max_abs_uv": 0}, {"flat_std_uv": float("nan")}):
         with pytest.raises(GuardError):
@@ -129,6 +140,10 @@ def test_montage(spark):
     b = blocks(spark, {c: np.full(8, i + 1.0) for i, c in enumerate(names)})
     got = {r["channel"]: (set(r["uv"]), r["reference"]) for r in montage.rederive(b, "left").collect()}
     assert got == {"BISlike_Fp1_minus_ref": ({-3.0}, "Fpz"), "BISlike_F7_minus_ref": ({-1.0}, "Fpz")}
+    twice = b.union(blocks(spark, {"Fp1-Z": np.full(8, 9.0)})).withColumn("position", F.expr("decode(channel, 'EEG Fp1-LE', 7, 'Fp1-Z', 2, 'EEG Fpz-LE', 1, 0)"))
+    for later, want in (("EEG Fp1-LE", -3.0), ("Fp1-Z", 5.0)):      # a repeated site: the last channel of the recording
+        moved = twice.withColumn("position", F.when(F.col("channel") == later, 8).otherwise(F.col("position")))
+        assert {r["uv"][0] for r in montage.rederive(moved, "left").where("channel like '%Fp1%'").collect()} == {want}
     b = blocks(spark, {c: np.ones(8) for c in ("Fp1", "Fp2", "F7")})
     assert "approximate" in montage.rederive(b, "left").first()["reference"]
     for cols in (("Fp1", "Fp2", "Cz"), ("F7", "Cz")):
