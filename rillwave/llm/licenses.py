@@ -1,13 +1,15 @@
 """Licence scans: TF-IDF cosine of lines to templates, then inheritance from the nearest licensed directory.
 
-Each line of a text (a header, or a line of a licence file) that names a licence at all is a sparse TF-IDF vector; it is
+Texts are cut into lines, lines into sentences. Every line, every sentence and every run of neighbouring sentences of
+at most `SPAN` terms (a header wrapped over lines) is a sparse TF-IDF vector, and so is the whole of a licence file; it is
 compared with the vectors of `TEMPLATES` through their shared terms. Document frequencies of the templates' terms are
-counted over all texts; a term outside the templates counts as the rarest. A file takes the licence of its best line
-from `THRESHOLD` on. A licence file gives its licence to its directory; a file without a licence of its own inherits
-from the nearest ancestor directory that has one, found by joining the ancestors of the distinct directories.
+counted over all texts; a term outside the templates counts as the rarest. A file takes the licence of its best piece
+from `THRESHOLD` on. A bare reservation of rights counts by whole lines only: inside a line it tells the owner and stands
+before licences of all kinds. A licence file gives its licence to its directory; a file without a licence of its own
+inherits from the nearest ancestor directory that has one, found by joining the ancestors of the distinct directories.
 
-Defined cases: null or empty text has no licence of its own; a null path has no directory; lines that score alike: the
-template first by name, then the first line; directories with several licence files take the best score, then the first
+Defined cases: null or empty text has no licence of its own, and neither has a file with a null path; pieces that score
+alike: the template first by name; blank lines do not part neighbours; directories with several licence files take the best score, then the first
 name; rows that repeat get the same verdict; an empty table gives no rows; extra columns are ignored.
 """
 
@@ -16,7 +18,10 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,10 +44,10 @@ TEMPLATES = {
     "unlicense": ["This is free and unencumbered software released into the public domain."],
 }
 THRESHOLD = 0.7
-#: Every template holds one of these; a line without them is far from all.
-MARK = r"(?i)licen[cs]e|rights reserved|permission is|redistribution and use|public domain|free software"
 LICENCE_FILE = r"(?i)(^|/)(licen[cs]e|copying|unlicense|notice)(\.[a-z]+)?$"
 TERM = "[a-z0-9]+"
+#: What a lower-case text is read as: terms, ends of lines, ends of sentences.
+TOKEN = re.compile(TERM + r"|\n|[.!?](?=[ \t])")
 
 
 def terms(line: Column) -> Column:
@@ -53,6 +58,12 @@ def _template_terms() -> list[tuple[str, Counter]]:
     return [(name, Counter(re.findall(TERM, line.lower()))) for name, lines in TEMPLATES.items() for line in lines]
 
 
+#: A run of n terms that repeat nothing and weigh alike has a cosine of at most sqrt(m / n) with a template of m terms.
+SPAN = math.ceil(max(sum(c.values()) for _, c in _template_terms()) / THRESHOLD**2)
+#: Licences whose templates say nothing but that rights are reserved.
+RESERVED = "proprietary"
+
+
 def weights(files: DataFrame) -> dict[str, float]:
     """Inverse document frequency of each template term over all texts; "" stands for any other term."""
     vocabulary = sorted({t for _, c in _template_terms() for t in c})
@@ -63,26 +74,74 @@ def weights(files: DataFrame) -> dict[str, float]:
     return {t: idf(df.get(t, 0)) for t in vocabulary} | {"": idf(0)}
 
 
-def own_licences(files: DataFrame) -> DataFrame:
-    """(path, hash, license, score): the best line's licence of each text that has one."""
-    spark, idf = files.sparkSession, weights(files)
-    rows = []
+def scorer(idf: dict[str, float]) -> Callable[[str, bool], tuple[str | None, float | None]]:
+    """(lower-case text, is it a licence file) -> licence and score of the best piece.
+
+    Counting each repeated term by itself makes a norm smaller, and then sums over terms bound all cosines from above;
+    only pieces whose bound reaches THRESHOLD are scored exactly.
+    """
+    vocabulary = ["", *sorted(t for t in idf if t)]
+    number = {t: i for i, t in enumerate(vocabulary) if t} | {"\n": -1, ".": -2, "!": -2, "?": -2}
+    square = np.array([idf[t] ** 2 for t in vocabulary])
+    names, part, unit = [], np.zeros((len(vocabulary), len(_template_terms()))), []
     for no, (name, counts) in enumerate(_template_terms()):
         norm = math.sqrt(sum((k * idf[t]) ** 2 for t, k in counts.items()))
-        rows += [(no, name, t, k * idf[t] / norm) for t, k in sorted(counts.items())]
-    templates = spark.createDataFrame(rows, "template int, license string, term string, w double")
-    known = F.create_map(*[F.lit(x) for t, w in sorted(idf.items()) if t for x in (t, w)])
-    lines = (files.where(F.col("text").rlike(MARK)).select("path", "hash", F.posexplode(F.split("text", "\n")).alias("line", "words"))
-             .where(F.col("words").rlike(MARK)).select("path", "hash", "line", F.posexplode(terms(F.col("words"))).alias("at", "term")))
-    counted = lines.distinct().groupBy("path", "hash", "line", "term").agg(F.count("*").alias("k"))
-    weighed = counted.withColumn("v", F.col("k") * F.coalesce(known[F.col("term")], F.lit(idf[""])))
-    norms = weighed.groupBy("path", "hash", "line").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
-    scored = (weighed.join(F.broadcast(templates), "term")      # fixed size: the templates of this module
-              .groupBy("path", "hash", "line", "template", "license").agg(F.sum(F.col("v") * F.col("w")).alias("dot"))
-              .join(norms, ["path", "hash", "line"]).withColumn("score", F.round(F.col("dot") / F.col("norm"), 9))
-              .where(F.col("score") >= THRESHOLD))
-    best = F.min(F.struct((-F.col("score")).alias("s"), "license", "line"))
-    return scored.groupBy("path", "hash").agg(best.alias("b")).select("path", "hash", "b.license", (-F.col("b.s")).alias("score"))
+        names.append(name)
+        unit.append({t: k * idf[t] / norm for t, k in counts.items()})
+        for t, w in unit[-1].items():
+            part[number[t], no] = idf[t] * w
+    reserved = np.array([n == RESERVED for n in names])
+
+    def best(text: str | None, whole: bool) -> tuple[str | None, float | None]:
+        tokens = TOKEN.findall(text or "")
+        ids = np.array([number.get(t, 0) for t in tokens], np.int64)
+        at = np.append(0, np.cumsum(ids >= 0))                     # terms before each token
+        n = int(at[-1])
+        if not n:
+            return None, None
+        terms_ = ids[ids >= 0]
+        dots = np.vstack([np.zeros(len(names)), np.cumsum(part[terms_], axis=0)])
+        norms = np.append(0.0, np.cumsum(square[terms_]))
+        ends = lambda marks: np.unique(np.concatenate([[0, n], at[:-1][marks]]))
+        lines, cuts = ends(ids == -1), ends(ids < 0)
+        is_line = np.zeros(n + 1, bool)
+        is_line[lines] = True
+        found, pieces = {}, [(lines[:-1], lines[1:])] + [(np.array([0]), np.array([n]))] * whole
+        for k in range(1, len(cuts)):
+            a, b = cuts[:-k], cuts[k:]
+            fits = b - a <= SPAN
+            if k > 1 and not fits.any():
+                break
+            pieces.append((a, b) if k == 1 else (a[fits], b[fits]))
+        a, b = (np.concatenate(x) for x in zip(*pieces))
+        like = (dots[b] - dots[a]) / np.sqrt(norms[b] - norms[a])[:, None] >= THRESHOLD - 1e-6
+        like &= ~reserved | (is_line[a] & is_line[b])[:, None]
+        hits = np.flatnonzero(like.any(axis=1))
+        words = [t for t, i in zip(tokens, ids.tolist()) if i >= 0] if len(hits) else []
+        for i, j in sorted({(int(a[h]), int(b[h])) for h in hits}):
+            held = {t: k * idf.get(t, idf[""]) for t, k in Counter(words[i:j]).items()}
+            norm = math.sqrt(sum(v * v for v in held.values()))
+            for no in np.flatnonzero(~reserved | (is_line[i] & is_line[j])):
+                score = round(sum(held[t] * w for t, w in unit[no].items() if t in held) / norm, 9)
+                if score >= THRESHOLD:
+                    found[names[no]] = max(score, found.get(names[no], 0.0))
+        return min(((name, s) for name, s in found.items()), key=lambda x: (-x[1], x[0]), default=(None, None))
+
+    return best
+
+
+def own_licences(files: DataFrame) -> DataFrame:
+    """`files` (path, text) without text, with the license and the score of each text's best piece."""
+    idf = weights(files)
+
+    @F.pandas_udf("license string, score double")
+    def own(text: pd.Series, whole: pd.Series) -> pd.DataFrame:
+        best = scorer(idf)
+        return pd.DataFrame([best(t, w) for t, w in zip(text, whole)], columns=["license", "score"])
+
+    whole = F.coalesce(F.col("path").rlike(LICENCE_FILE), F.lit(False))
+    rows = files.withColumn("__own", own(F.when(F.col("path").isNotNull(), F.lower("text")), whole))
+    return rows.select(*[c for c in files.columns if c != "text"], "__own.license", "__own.score")
 
 
 def directory(path: Column) -> Column:
@@ -91,9 +150,8 @@ def directory(path: Column) -> Column:
 
 def licensed(files: DataFrame) -> DataFrame:
     """`files` (path, text) with license, score, how (own, inherited, none) and from_dir."""
-    rows = files.withColumn("hash", F.xxhash64("text"))
-    own = stored(own_licences(rows.select("path", "hash", "text")))
-    given = (own.where(F.col("path").rlike(LICENCE_FILE)).withColumn("from_dir", directory(F.col("path"))).groupBy("from_dir")
+    rows = stored(own_licences(files))
+    given = (rows.where(F.col("license").isNotNull() & F.col("path").rlike(LICENCE_FILE)).withColumn("from_dir", directory(F.col("path"))).groupBy("from_dir")
              .agg(F.min(F.struct((-F.col("score")).alias("s"), "path", "license")).alias("b")).select("from_dir", F.col("b.license").alias("inherits")))
     dirs = rows.where(F.col("path").isNotNull()).select(directory(F.col("path")).alias("dir")).distinct()
     depth = F.size(F.split("dir", "/"))
@@ -102,7 +160,7 @@ def licensed(files: DataFrame) -> DataFrame:
     nearest = (chains.join(given, "from_dir").groupBy("dir")
                .agg(F.max(F.struct(F.length("from_dir").alias("n"), "from_dir", "inherits")).alias("b"))
                .select("dir", "b.from_dir", "b.inherits"))
-    out = (rows.withColumn("dir", directory(F.col("path"))).join(own, ["path", "hash"], "left").join(nearest, "dir", "left"))
+    out = rows.withColumn("dir", directory(F.col("path"))).join(nearest, "dir", "left")
     mine = F.col("license").isNotNull()
     return out.select(*[c for c in files.columns if c != "text"], F.coalesce("license", "inherits").alias("license"), "score",
                       F.when(mine, "own").when(F.col("inherits").isNotNull(), "inherited").otherwise("none").alias("how"),

@@ -288,6 +288,51 @@ def test_licences_match_and_inherit(spark):
     assert licenses.licensed(frame.limit(0)).collect() == []
 
 
+def test_licence_headers_across_lines_and_inside_them(spark):
+    mpl = ["This Source Code Form is subject to the terms of the Mozilla Public", "License, v. 2.0."]
+    gpl = licenses.TEMPLATES["gpl-3.0"][1].split(" ")
+    many = " ".join(t for _, ts in sorted(licenses.TEMPLATES.items()) for t in ts if _ == "apache-2.0")
+    rows = {"a/wrapped.c": f"/* {mpl[0]}\n * {mpl[1]}\n * If a copy was not distributed with this file, get one. */\nint main;",
+            "a/blank.c": f"# {mpl[0]}\n#\n\n# {mpl[1]}\n", "a/first.c": mpl[0] + "\n" + prose(20), "a/narrow.c": "\n".join(gpl),
+            "a/inside.txt": f"{prose(40)}. Released under the MIT License. {prose(40)}",
+            "a/owner.txt": "Copyright 2020 Somebody Else Here. All rights reserved.\n" + licenses.TEMPLATES["bsd-3-clause"][0],
+            "a/plain.txt": "The license of birds is to fly over the terms of the public. " + prose(50), "b/LICENSE": f"Licence text\n\n{mpl[0]}\n{mpl[1]}",
+            "b/c/x.txt": prose(9), "c/LICENSE": "\n".join(w for t in [many] * 4 for w in t.split(" "))}
+    frame = spark.createDataFrame(list(rows.items()), "path string, text string")
+    got = {r.path: (r.license, r.how) for r in licenses.licensed(frame).collect()}
+    assert got == {"a/wrapped.c": ("mpl-2.0", "own"), "a/blank.c": ("mpl-2.0", "own"), "a/first.c": ("mpl-2.0", "own"),
+                   "a/narrow.c": ("gpl-3.0", "own"), "a/inside.txt": ("mit", "own"), "a/owner.txt": ("bsd-3-clause", "own"),
+                   "a/plain.txt": (None, "none"), "b/LICENSE": ("mpl-2.0", "own"), "b/c/x.txt": ("mpl-2.0", "inherited"),
+                   "c/LICENSE": ("apache-2.0", "own")}
+
+
+def test_licence_scores_equal_all_pieces():
+    idf = {t: 1.0 + len(t) / 3 for t in {t for _, c in licenses._template_terms() for t in c}} | {"": 4.0}
+    best, rng = licenses.scorer(idf), np.random.default_rng(4)
+    vocabulary = [t for t in idf if t] + ["foo", "bar"]
+    for _ in range(40):
+        base = re.findall("[a-z0-9]+", rng.choice([t for ts in licenses.TEMPLATES.values() for t in ts]).lower())
+        words = [str(w) if rng.random() < 0.8 else str(rng.choice(vocabulary)) for w in [*rng.choice(vocabulary, 6), *base, *base[:4]]]
+        gaps = [str(g) for g in rng.choice([" ", " ", " ", "\n", ". "], len(words))]
+        text = "".join(w + g for w, g in zip(words, gaps))
+        cuts = [0, *[i + 1 for i, g in enumerate(gaps) if g != " "]]
+        lines = [0, *[i + 1 for i, g in enumerate(gaps) if g == "\n"]]
+        cuts, lines = ([*c, len(words)] if c[-1] < len(words) else c for c in (cuts, lines))
+        pieces = {(a, b) for a in cuts for b in cuts if a < b and b - a <= licenses.SPAN} | set(zip(lines, lines[1:])) | set(zip(cuts, cuts[1:]))
+        scores = {}
+        for a, b in pieces:
+            v = {t: k * idf.get(t, 4.0) for t, k in Counter(words[a:b]).items()}
+            for name, counts in licenses._template_terms():
+                if name == "proprietary" and not {a, b} <= set(lines):
+                    continue
+                u = {t: k * idf[t] for t, k in counts.items()}
+                cos = sum(v.get(t, 0) * x for t, x in u.items()) / math.hypot(*v.values()) / math.hypot(*u.values())
+                scores[name] = max(scores.get(name, 0), round(cos, 9))
+        want = min(((-s, n) for n, s in scores.items() if s >= licenses.THRESHOLD), default=None)
+        got = best(text, False)
+        assert got == (None, None) if want is None else (got[0] == want[1] and got[1] == pytest.approx(-want[0], abs=2e-9))
+
+
 # ---- packing
 
 def test_packing_round_trip(spark):
