@@ -7,8 +7,9 @@ it stops when a point nearer than its k-th best would, with probability `SURE`,
 distance: the chi-square test. The blocks' answers are merged; every row is indexed.
 
 Defined cases: vectors null, empty, zero, or with null or non-finite components take no part; vectors of different
-lengths are no candidates of each other; a query without candidates has no rows; ties go to the smaller vec_id; rows
-sharing a vec_id count once; extra columns are ignored.
+lengths are no candidates of each other; a query without candidates has no rows; ties go to the smaller vec_id; equal
+rows count once, different vectors of a vec_id all are candidates of the other ids, and those of a query share its k
+places; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -96,7 +97,7 @@ def nearest(points: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids:
 
 def search(vectors: DataFrame, is_query, k: int = 10, sure: float = SURE) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each query, by Euclidean distance."""
-    points = stored(usable(vectors, zero=False))
+    points = stored(usable(vectors, zero=False, distinct=True))
     queries = points.where(is_query(F.col("id")))
 
     def block(rows: pa.Table) -> pa.Table:

@@ -8,7 +8,8 @@ as can matter. The last pass emits the scores above that value and, among equals
 
 Defined cases: vectors null, empty, or with null or non-finite components take no part; components beyond the long
 range saturate, and so do scores; vectors of different lengths are no candidates of each other; a query without
-candidates has no rows; ties go to the smaller vec_id; rows sharing a vec_id count once; extra columns are ignored.
+candidates has no rows; ties go to the smaller vec_id; rows sharing a vec_id all are candidates of
+the other ids, and those of a query share its k places; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -83,7 +84,7 @@ def _width(lo: int, hi: int) -> int:
 def top_k(vectors: DataFrame, is_query, k: int = 10) -> DataFrame:
     """query_id, rank, vec_id, score: the k highest integer inner products of each query."""
     grid = F.transform("v", lambda x: F.floor(F.lit(SCALE) * x))
-    points = stored(usable(vectors).select("id", grid.alias("v")))
+    points = stored(usable(vectors).select("id", grid.alias("v"), "row"))
     queries = points.where(is_query(F.col("id")))
     n, q = points.count(), queries.count()
     each = lambda rows, fn, schema: rows.groupBy("dim", "pb", "qb").applyInArrow(fn, schema)

@@ -11,27 +11,27 @@ from pyspark.sql import functions as F
 POINTS, QUERIES = 4096, 4096
 
 
-def usable(vectors: DataFrame, zero: bool = True) -> DataFrame:
-    """(id, v double[]): rows with a vec_id and a vector of finite components only; without all-zero ones unless `zero`.
+def usable(vectors: DataFrame, zero: bool = True, distinct: bool = False) -> DataFrame:
+    """(id, v double[], row): rows with a vec_id and a vector of finite components only; without all-zero ones unless `zero`.
 
-    Of rows that share a vec_id the least vector counts.
+    Rows that share a vec_id all count; with `distinct` equal ones of them count once.
     """
     v = F.col("embedding")
     good = v.isNotNull() & F.coalesce(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False))
     rows = vectors.where(F.col("vec_id").isNotNull() & good).where(F.size(v) > 0)
     if not zero:
         rows = rows.where(F.exists(v, lambda x: x != 0))
-    return rows.groupBy("vec_id").agg(F.min("embedding").alias("v")).select(
-        F.col("vec_id").alias("id"), F.col("v").cast("array<double>").alias("v"))
+    rows = rows.select(F.col("vec_id").alias("id"), v.cast("array<double>").alias("v"))
+    return (rows.distinct() if distinct else rows).withColumn("row", F.monotonically_increasing_id())
 
 
 def in_blocks(points: DataFrame, queries: DataFrame, extra: list[str], n_points: int, n_queries: int) -> DataFrame:
     """One frame of both, keyed (dim, pb, qb): each block of points meets each block of queries of the same length.
 
-    `queries` may carry `extra` long columns, null on the side of the points.
+    Blocks go by `row`, so that a frequent id crowds none; store `usable` rows before. `queries` may carry `extra` long columns, null on the side of the points.
     """
     many, few = max(1, -(-n_points // POINTS)), max(1, -(-n_queries // QUERIES))
-    block = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    block = lambda n: F.pmod(F.xxhash64("row"), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     a = points.select(F.size("v").alias("dim"), block(many).alias("pb"), every(few).alias("qb"), F.lit(0).alias("role"), "id", "v",
                       *[F.lit(None).cast("long").alias(c) for c in extra])

@@ -207,6 +207,23 @@ def test_exact_top_k(spark, monkeypatch, kind):
     assert topk.top_k(vectors(spark, []), lambda i: i % 100 == 0).collect() == []
 
 
+def test_repeated_ids_keep_all_their_vectors(spark, monkeypatch):
+    import duckdb
+
+    from rillwave.llm import vectors as blocks
+    monkeypatch.setattr(blocks, "POINTS", 60)
+    monkeypatch.setattr(blocks, "QUERIES", 2)
+    rows = vector_rows(201, 4)[0]
+    rows += [(i, [3.0 + i / 8, -2.0, 1.0, 0.5]) for i in (7, 8, 100)] + [(7, [4.0, 4.0, 4.0, 4.0])] * 2 + [(100, [9.0, 0.0, 0.0, -9.0])]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE embeddings (vec_id BIGINT, embedding FLOAT[])")
+    con.executemany("INSERT INTO embeddings VALUES (?, ?)", rows)
+    got = topk.top_k(vectors(spark, rows), lambda i: i % 100 == 0).collect()
+    assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in got) == sorted(con.execute(topk.OP6_SQL).fetchall())
+    near = ann.search(vectors(spark, rows + [(9, [x + 1e-3 for x in rows[200][1]]), (9, [50.0] * 4), (9, [-50.0] * 4)]), lambda i: i % 100 == 0)
+    assert near.where("query_id = 200 and rank = 1").first().vec_id == 9
+
+
 # ---- near duplicates
 
 def shingled(text):
