@@ -227,6 +227,32 @@ def test_missing_parts_are_never_reweighted(spark):
     assert composite.score_documents(spark, f, {**c, "context": "anesthesia"})["indices"]["SOI"]["score"] is None
 
 
+def test_planted_nulls_leave_scores_out(spark, tmp_path):
+    import duckdb
+
+    from checks.oracles import ORACLES
+    from rillwave.plans import queries
+
+    rows = [(i, 1, "view", 800.0 + i, '{"k": %d}' % (i * i)) for i in range(1, 6)]
+    rows += [(20, 1, "purchase", 100.0, '{"k": 9}'), (21, 1, "purchase", None, '{"k": 9}'), (22, 1, "purchase", 100.0, "{}"),
+             (23, 1, "purchase", 200.0, '{"k": 9}'), (24, 2, "purchase", 100.0, '{"k": 9}')]
+    events = spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double, props string")
+    events.selectExpr("event_id", "timestamp_seconds(event_id) AS ts", "user_id", "event_type", "value", "props").coalesce(1).write.parquet(
+        str(tmp_path / "events.parquet"))
+    got = {r.event_id: r for r in queries.soi_rdi_score(spark, str(tmp_path)).collect()}
+    assert got[20].soi is not None and got[20].rdi is not None and got[20].soi_missing == ""
+    assert got[21].soi is None and got[21].rdi is None and got[21].soi_missing == "alpha_variance,posterior_gamma,autonomic_surge"
+    assert got[22].soi is None and got[22].soi_missing == "gating_efficiency,posterior_gamma,frontoparietal_plv"
+    assert (got[23].soi, got[23].soi_missing, got[23].soi_coverage) == (None, "posterior_gamma", 0.8) and got[23].rdi is not None
+    assert got[24].soi is None and got[24].issues == composite.NO_CALIBRATION
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet/*.parquet')")
+    want = con.execute(ORACLES["soi_rdi_score"]).fetchdf().set_index("event_id")
+    for i, r in got.items():
+        assert r.soi_missing == want.soi_missing[i] or i == 24
+        assert (r.soi is None) == (want.soi[i] != want.soi[i]) and (r.soi is None or r.soi == pytest.approx(want.soi[i]))
+
+
 @pytest.mark.parametrize("change", [
     lambda c: c.update(duration_s=float("nan")),
     lambda c: c["SOI"]["components"]["alpha_variance"].update(sd=0),
