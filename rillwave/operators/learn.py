@@ -8,6 +8,7 @@ not depend on the number of subjects.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
@@ -21,6 +22,8 @@ from . import guards, labelled
 
 _STEPS = (1.0, 0.5, 0.2, 0.05)            # step lengths judged in the same pass
 _WIDTHS = (4.0, 1.0, 0.3, 0.1, 0.03, 0.01)   # the hinge corner is rounded ever less
+#: A model counts as settled when a full step promises at most this share of its loss.
+SETTLED = 1e-4
 
 
 @dataclass
@@ -105,9 +108,17 @@ def _pass(table: DataFrame, label: str, features: list[str], subject: str, class
     return out.reshape(*tries.shape[:3], size)
 
 
+class UnconvergedWarning(UserWarning):
+    """Models that were stopped before they had settled."""
+
+
 def fit(table: DataFrame, label: str, features: list[str], subject: str, classes: list[str], folds: list[Fold],
         rounds: int = 6) -> np.ndarray:
-    """Coefficients (fold, pair, d + 1) on scaled features, C = 1, intercept unpenalised and last."""
+    """Coefficients (fold, pair, d + 1) on scaled features, C = 1, intercept unpenalised and last.
+
+    Warns with the models that are not settled at the last width: `rounds` steps are over, or no step helps
+    although the slope promises one.
+    """
     d = len(features) + 1
     n_pairs = len(classes) * (len(classes) - 1) // 2
     ridge = np.diag([1.0] * (d - 1) + [0.0])
@@ -137,6 +148,15 @@ def fit(table: DataFrame, label: str, features: list[str], subject: str, classes
             value = np.where(better, pick, value)
             if (gain <= 1e-7 * (1.0 + np.abs(value))).all():
                 break
+    grad = sums[..., 1:1 + d] + at @ ridge
+    hess = sums[..., 1 + d:].reshape(len(folds), n_pairs, d, d) + ridge + 1e-9 * np.eye(d)
+    # decrease of the loss that a full step promises
+    promised = 0.5 * (grad * np.linalg.solve(hess, grad[..., None])[..., 0]).sum(axis=-1)
+    late = np.argwhere(~(promised <= SETTLED * (1.0 + np.abs(value))))
+    if len(late):
+        pairs = list(combinations(classes, 2))
+        names = "; ".join(f"{pairs[p][0]} / {pairs[p][1]} without {folds[f].held_out}" for f, p in late[:5].tolist())
+        warnings.warn(f"{len(late)} of {at[..., 0].size} models stopped unconverged: {names}", UnconvergedWarning, stacklevel=2)
     return at
 
 

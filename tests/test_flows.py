@@ -1,4 +1,5 @@
 import json
+import warnings
 from dataclasses import replace
 
 import numpy as np
@@ -213,6 +214,18 @@ def test_groups_by_subject_votes(spark):
         learn.train_groups(t, ["group"])
 
 
+def test_unconverged_models_are_reported(spark):
+    rng = np.random.default_rng(5)
+    rows = [(f"s{i % 3}", "a" if i % 2 else "b", float(rng.normal() + (i % 2)), float(rng.normal())) for i in range(240)]
+    df = spark.createDataFrame(rows, "subject_id string, label string, f1 double, f2 double").cache()
+    classes, folds = learn.folds_of(df, "label", ["f1", "f2"], "subject_id")
+    with pytest.warns(learn.UnconvergedWarning, match="of 3 models stopped unconverged: a / b without s"):
+        learn.fit(df, "label", ["f1", "f2"], "subject_id", classes, folds, rounds=0)
+    with warnings.catch_warnings():
+        warnings.simplefilter("error", learn.UnconvergedWarning)
+        learn.fit(df, "label", ["f1", "f2"], "subject_id", classes, folds, rounds=40)
+
+
 # --- live ----------------------------------------------------------------------------------------
 
 def simulated(spark, cfg, seed=7, rid="s", **script):
