@@ -18,7 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Words of a generation whose ids a worker remembers, and the longest of them.
-REMEMBERED, LONGEST = 350_000, 64
+REMEMBERED, LONGEST = 150_000, 64
 #: U+2581 stands for a blank in pieces.
 BAR = "▁"
 #: One blank between two characters that are no white space: the splitter of byte-level BPE starts a new word before it.
