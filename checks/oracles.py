@@ -222,9 +222,8 @@ pb AS (SELECT subject_id, count(*) FILTER (WHERE NOT coalesce(sd > 0, false)) +
 
 def composite() -> str:
     dirs = dict(zip(COMP[:5], (1, -1, 1, -1, 1)))
-    long = ", ".join(c if c != "posterior_gamma" else "CASE WHEN posterior_gamma > 13.4 THEN NULL ELSE posterior_gamma END AS posterior_gamma" for c in COMP)
     order = " ".join(f"WHEN '{c}' THEN {i}" for i, c in enumerate(COMP))
-    return f"""fl AS (SELECT event_id, subject_id, component, x FROM (SELECT event_id, subject_id, {long} FROM cr WHERE NOT calm) UNPIVOT INCLUDE NULLS (x FOR component IN ({', '.join(COMP)}))),
+    return f"""fl AS (SELECT event_id, subject_id, component, x FROM (SELECT event_id, subject_id, {', '.join(COMP)} FROM cr WHERE NOT calm) UNPIVOT INCLUDE NULLS (x FOR component IN ({', '.join(COMP)}))),
 sub AS (SELECT event_id, f.subject_id, component, CASE component {order} END AS o, component IN ({', '.join(f"'{c}'" for c in COMP[:5])}) AS is_soi, duration_s,
   CASE WHEN x IS NULL THEN NULL WHEN component IN ({', '.join(f"'{c}'" for c in COMP[:5])})
     THEN least(100.0, greatest(0.0, 100 * {case_map("component", dirs, "1")} * (x - mean) / (3 * sd)))
@@ -239,6 +238,23 @@ UNION ALL SELECT DISTINCT event_id, subject_id, NULL::DOUBLE, NULL::DOUBLE, NULL
   FROM fl WHERE NOT EXISTS (SELECT 1 FROM ag WHERE ag.event_id = fl.event_id)"""
 
 
+# Sessions by gaps and islands: what is known when the first wave has been read, and what the second one adds.
+EVENT_SESSIONS = f"""WITH e AS (SELECT CAST(user_id AS VARCHAR) AS session_id, epoch_us(ts) // 1000 AS tm, value, event_id % 10 = 7 AS later FROM events),
+w AS (SELECT max(tm) FILTER (WHERE NOT later) - 1800000 AS w1, max(tm) - 1800000 AS w2 FROM e),
+i1 AS (SELECT *, sum(new) OVER (PARTITION BY session_id ORDER BY tm ROWS UNBOUNDED PRECEDING) AS island FROM (
+  SELECT *, CASE WHEN tm - lag(tm) OVER (PARTITION BY session_id ORDER BY tm) <= 3600000 THEN 0 ELSE 1 END AS new FROM e WHERE NOT later)),
+s1 AS (SELECT session_id, island, min(tm) AS start_ms, max(tm) AS end_ms, count(*) AS n, sum(value) AS total FROM i1 GROUP BY 1, 2),
+rest AS (SELECT i1.session_id, i1.tm, i1.value FROM i1 JOIN s1 USING (session_id, island), w WHERE end_ms + 3600000 >= w1
+  UNION ALL SELECT session_id, tm, value FROM e, w WHERE later AND tm >= w1),
+i2 AS (SELECT *, sum(new) OVER (PARTITION BY session_id ORDER BY tm ROWS UNBOUNDED PRECEDING) AS island FROM (
+  SELECT *, CASE WHEN tm - lag(tm) OVER (PARTITION BY session_id ORDER BY tm) <= 3600000 THEN 0 ELSE 1 END AS new FROM rest)),
+s2 AS (SELECT session_id, island, min(tm) AS start_ms, max(tm) AS end_ms, count(*) AS n, sum(value) AS total FROM i2 GROUP BY 1, 2),
+alls AS (SELECT session_id, 'SESSION' AS kind, start_ms, end_ms, n, total FROM s1, w WHERE end_ms + 3600000 < w1
+  UNION ALL SELECT session_id, 'SESSION', start_ms, end_ms, n, total FROM s2, w WHERE end_ms + 3600000 < w2
+  UNION ALL SELECT session_id, 'LATE', tm, tm, 1, value FROM e, w WHERE later AND tm < w1)
+SELECT session_id, kind, start_ms, end_ms, n, {r6("total", "total")} FROM alls"""
+
+
 def bicoherence_ctes() -> str:
     return f"""s1 AS (SELECT channel, g AS seg, sample_ix - g * 128 AS n, uv - avg(uv) OVER (PARTITION BY channel, g) AS x
   FROM e, range((SELECT max(sample_ix) // 128 FROM e)) t(g) WHERE sample_ix BETWEEN g * 128 AND g * 128 + 255),
@@ -453,6 +469,7 @@ ORACLES = {
       p AS (SELECT *, max(b) OVER (PARTITION BY o_custkey ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM o)
       SELECT o_custkey, {r6("sum(greatest(0, b - greatest(a, coalesce(m, a))))", "duration_s")} FROM p GROUP BY 1""",
     "soi_rdi_score": f"WITH {CALROWS}, {composite()}",
+    "event_sessions": EVENT_SESSIONS,
     "robust_baseline": f"WITH {SESSIONS}, {CALIB} SELECT session_id, feature, n, {r6('med', 'med')}, {r6('mad', 'mad')}, {r6('scale', 'scale')} FROM bl",
     "arousal_index": f"""WITH {SESSIONS}, {CALIB}, af AS (UNPIVOT (SELECT s.session_id, s.t, {', '.join('s.' + f for f in FEATS)} FROM ses s JOIN fin USING (session_id) WHERE s.ok AND s.t > cal_t) ON {', '.join(FEATS)} INTO NAME feature VALUE x)
       SELECT session_id, t, {r6(f"sum({case_map('feature', WEIGHTS)} * (x - med) / scale) / sqrt(3.5)", "raw_index")} FROM af JOIN bl USING (session_id, feature) GROUP BY session_id, t""",
@@ -469,6 +486,16 @@ ORACLES = {
     "ols_trend": f"""WITH {SESSIONS}, f AS (SELECT session_id, t, x, count(*) OVER o AS n, t - min(t) OVER o AS sp, regr_slope(x, t) OVER o AS b FROM cln
       WINDOW o AS (PARTITION BY session_id ORDER BY t RANGE BETWEEN 3000 PRECEDING AND CURRENT ROW))
       SELECT session_id, t, {r6("x", "x")}, {r6("CASE WHEN n >= 10 AND sp >= 60 THEN b * 60 END", "slope_per_min")} FROM f""",
+    "ols_trend_long": f"""WITH {SESSIONS}, f AS (SELECT session_id, t, x, count(*) OVER o AS n, t - min(t) OVER o AS sp, regr_slope(x, t) OVER o AS b FROM cln
+      WINDOW o AS (PARTITION BY session_id ORDER BY t RANGE BETWEEN 100000 PRECEDING AND CURRENT ROW))
+      SELECT session_id, t, {r6("x", "x")}, {r6("CASE WHEN n >= 10 AND sp >= 60 THEN b * 60 END", "slope_per_min")} FROM f""",
+    "alert_leads": f"""WITH ev AS (SELECT DISTINCT CAST(user_id AS VARCHAR) AS session_id, CAST(event_id AS DOUBLE) AS event_t FROM events WHERE event_type = 'purchase'),
+      al AS (SELECT CAST(user_id AS VARCHAR) AS session_id, CAST(event_id AS DOUBLE) AS a, CASE event_type WHEN 'click' THEN 'EARLY_WARNING' WHEN 'view' THEN 'IMMINENT' ELSE 'CLINICAL_RISK' END AS level
+        FROM events WHERE event_type IN ('click', 'view', 'signup')),
+      lv AS (SELECT * FROM (VALUES ('EARLY_WARNING'), ('IMMINENT'), ('CLINICAL_RISK')) v(level))
+      SELECT ev.session_id, event_t, lv.level, count(a) AS n_alerts, {r6("max((event_t - a) / 60)", "first_lead_min")}, {r6("min((event_t - a) / 60)", "last_lead_min")},
+        {r6("avg((event_t - a) / 60)", "mean_lead_min")} FROM ev CROSS JOIN lv LEFT JOIN al ON al.session_id = ev.session_id AND al.level = lv.level AND a BETWEEN event_t - 21600 AND event_t
+      GROUP BY 1, 2, 3""",
     "quality_fraction": f"""WITH {SESSIONS} SELECT session_id, t, row_number() OVER (PARTITION BY session_id ORDER BY t) - 1 AS ordinal,
       {r6("avg(CASE WHEN ok THEN 1.0 ELSE 0.0 END) OVER (PARTITION BY session_id ORDER BY t ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)", "quality")} FROM ses""",
     "bvc_band": f"WITH {OBS}, b AS (SELECT *, {BAND} AS band FROM obs) SELECT session_id, t, score, band, {MULT} AS mult, {OFFS} AS level_offset FROM b",

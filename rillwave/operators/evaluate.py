@@ -2,7 +2,8 @@
 
 Only the first alert of a look-back and the first event after an alert matter, so nothing pairs
 events with all alerts near them: times are negated and the backward as-of join finds the one
-row that counts, in time buckets, however many rows a session has.
+row that counts, in time buckets, however many rows a session has. ``alert_profile`` wants all of them
+and joins the look-backs with the alerts.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from .asof import asof_backward
+from .intervals import interval_join
 
 LEVELS = ("EARLY_WARNING", "IMMINENT")
 
@@ -53,3 +55,18 @@ def evaluation(events: DataFrame, alerts: DataFrame, horizon_min: float, lookbac
     fired = _alerts(alerts).groupBy("session_id").agg(F.count("*").alias("n_alerts"))
     return (leads.join(fired, "session_id", "full").join(wrong, "session_id", "full")
             .na.fill(0, ["n_events", "detected_early", "detected_imminent", "n_alerts", "false_alarms"]))
+
+
+def alert_profile(events: DataFrame, alerts: DataFrame, lookback_min: float = 15.0, levels: tuple[str, ...] = (*LEVELS, "CLINICAL_RISK")) -> DataFrame:
+    """Per event and level: all alerts within the look-back, with the longest, shortest and mean lead in minutes.
+
+    Levels without an alert give 0 and no lead; events that repeat count once.
+    """
+    own = events.select("session_id", F.col("t").alias("event_t")).distinct()
+    spans = own.withColumn("_from", F.col("event_t") - lookback_min * 60.0)
+    lead = (F.col("event_t") - F.col("alert_t")) / 60.0
+    found = (interval_join(spans, alerts.select("session_id", "level", F.col("t").alias("alert_t")), "session_id", "_from", "event_t", "alert_t")
+             .groupBy("session_id", "event_t", "level").agg(F.count("*").alias("n_alerts"), F.max(lead).alias("first_lead_min"),
+                                                            F.min(lead).alias("last_lead_min"), F.avg(lead).alias("mean_lead_min")))
+    every = own.withColumn("level", F.explode(F.array(*map(F.lit, levels))))
+    return every.join(found, ["session_id", "event_t", "level"], "left").na.fill(0, ["n_alerts"])

@@ -4,14 +4,15 @@ Every recurrence here composes: the effect of a whole segment on the incoming st
 small function of the same kind (affine for smoothing, clamp for accumulation). Segments are
 summarised independently, summaries are composed up a fixed three-level tree, and each segment
 is then replayed from its exact start. A session may hold any share of the rows: its segments
-spread over tasks, and a task walks sorted rows holding only the state of the open segment.
+spread over tasks, and a task passes over sorted Arrow batches, each as a whole by doubling steps,
+holding only the summary of the open segment between them.
 """
 
 from __future__ import annotations
 
-import math
-
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
@@ -29,18 +30,16 @@ class Smoothing:
     def __init__(self, alpha: float):
         self.alpha = alpha
 
-    def lift(self, x: float) -> list[float]:
-        """The summary of a single row."""
-        return [1.0 - self.alpha, self.alpha * x, x]
+    def lift(self, x: np.ndarray) -> list[np.ndarray]:
+        """The summary of each single row."""
+        return [np.full(len(x), 1.0 - self.alpha), self.alpha * x, x]
 
     def compose(self, p, q):
         return [p[0] * q[0], q[0] * p[1] + q[1], q[0] * p[2] + q[1]]
 
-    def start(self, before):
-        return None if before is None else before[2]
-
-    def advance(self, level, x: float):
-        return x if level is None else level + self.alpha * (x - level)
+    def value(self, before, own):
+        """State behind ``own`` when ``before`` (NaN: nothing) came first in its key."""
+        return np.where(np.isnan(before[2]), own[2], own[0] * before[2] + own[1])
 
 
 class Accumulation:
@@ -51,41 +50,74 @@ class Accumulation:
     def __init__(self, k: float):
         self.k = k
 
-    def lift(self, x: float, cap: float) -> list[float]:
-        high = math.inf if cap is None else cap
-        return [x - self.k, min(0.0, high), high]
+    def lift(self, x: np.ndarray, cap: np.ndarray) -> list[np.ndarray]:
+        high = np.where(np.isnan(cap), np.inf, cap)
+        return [x - self.k, np.minimum(0.0, high), high]
 
     def compose(self, p, q):
-        clamp = lambda s: min(q[2], max(q[1], s + q[0]))
+        clamp = lambda s: np.minimum(q[2], np.maximum(q[1], s + q[0]))
         return [p[0] + q[0], clamp(p[1]), clamp(p[2])]
 
-    def start(self, before):
-        return 0.0 if before is None else min(before[2], max(before[1], before[0]))
+    def value(self, before, own):
+        clamp = lambda c, s: np.minimum(c[2], np.maximum(c[1], s + c[0]))
+        return clamp(own, np.where(np.isnan(before[0]), 0.0, clamp(before, 0.0)))
 
-    def advance(self, s, x: float, cap: float):
-        s = max(0.0, s + x - self.k)
-        return s if cap is None else min(s, cap)
 
+def running(op, parts: list[np.ndarray], first: np.ndarray) -> list[np.ndarray]:
+    """Running composition of row summaries inside each group (``first`` marks group starts), by doubling steps.
 
-def _runs(batches, columns: list[str], begin, each, end=None):
-    """Walk rows that are sorted by group; only the open group's state is held, across batches.
-
-    ``begin(first_row)`` -> state, ``each(state, row)`` -> (state, value), ``end(group, state)``.
-    Yields per batch (batch, values, finished groups).
+    After step d every row holds the composition of the up to 2 d rows that end with it.
     """
-    group = state = None
+    at = np.arange(len(first))
+    start = np.maximum.accumulate(np.where(first, at, 0))
+    parts, d = [p.copy() for p in parts], 1
+    while len(reach := np.flatnonzero(at - d >= start)):
+        new = op.compose([p[reach - d] for p in parts], [p[reach] for p in parts])
+        for p, v in zip(parts, new):
+            p[reach] = v
+        d *= 2
+    return parts
+
+
+def _doubles(column: pa.Array) -> np.ndarray:
+    return column.cast(pa.float64()).to_numpy(zero_copy_only=False)
+
+
+def _summaries(column: pa.Array) -> list[np.ndarray]:
+    """A column of three-number summaries as three arrays; NaN where there is none."""
+    out = np.full((len(column), 3), np.nan)
+    out[column.is_valid().to_numpy(zero_copy_only=False)] = column.flatten().to_numpy(zero_copy_only=False).reshape(-1, 3)
+    return list(out.T)
+
+
+def _lists(parts: list[np.ndarray]) -> pa.Array:
+    """Three arrays as a column of summaries; null where all are NaN."""
+    known = ~np.isnan(parts[0])
+    offsets = np.concatenate([[0], np.cumsum(3 * known)]).astype(np.int32)
+    flat = np.stack(parts, axis=1)[known].ravel()
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat), mask=pa.array(~known))
+
+
+def _running(op, batches, columns: tuple[str, str], parts_of):
+    """Per batch of rows sorted by two columns: (batch, group starts, running composition), carried across batches."""
+    group = carry = None
     for batch in batches:
-        values, done = [], []
-        for row in zip(*[batch.column(c).to_pylist() for c in columns]):
-            if row[:2] != group:
-                if group is not None and end:
-                    done.append(end(group, state))
-                group, state = row[:2], begin(row)
-            state, value = each(state, row)
-            values.append(value)
-        yield batch, values, done
-    if group is not None and end:
-        yield None, [], [end(group, state)]
+        if not batch.num_rows:
+            continue
+        keys = [batch.column(c) for c in columns]
+        first = np.zeros(batch.num_rows, bool)
+        for k in keys:
+            first[1:] |= pc.not_equal(k.slice(1), k.slice(0, len(k) - 1)).fill_null(True).to_numpy(zero_copy_only=False)
+        goes_on = group == tuple(k[0].as_py() for k in keys)
+        first[0] = True
+        parts = running(op, parts_of(batch), first)
+        if goes_on:
+            own = int(np.argmax(np.append(first[1:], True))) + 1          # rows of the group that was open
+            for p, v in zip(parts, op.compose([np.full(own, c) for c in carry], [p[:own] for p in parts])):
+                p[:own] = v
+            first[0] = False
+        yield batch, first, parts
+        group, carry = tuple(k[-1].as_py() for k in keys), [p[-1] for p in parts]
 
 
 def sorted_runs(df: DataFrame, *cols: str) -> DataFrame:
@@ -110,36 +142,46 @@ def scan(df: DataFrame, key: str, position: str, op, out: str, size: float = 655
         values.append(f"_{i}")
     kind = df.schema[key].dataType.simpleString()
 
-    def summaries(group_col: str, source: list[str], lift):
+    def summaries(group_col: str, parts_of):
         """Mapper that composes each sorted run of rows into one summary row."""
         def run(batches):
-            for _, _, done in _runs(batches, [key, group_col, *source], lambda row: None,
-                                    lambda acc, row: (lift(*row[2:]) if acc is None
-                                                      else op.compose(acc, lift(*row[2:])), None),
-                                    lambda group, acc: (*group, acc)):
-                if done:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([d[0] for d in done], type=key_type), pa.array([d[1] for d in done], pa.int64()),
-                         pa.array([d[2] for d in done], pa.list_(pa.float64()))], names=[key, group_col, "p"])
+            last = None
+            for batch, first, parts in _running(op, batches, (key, group_col), parts_of):
+                ends = np.flatnonzero(first[1:])                          # rows before the start of another group
+                out = [(batch.column(key)[int(i)].as_py(), batch.column(group_col)[int(i)].as_py(), [p[i] for p in parts]) for i in ends]
+                if last is not None and first[0]:
+                    out.insert(0, last)
+                last = (batch.column(key)[-1].as_py(), batch.column(group_col)[-1].as_py(), [p[-1] for p in parts])
+                yield from emitted(out)
+            if last is not None:
+                yield from emitted([last])
+
+        def emitted(rows):
+            if rows:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([r[0] for r in rows], type=key_type), pa.array([r[1] for r in rows], pa.int64()),
+                     _lists([np.array([r[2][i] for r in rows]) for i in range(3)])], names=[key, group_col, "p"])
         return run
 
     key_type = to_arrow_type(df.schema[key].dataType)
     slim = rows.select(key, "segment", "_pos", *values)
     # one row per segment: kept, so that the input is read once for summaries and once for the replay
     level1 = cut_lineage(sorted_runs(slim, key, "segment", "_pos")
-                         .mapInArrow(summaries("segment", values, op.lift), f"{key} {kind}, segment long, p array<double>")
+                         .mapInArrow(summaries("segment", lambda b: op.lift(*[_doubles(b.column(v)) for v in values])), f"{key} {kind}, segment long, p array<double>")
                          .withColumn("fan", F.floor(F.col("segment") / _FAN).cast("long")))
     level2 = (sorted_runs(level1, key, "fan", "segment")
-              .mapInArrow(summaries("fan", ["p"], list), f"{key} {kind}, fan long, p array<double>"))
+              .mapInArrow(summaries("fan", lambda b: _summaries(b.column("p"))), f"{key} {kind}, fan long, p array<double>"))
 
     def prefixes(batches):
-        """Exclusive running composition inside each sorted run, from the run's own ``first``."""
-        for batch, before, _ in _runs(batches, [key, "run", "p", "first"], lambda row: row[3],
-                                      lambda acc, row: (row[2] if acc is None else op.compose(acc, row[2]), acc)):
-            if batch is not None:
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(key), batch.column("item"), pa.array(before, pa.list_(pa.float64()))],
-                    names=[key, "item", "before"])
+        """Exclusive running composition inside each sorted run, behind the run's own ``first``."""
+        tail = None
+        for batch, first, parts in _running(op, batches, (key, "run"), lambda b: _summaries(b.column("p"))):
+            seed = _summaries(batch.column("first"))
+            earlier = [np.concatenate([[t], p[:-1]]) for t, p in zip(tail or [np.nan] * 3, parts)]
+            whole = op.compose(seed, earlier)
+            before = [np.where(first, s, np.where(np.isnan(seed[0]), e, w)) for s, e, w in zip(seed, earlier, whole)]
+            tail = [p[-1] for p in parts]
+            yield pa.RecordBatch.from_arrays([batch.column(key), batch.column("item"), _lists(before)], names=[key, "item", "before"])
 
     shape = f"{key} {kind}, item long, before array<double>"
     none = F.lit(None).cast("array<double>")
@@ -154,11 +196,9 @@ def scan(df: DataFrame, key: str, position: str, op, out: str, size: float = 655
     names = df.columns
 
     def replay(batches):
-        for batch, result, _ in _runs(batches, [key, "segment", "_before", *values], lambda row: op.start(row[2]),
-                                      lambda s, row: (op.advance(s, *row[3:]),) * 2):
-            if batch is not None:
-                yield pa.RecordBatch.from_arrays([batch.column(c) for c in names] + [pa.array(result, pa.float64())],
-                                                 names=[*names, out])
+        for batch, _, parts in _running(op, batches, (key, "segment"), lambda b: op.lift(*[_doubles(b.column(v)) for v in values])):
+            result = op.value(_summaries(batch.column("_before")), parts)
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in names] + [pa.array(result, mask=np.isnan(result))], names=[*names, out])
 
     return sorted_runs(rows.join(starts, [key, "segment"]), key, "segment", "_pos").mapInArrow(replay, schema)
 
@@ -178,18 +218,29 @@ def trend(df: DataFrame, key: str, t: str, y: str, window_s: float = 180.0, min_
           out: str = "slope_per_min", segment_s: float | None = None) -> DataFrame:
     """Least-squares slope per minute over the trailing ``window_s`` seconds, both edges included.
 
-    NULL below ``min_points`` points or a span shorter than min(60, window / 2).
+    NULL below ``min_points`` points or a span shorter than min(60, window / 2). Sums of a window are differences of
+    running sums: what lies up to the row, less what lies before the window. All frames but one grow from the start of
+    the segment, so each row enters each sum once; the last one holds only rows at exactly the window's edge. The time
+    per row therefore does not depend on the window.
     """
     size = segment_s or max(3600.0, 10 * window_s)
     rel = F.col(t) - F.col("segment") * F.lit(float(size))      # small numbers keep the fit well conditioned
-    over = (f"over (partition by `{key}`, segment order by _rel "
-            f"range between {float(window_s)!r}D preceding and current row)")
-    fit = (with_halo(df, t, size, window_s * (1 + 1e-9) + 1e-6).withColumn("_rel", rel)
-           .withColumn("_n", F.expr(f"count(_rel) {over}"))
-           .withColumn("_span", F.expr(f"_rel - min(_rel) {over}"))
-           .withColumn("_slope", F.expr(f"regr_slope(`{y}`, _rel) {over}")))
-    enough = (F.col("_n") >= min_points) & (F.col("_span") >= min(60.0, window_s / 2))
-    return own_rows(fit.withColumn(out, F.when(enough, F.col("_slope") * 60.0)).drop("_n", "_span", "_slope", "_rel"))
+    part = f"partition by `{key}`, segment order by _rel range between"
+    back = lambda s: f"{float(s)!r}D preceding"
+    upto = lambda x, edge: f"coalesce(sum({x}) over ({part} unbounded preceding and {edge}), 0D)"
+    at = lambda x, s: f"coalesce(sum({x}) over ({part} {back(s)} and {back(s)}), 0D)"
+    inside = lambda x, edge="current row": f"({upto(x, edge)} - {upto(x, back(window_s))} + {at(x, window_s)})"
+    seen = f"if(`{y}` is null, 0D, %s)"
+    moments = {"_one": "1D", "_t": "_rel", "_y": f"`{y}`", "_tt": "_rel * _rel", "_ty": f"_rel * `{y}`"}
+    rows = with_halo(df, t, size, window_s * (1 + 1e-9) + 1e-6).withColumn("_rel", rel)
+    rows = rows.withColumns({c: F.expr(seen % e) for c, e in moments.items()})
+    fit = rows.withColumns({"_rows": F.expr(inside("1D")), "_far": F.expr(inside("1D", back(min(60.0, window_s / 2)))),
+                            **{f"_s{c}": F.expr(inside(c)) for c in moments}})
+    n, st, sy, stt, sty = (F.col(f"_s{c}") for c in moments)
+    spread = n * stt - st * st
+    slope = F.when((F.round(n) > 1) & (spread > 1e-9 * n * stt), (n * sty - st * sy) / spread)
+    enough = (F.round("_rows") >= min_points) & (F.round("_far") >= 1)
+    return own_rows(fit.withColumn(out, F.when(enough, slope * 60.0)).drop("_rel", "_rows", "_far", *moments, *[f"_s{c}" for c in moments]))
 
 
 def quality_fraction(df: DataFrame, key: str, ordinal_col: str, ok: Column, windows: int = 60,

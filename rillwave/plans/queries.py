@@ -11,7 +11,7 @@ from ..operators import (asof, clinical, composite, coupling, epochs as E, evalu
                          personal, quality, recurrence, spectral)
 from ..session import cut_lineage
 from ..sources import tables as G
-from ..streaming import live, sessions
+from ..streaming import eventtime, live, sessions
 from . import analyze as offline
 
 FS, N = G.FS, 512
@@ -284,9 +284,7 @@ def interval_union(spark, d):
 def soi_rdi_score(spark, d):
     rows = calibration_rows(spark, d)
     names = [c for comp in composite.COMPONENTS.values() for c in comp]
-    # very long values are unreliable here and count as missing
-    vals = F.create_map(*[x for c in names for x in (
-        F.lit(c), F.when(~((F.lit(c) == "posterior_gamma") & (F.col(c) > 13.4)), F.col(c)))])
+    vals = F.create_map(*[x for c in names for x in (F.lit(c), F.col(c))])
     features = rows.where("research_label <> 'baseline'").select(
         "event_id", "subject_id", F.lit("not_recorded").alias("medication_profile_id"), vals.alias("values"))
     cal = composite.fit_calibrations(rows.drop("event_id")).where(F.size("problems") == 0).drop("problems", "session_id")
@@ -387,6 +385,15 @@ def stream_detector_steps(spark, d):
                             F.col("alert.level").alias("alert_level")), "session_id", "t", "state", "alert_level")
 
 
+def event_sessions(spark, d):
+    """Sessions of a user's events by event time; a tenth of the events arrives in a second wave, after the watermark has moved."""
+    ev = G.table(spark, d, "events")
+    waves = [ev.where("event_id % 10 <> 7"), ev.where("event_id % 10 = 7")]
+    s = eventtime.replayed([w.select(F.col("user_id").cast("string").alias("session_id"), G.instant(ev, "ts").alias("at"), "value") for w in waves],
+                           lambda rows: eventtime.sessions(rows, gap_s=3600.0, delay_s=1800.0))
+    return rounded(s.select("session_id", "kind", "start_ms", "end_ms", "n", "total"), "session_id", "kind", "start_ms", "end_ms", "n")
+
+
 def kalman_level(spark, d):
     s = _steps(spark, d, EVENTS_CFG.with_kalman())
     return rounded(s.where("index is not null and state <> 'LOW_QUALITY'").select("session_id", "t", "index"), "session_id", "t")
@@ -445,6 +452,16 @@ def evaluation(spark, d):
     return evaluate.evaluation(*_truth_and_alerts(spark, d), horizon_min=10.0)
 
 
+def alert_leads(spark, d):
+    """All alerts of the six hours before each event, by level."""
+    return rounded(evaluate.alert_profile(*_truth_and_alerts(spark, d), lookback_min=360.0), "session_id", "event_t", "level", "n_alerts")
+
+
+def ols_trend_long(spark, d):
+    """Trend over windows of 100,000 s: the whole past of most sessions."""
+    return rounded(recurrence.trend(clean(spark, d), "session_id", "t", "x", 100_000.0), "session_id", "t")
+
+
 # --- votes, metrics, guards, sets ------------------------------------------------------------------------
 
 def predictions(spark, d) -> DataFrame:
@@ -540,7 +557,7 @@ QUERIES = [epoch_qc, history_qc, clock_validate, unit_convert, compact_clock, tr
            epoch_counts, welch_psd, band_powers, relative_power, delta_alpha_ratio, sef95, spectral_entropy, notch_power,
            mean_psd, density_array, bicoherence_60s, analyze_recording, plv_alpha, bipolar_montage, bipolar_montage_mean_reference, depth_proxy,
            site_of, region_lookup, calibration_fit, interval_union, soi_rdi_score, robust_baseline, arousal_index, ewma, cusum,
-           cusum_forget, ols_trend, quality_fraction, bvc_band, asof_bvc, detector_steps, detector_steps_bvc, stream_detector_steps, kalman_level,
+           cusum_forget, ols_trend, quality_fraction, bvc_band, asof_bvc, detector_steps, detector_steps_bvc, stream_detector_steps, event_sessions, kalman_level,
            alert_messages, onset_order, live_window_features, live_channel_features, live_steps, lead_times, false_alarms,
-           evaluation, svm_held_out, majority_vote, confusion, classification_metrics, subject_metrics, manifest_guards, group_guards,
+           evaluation, alert_leads, ols_trend_long, svm_held_out, majority_vote, confusion, classification_metrics, subject_metrics, manifest_guards, group_guards,
            state_guards, union_columns, set_checks, resume_pending, content_digest]

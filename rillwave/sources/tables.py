@@ -58,6 +58,12 @@ def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
                      F.col("event_id").alias("row_ix"), F.col("event_id").cast("double").alias("t"), "value")
 
 
+def instant(df: DataFrame, column: str) -> Column:
+    """A timestamp column as points in time; one without a zone is read as UTC, whatever zone the session has."""
+    c = F.col(column)
+    return F.to_timestamp(F.concat(c.cast("string"), F.lit("Z"))) if dict(df.dtypes)[column] == "timestamp_ntz" else c
+
+
 def prop_k() -> Column:
     """The integer k of the props JSON."""
     return F.get_json_object("props", "$.k").cast("long")

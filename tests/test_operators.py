@@ -243,7 +243,7 @@ def test_planted_nulls_leave_scores_out(spark, tmp_path):
     assert got[20].soi is not None and got[20].rdi is not None and got[20].soi_missing == ""
     assert got[21].soi is None and got[21].rdi is None and got[21].soi_missing == "alpha_variance,posterior_gamma,autonomic_surge"
     assert got[22].soi is None and got[22].soi_missing == "gating_efficiency,posterior_gamma,frontoparietal_plv"
-    assert (got[23].soi, got[23].soi_missing, got[23].soi_coverage) == (None, "posterior_gamma", 0.8) and got[23].rdi is not None
+    assert got[23].soi is not None and (got[23].soi_missing, got[23].soi_coverage) == ("", 1.0) and got[23].rdi is not None
     assert got[24].soi is None and got[24].issues == composite.NO_CALIBRATION
     con = duckdb.connect()
     con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet/*.parquet')")
