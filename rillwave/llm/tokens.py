@@ -200,7 +200,7 @@ def loaded(kind, file):
     return _LOADED[kind, file]
 
 
-def windows(batches, column: str = "text", most: int = 4 << 20):
+def windows(batches, column: str = "text", most: int = 1 << 20):
     """Slices of the batches with about `most` bytes of text; a longer text is a slice of its own."""
     for batch in batches:
         sizes = pc.binary_length(batch.column(column).cast(pa.large_binary())).fill_null(0).to_numpy(zero_copy_only=False)
