@@ -519,7 +519,8 @@ ORACLES = {
     "confusion": f"WITH {PRED} SELECT truth, pred, count(*) AS n FROM pr GROUP BY 1, 2",
     "classification_metrics": f"WITH {PRED}, {metrics('pr')}",
     "subject_metrics": f"WITH {PRED}, {VOTE}, {metrics('vote')}",
-    "manifest_guards": f"""WITH m AS (SELECT CASE lang WHEN 'en' THEN 'ASD' WHEN 'fr' THEN 'PSY' WHEN 'de' THEN 'HC' ELSE 'es' END AS g, CASE WHEN n_chars > 5000 THEN '.' ELSE '' END || CAST(doc_id % 7 AS VARCHAR) AS s FROM documents)
+    "manifest_guards": f"""WITH m AS (SELECT CASE lang WHEN 'en' THEN 'ASD' WHEN 'fr' THEN 'PSY' WHEN 'de' THEN 'HC' ELSE 'es' END AS g, CASE WHEN n_chars % 11 = 0 THEN '.' || sha256(text)
+      WHEN n_chars % 13 = 0 THEN sha256(text) || '/a' WHEN n_chars % 17 = 0 THEN sha256(text) || chr(92) || 'a' ELSE sha256(text) END AS s FROM documents)
       {GUARDS} SELECT 'unknown_group' AS rule, count(*) FILTER (WHERE g = 'es') AS n FROM m
       UNION ALL SELECT 'path_like_subject_id', count(*) FILTER (WHERE s LIKE '.%' OR s LIKE '%/%' OR contains(s, chr(92))) FROM m
       UNION ALL SELECT 'duplicate_subject_id', count(*) FROM (SELECT s FROM m GROUP BY 1 HAVING count(*) > 1))""",

@@ -501,9 +501,10 @@ def subject_metrics(spark, d):
 
 def manifest_guards(spark, d):
     group = F.when(F.col("lang") == "en", "ASD").when(F.col("lang") == "fr", "PSY").when(F.col("lang") == "de", "HC").otherwise("es")
-    m = G.table(spark, d, "documents").select(
-        F.concat(F.col("source"), F.lit("/x.edf")).alias("file"), group.alias("group"),
-        F.concat(F.when(F.col("n_chars") > 5000, ".").otherwise(""), (F.col("doc_id") % 7).cast("string")).alias("subject_id"))
+    digest = F.sha2("text", 256)                # one subject per text: copies are duplicates; ids of some shapes look like paths
+    shape = (F.when(F.col("n_chars") % 11 == 0, F.concat(F.lit("."), digest)).when(F.col("n_chars") % 13 == 0, F.concat(digest, F.lit("/a")))
+             .when(F.col("n_chars") % 17 == 0, F.concat(digest, F.lit("\\a"))).otherwise(digest))
+    m = G.table(spark, d, "documents").select(F.concat(F.col("source"), F.lit("/x.edf")).alias("file"), group.alias("group"), shape.alias("subject_id"))
     return guards.manifest_report(m)
 
 

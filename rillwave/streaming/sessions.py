@@ -120,6 +120,13 @@ def run_sessions(windows: DataFrame, cfg: LiveConfig, segment_windows: int = 163
                 ids, segments, states = zip(*ends)
                 yield steps_frame(list(ids), [dict.fromkeys(_STEP_COLUMNS)] * len(ends)).assign(segment=segments, end=[*map(M.dumps, states)])
 
+    if not rows.where("segment > 0").limit(1).count():                       # the first segments are all there is: one walk is the result
+        def steps_only(frames):
+            for keys, steps, _ in _walk(frames, cfg):
+                if steps:
+                    yield steps_frame([k[0] for k in keys], steps)
+
+        return _sorted_rows(rows, None, segment_windows).mapInPandas(steps_only, STEPS)
     todo, turns = None, []
     while True:
         ran = cut_lineage(_sorted_rows(rows, todo, segment_windows).mapInPandas(walk, _WALKED))
