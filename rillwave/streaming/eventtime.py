@@ -16,7 +16,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..session import shared_folder
@@ -24,8 +24,6 @@ from ..session import shared_folder
 SESSION, LATE = "SESSION", "LATE"
 OUTPUT = "session_id string, kind string, start_ms long, end_ms long, n long, total double"
 _COLUMNS = [c.split()[0] for c in OUTPUT.split(", ")]
-_STORE = "spark.sql.streaming.stateStore.providerClass"
-_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def joined(spans: pd.DataFrame, gap: int) -> pd.DataFrame:
@@ -95,22 +93,22 @@ def sessions(rows: DataFrame, gap_s: float, delay_s: float) -> DataFrame:
     Times are whole milliseconds. A row without key or time belongs to no session and is left out; a missing value
     counts as 0 in ``total``. ``delay_s`` is how long the watermark waits for rows out of order.
     """
+    timed_state(rows.sparkSession)
     marked = rows.where("session_id is not null and at is not null").withWatermark("at", f"{round(delay_s * 1000)} milliseconds")
     seen = marked.select("session_id", F.unix_millis(F.col("at")).alias("at_ms"), F.coalesce(F.col("value").cast("double"), F.lit(0.0)).alias("value"))
     return seen.groupBy("session_id").transformWithStateInPandas(
         statefulProcessor=GapSessions(round(gap_s * 1000)), outputStructType=OUTPUT, outputMode="Append", timeMode="EventTime")
 
 
+def timed_state(spark: SparkSession) -> None:
+    """Timers and times to live need the state store that Spark keeps on disk and backs up in the checkpoint."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
 def advance(stream: DataFrame, base: str) -> None:
     """Process all that is available now; progress and output stay in ``base``, so a rerun goes on where it ended."""
-    spark = stream.sparkSession
-    before = spark.conf.get(_STORE)
-    spark.conf.set(_STORE, _ROCKS)
-    try:
-        (stream.writeStream.format("parquet").outputMode("append").option("path", f"{base}/out")
-         .option("checkpointLocation", f"{base}/progress").trigger(availableNow=True).start().awaitTermination())
-    finally:
-        spark.conf.set(_STORE, before)
+    (stream.writeStream.format("parquet").outputMode("append").option("path", f"{base}/out")
+     .option("checkpointLocation", f"{base}/progress").trigger(availableNow=True).start().awaitTermination())
 
 
 def replayed(waves: list[DataFrame], operator: Callable[[DataFrame], DataFrame]) -> DataFrame:

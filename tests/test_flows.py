@@ -314,10 +314,7 @@ def test_stream_equals_batch(spark, demo, tmp_path):
     for i in range(4):        # four files, so at least four micro-batches
         rows.where(f"start_ix >= {i * 6 * n} and start_ix < {(i + 1) * 6 * n}").coalesce(1).write.mode("append").parquet(str(tmp_path / "chunks"))
     stream = live.detect_chunks_stream(wearable.chunk_stream(spark, str(tmp_path / "chunks")), cfg)
-    q = (stream.writeStream.format("parquet").option("path", str(tmp_path / "steps")).option("checkpointLocation", str(tmp_path / "cp"))
-         .trigger(availableNow=True).start())
-    q.awaitTermination(120)
-    got = {r["t"]: r for r in spark.read.parquet(str(tmp_path / "steps")).collect()}
+    got = {r["t"]: r for r in live.drain(stream, "chunks").collect()}
     want = {r["t"]: r for r in sessions.run_sessions(live.live_windows(blocks, cfg), cfg).collect()}
     assert sorted(got) == sorted(want) and len(got) == 239
     for t, r in want.items():
@@ -348,10 +345,7 @@ def test_windows_stream_names_late_rows(spark, demo, tmp_path):
         def send(self, alert):
             sent.append(alert)
 
-    q = (live.detect_windows_stream(src, cfg).writeStream.format("parquet").option("path", str(tmp_path / "o"))
-         .option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start())
-    q.awaitTermination(120)
-    out = spark.read.parquet(str(tmp_path / "o"))
+    out = live.drain(live.detect_windows_stream(src, cfg), "late")
     late = "state = 'LATE'"
     assert out.where(f"not ({late})").count() == out.select("t").distinct().count() == 119
     assert sorted(r["t"] for r in out.where(late).collect()) == [float(t) for t in range(51, 61)]
@@ -359,6 +353,20 @@ def test_windows_stream_names_late_rows(spark, demo, tmp_path):
     assert len(sent) == 5 and sent[0]["level"] == "EARLY_WARNING"
 
 
+def test_state_of_idle_sessions_expires(spark, demo, tmp_path):
+    import time
+
+    cfg = replace(LiveConfig(), baseline_sec=30.0)
+    part = demo.where("t <= 20").drop("window_ix")
+    for idle, state in ((3600.0, "LATE"), (0.5, "CALIBRATING")):
+        folder = str(tmp_path / f"w{idle}")
+        for _ in range(2):                      # the same windows again: known ones while the state lives, new ones later
+            part.coalesce(1).write.mode("append").parquet(folder)
+            out = live.drain(live.detect_windows_stream(spark.readStream.schema(part.schema).parquet(folder), cfg, idle), "idle", f"{folder}-run")
+            time.sleep(1.5)
+        assert sorted(r["state"] for r in out.collect()) == sorted(["CALIBRATING"] * 19 + [state] * 19)
+
+
 def test_alert_lines_and_notifiers():
     a = {"t": 763.0, "level": "EARLY_WARNING", "index": 1.125, "slope_per_min": 0.2, "eta_min": 6.5, "message": "m"}
     assert notify.text(a) == "[12:43] EARLY WARNING | index +1.12 z | trend +0.20 z/min | ETA ~6 min\n  m"
