@@ -10,6 +10,13 @@ meaning of their containers, and on variants of these pages in which containers
 sidebars, notices, forms, comments, ...) are put in. The sample's bound is the parameter `SAMPLE`; the texts of all
 pages are read whole and decided by the network alone.
 
+The labels come from container names (`teacher`), so what the network can learn is how such names, their words and their
+neighbourhood go together; a page without any telling name is decided by words, links and neighbours alone.
+
+Which rule holds for markup: `<br>` ends a line, so the parts are joined by one line end; an unclosed `<script>`, `<style>`,
+`<title>`, `<template>`, `<textarea>`, `<iframe>`, `<noframes>` or `<noembed>` takes the rest of the page, as in browsers,
+an unclosed `<object>`, `<svg>`, `<math>` or `<button>` does not; formulas and fallback texts are read.
+
 Defined cases: null or empty html has an empty text; unclosed, misnested and cut-off markup is read as far as it goes;
 pages that repeat are read alike; without any page to learn from the text is empty; extra columns are ignored.
 """
@@ -38,74 +45,159 @@ BATCH = 8192
 
 INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-UNREAD = frozenset("script style template textarea title svg math iframe object noframes".split())
+#: Elements that begin and end a block.
+BREAKS = frozenset("address article aside blockquote body br caption center col colgroup dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
+#: Elements that hold one line of running text; an unknown element inside is part of it, elsewhere it is a block.
+LINES = frozenset("blockquote caption dd dt figcaption h1 h2 h3 h4 h5 h6 legend li p pre summary td th".split())
+#: Known elements that neither begin nor end a block.
+KNOWN = INLINE | VOID | frozenset("acronym applet audio button canvas datalist iframe map math meter nobr noembed noframes noscript object optgroup option output picture progress rb rp rt rtc ruby script select slot style svg template textarea title video xmp".split())
+#: Elements whose inside is no text of the page; an unclosed one takes the rest, as in browsers.
+UNREAD = frozenset("script style template textarea title iframe noframes noembed".split())
+#: Controls and drawings stand beside the text around them: blocks of their own that do not cut it.
+BESIDE = frozenset("button select svg".split())
+FOREIGN = frozenset("math svg".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 
-MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)([^'">]*(?:"[^"]*"[^'">]*|'[^']*'[^'">]*)*)>""", re.S)
+#: A tag. A quoted value may hold ">"; a quote that nothing closes, or that follows no "=", is an ordinary character.
+TAG = re.compile(r"""<(/?)([A-Za-z][^\s/>]*+)((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')|=)*+)>""")
+LOOSE = re.compile(r"<(/?)([A-Za-z][^\s/>]*+)([^>]*+)>")
+ENDS = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in UNREAD}
 NAMES = re.compile(r"""\b(class|id|role|itemprop|style|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 PART = re.compile(r"[a-z]+")
+#: Path tokens of one element, and outermost and innermost elements of a path, that the labeller sees. No text depends on them.
+NAMED, DEPTH = 64, 48
+
+
+class Path(list):
+    """Open elements as (tag, path tokens, place of the paragraph that a block would close or -1, inside a line)."""
+
+    def __init__(self):
+        super().__init__()
+        self.count: dict[str, int] = {}
+
+    def push(self, tag: str, names: list[str]):
+        _, _, paragraph, line = self[-1] if self else ("", (), -1, False)
+        paragraph = len(self) if tag == "p" else paragraph if tag in INLINE else -1
+        self.append((tag, names, paragraph, tag in LINES or line and tag not in BREAKS))
+        self.count[tag] = self.count.get(tag, 0) + 1
+
+    def cut(self, at: int):
+        """Close the element at this place and all inside."""
+        for tag, *_ in self[at:]:
+            self.count[tag] -= 1
+        del self[at:]
+
+    def close(self, tag: str):
+        if self.has(tag):
+            at = len(self) - 1
+            while self[at][0] != tag:
+                at -= 1
+            self.cut(at)
+
+    def has(self, *tags: str) -> bool:
+        return any(self.count.get(tag) for tag in tags)
+
+    def tokens(self) -> tuple[str, ...]:
+        seen = self if len(self) <= 2 * DEPTH else self[:DEPTH] + self[-DEPTH:]
+        return tuple(t for _, names, *_ in seen for t in names)
+
+
+class Block:
+    """Text of a leaf as it is read."""
+
+    def __init__(self):
+        self.text: list[str] = []
+        self.linked, self.path = 0, ()
+
+    def add(self, piece: str, path: Path):
+        if not self.text:
+            if piece.isspace():
+                return
+            self.path = path.tokens()
+        self.text.append(html.unescape(piece) if "&" in piece else piece)
+        if path.has("a"):
+            self.linked += len(self.text[-1])
+
+    def leaf(self):
+        joined = "".join(self.text)
+        whole = " ".join(joined.split())
+        return [(self.path, whole, min(1.0, self.linked / len(joined)))] if whole else []
 
 
 def leaves(page: str) -> list[tuple[tuple[str, ...], str, float]]:
-    """(tag path as name tokens, text, share of linked characters) of each leaf block."""
-    out, stack, text, linked, at = [], [], [], 0, 0
-    path: tuple[str, ...] | None = None
+    """(tag path as name tokens, text, share of linked characters) of each leaf block, in time linear in the page.
+
+    A block ends where a block-level element begins or ends, and at `<br>`; images, scripts, formulas, controls, drawings
+    and unknown elements inside a line do not end it. Text of a control or drawing is a leaf of its own behind the block it
+    stands in. A "<" that begins no whole tag is text.
+    """
+    out, path, block, beside = [], Path(), Block(), Block()
+    at, n, last, tags = 0, len(page), page.rfind(">"), TAG
 
     def flush():
-        nonlocal linked, path
-        if not text:
-            return
-        whole = " ".join(html.unescape("".join(text)).split())
-        if whole:
-            out.append((path, whole, min(1.0, linked / max(1, sum(map(len, text))))))
-        text.clear()
-        linked, path = 0, None
-
-    def tokens():
-        return tuple(t for _, names in stack for t in names)
-
-    def read(piece: str):
-        nonlocal linked, path
-        if piece and (text or not piece.isspace()):
-            if path is None:
-                path = tokens()
-            text.append(piece)
-            if any(tag == "a" for tag, _ in stack):
-                linked += len(piece)
-
-    n = len(page)
+        nonlocal block, beside
+        if block.text or beside.text:
+            out.extend(block.leaf() + beside.leaf())
+            block, beside = Block(), Block()
+
+    def read(start: int, end: int):
+        if end > start:
+            (beside if path.has(*BESIDE) else block).add(page[start:end], path)
+
     while at < n:
-        m = MARKUP.search(page, at)
-        if m is None:
-            read(page[at:])
+        start = page.find("<", at)
+        if start < 0:
+            read(at, n)
+            break
+        if page.startswith("<!--", start):
+            read(at, start)
+            end = page.find("-->", start + 2)
+            at = end + 3 if end >= 0 else n
+            continue
+        if start > last:                        # no tag ends any more, a comment may still begin
+            cut = page.find("<!--", start)
+            read(at, cut if cut >= 0 else n)
             break
-        read(page[at:m.start()])
-        at, tag = m.end(), (m[2] or "").lower()
-        if not tag:
+        if page[start + 1] in "!?":
+            read(at, start)
+            at = page.find(">", start) + 1
             continue
-        if tag not in INLINE:
+        m = tags.match(page, start)
+        if m is None and (page[start + 1].isalpha() or page[start + 1] == "/"):
+            m = LOOSE.match(page, start)
+            if m:                               # a quoted value goes on to the end: quotes do not count from here on
+                tags = LOOSE
+        if m is None:
+            read(at, start + 1)
+            at = start + 1
+            continue
+        read(at, start)
+        at, tag = m.end(), m[2].lower()
+        if tag in BREAKS or tag not in KNOWN and not path.has(*FOREIGN) and not (path and path[-1][3]):
             flush()
         if m[1]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    break
+            path.close(tag)
         elif tag in UNREAD:
-            end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
-            at = end.end() if end else n
-            continue
+            if not (m[3].endswith("/") and path.has(*FOREIGN)):
+                end = ENDS[tag].search(page, at)
+                at = page.find(">", end.end()) + 1 if end else 0
+                at = at or n
         elif tag not in VOID:
-            if tag in CLOSES_P:
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == "p":
-                        del stack[i:]
-                        break
-                    if stack[i][0] not in INLINE:
-                        break
+            if path.has(*FOREIGN):
+                if m[3].endswith("/"):
+                    continue
+                if tag in BREAKS and not path.has("foreignobject"):     # no such element can stand in a drawing
+                    for outer in FOREIGN:
+                        while path.has(outer):
+                            path.close(outer)
+            elif tag in FOREIGN and m[3].endswith("/"):
+                continue
+            if tag in CLOSES_P and path and path[-1][2] >= 0:
+                path.cut(path[-1][2])
             names = [tag]
             for a in NAMES.finditer(m[3]) if m[3] else ():
                 names += [f"{a[1].lower()}={w}" for w in PART.findall((a[2] or a[3] or a[4] or a[1]).lower())]
-            stack.append((tag, names))
+            path.push(tag, names[:NAMED])
     flush()
     return out
 
@@ -311,9 +403,23 @@ def variants(page: str, rng: np.random.Generator, n: int = 6) -> Iterator[str]:
         yield new
 
 
+def sampled(pages: DataFrame, sample: int = SAMPLE) -> list[str]:
+    """Texts of the `sample` pages whose page_id hashes least; of an id's rows the one whose html hashes least.
+
+    Ids are chosen first, so no task sends a page that is not in the sample.
+    """
+    read = pages.where(F.col("html").isNotNull())
+    ids = [r[0] for r in read.select("page_id").distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(sample).collect()]
+    here = F.col("page_id").isin([i for i in ids if i is not None])
+    rows = (read.where(here | F.col("page_id").isNull() if None in ids else here)
+            .groupBy("page_id").agg(F.min_by("html", F.struct(F.xxhash64("html"), "html")).alias("html")).collect())
+    by = {r.page_id: r.html for r in rows}
+    return [by[i] for i in ids]
+
+
 def fit(pages: DataFrame, sample: int = SAMPLE) -> Labeller | None:
-    """Train on the pages whose page_id hashes least; the sample is all that reaches the driver."""
-    held = [r[0] for r in pages.where(F.col("html").isNotNull()).orderBy(F.xxhash64("page_id"), "html").select("html").limit(sample).collect()]
+    """Train on the pages of `sampled`; the sample is all that reaches the driver."""
+    held = sampled(pages, sample)
     rng, features, xs, ys = np.random.default_rng(17), Features(), [], []
     for page in held:
         for one in variants(page, rng):

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -121,6 +122,51 @@ def test_leaves_follow_markup():
     assert pages.leaves("<p " * 2000)[0][1].startswith("<p")
 
 
+@pytest.mark.parametrize("page, want", [
+    ("<article><p>a</p><svg class=i/><p>b</p><p>c</p></article>", ["a", "b", "c"]),
+    ("<p>a</p><object data=x><p>b</p>", ["a", "b"]),
+    ("<p>a</p><svg><path d=z><text>t</text><p>b</p>", ["a", "t", "b"]),
+    ("<svg><title/><path/></svg><p>b", ["b"]),
+    ("<p>foo <img src=x> bar</p>", ["foo bar"]),
+    ("<p>foo <script>var a = '</p>';</script> bar</p>", ["foo bar"]),
+    ("<p>foo <my-tag>x</my-tag> bar</p><my-tag>y</my-tag>z", ["foo x bar", "y", "z"]),
+    ("<p>foo <button>Copy</button> bar <select><option>one<option>two</select>baz</p>", ["foo bar baz", "Copyonetwo"]),
+    ("<li>let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> be", ["let x=2 be"]),
+    ("<p title='a > b'>c</p><p title=\"d>e</p><p class='x'>f", ["c", "e", "f"]),
+    ("<a don't>x</a><!-->y<!-- z -->", ["xy"]),
+    ("<p>a &amp;lt; &<b>amp;</b></p>", ["a &lt; &amp;"]),
+    ("<div>a<p>b<i>c<div>d</div>e", ["a", "bc", "d", "e"]),
+    ("<p>a<iframe src=x>no</iframe>b<title>c", ["ab"]),
+    ("<script>x</script", []), ("<script>x</script>a<", ["a<"]), ("</", ["</"])])
+def test_leaves_of_odd_markup(page, want):
+    assert [t for _, t, _ in pages.leaves(page)] == want
+
+
+def test_leaves_are_linear():
+    began = time.perf_counter()
+    for unit in ("<a ", "<a b=\">\" ", "<a b='", "<!", "<", "<!-- ", "<script>x</script ", "<div>x", "<i><p>x</p>", "<p><b>", "</x>", "<div class='a b'>y<svg>", "&#"):
+        pages.leaves(unit * (300_000 // len(unit)))
+        pages.leaves(unit * (300_000 // len(unit)) + ">")
+    assert time.perf_counter() - began < 30
+
+
+def test_sample_takes_one_row_of_an_id(spark):
+    rows = [(i, f"p{i}") for i in range(40)] + [(None, "n"), (None, None), (7, "zz"), (7, "p7"), (50, None)]
+    frame = spark.createDataFrame(rows, "page_id long, html string")
+    got = pages.sampled(frame, 100)
+    assert len(got) == 41 and {t for t in got} <= {t for _, t in rows} and got == pages.sampled(frame.repartition(5), 100)
+    assert pages.sampled(frame, 10) == got[:10]
+
+
+def test_labeller_on_containers_without_listed_names(spark):
+    page = lambda i: PAGE.replace("First", f"First {prose(12)}").replace("Menu", prose(2))
+    net, feats = pages.fit(spark.createDataFrame([(i, page(i)) for i in range(60)], "page_id long, html string")), pages.Features()
+    bare = page(99).replace('<div class="comments">', "<footer>").replace("<article>", "<main class=zzqq>").replace("</article>", "</main>")
+    blocks = pages.leaves(bare)
+    kept = [t for (_, t, _), y in zip(blocks, net.label([feats(blocks)])[0]) if y > 0.5]
+    assert "Second <x> para." in kept and "© me" not in kept
+
+
 def test_block_labeller_learns_containers(spark):
     page = lambda i: PAGE.replace("First", f"First {prose(12)}").replace("Menu", prose(2))
     rows = [(i, f"u{i}", page(i)) for i in range(60)] + [(None, None, None), (61, "u", ""), (61, "u", "")]
