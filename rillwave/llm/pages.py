@@ -74,29 +74,32 @@ class Path(list):
     def __init__(self):
         super().__init__()
         self.count: dict[str, int] = {}
+        self.beside = self.foreign = 0              # open elements of BESIDE and FOREIGN
 
     def push(self, tag: str, names: list[str]):
         _, _, paragraph, line = self[-1] if self else ("", (), -1, False)
         paragraph = len(self) if tag == "p" else paragraph if tag in INLINE else -1
         self.append((tag, names, paragraph, tag in LINES or line and tag not in BREAKS))
-        self.count[tag] = self.count.get(tag, 0) + 1
+        self._counted(tag, 1)
+
+    def _counted(self, tag: str, by: int):
+        self.count[tag] = self.count.get(tag, 0) + by
+        self.beside += by * (tag in BESIDE)
+        self.foreign += by * (tag in FOREIGN)
 
     def cut(self, at: int):
         """Close the element at this place and all inside."""
         for tag, *_ in self[at:]:
-            self.count[tag] -= 1
+            self._counted(tag, -1)
         del self[at:]
 
     def close(self, tag: str):
-        if self.has(tag):
+        if self.count.get(tag):
             at = len(self) - 1
             while self[at][0] != tag:
                 at -= 1
             self.cut(at)
 
-    def has(self, *tags: str) -> bool:
-        return any(self.count.get(tag) for tag in tags)
-
     def tokens(self) -> tuple[str, ...]:
         seen = self if len(self) <= 2 * DEPTH else self[:DEPTH] + self[-DEPTH:]
         return tuple(t for _, names, *_ in seen for t in names)
@@ -115,7 +118,7 @@ class Block:
                 return
             self.path = path.tokens()
         self.text.append(html.unescape(piece) if "&" in piece else piece)
-        if path.has("a"):
+        if path.count.get("a"):
             self.linked += len(self.text[-1])
 
     def leaf(self):
@@ -142,7 +145,7 @@ def leaves(page: str) -> list[tuple[tuple[str, ...], str, float]]:
 
     def read(start: int, end: int):
         if end > start:
-            (beside if path.has(*BESIDE) else block).add(page[start:end], path)
+            (beside if path.beside else block).add(page[start:end], path)
 
     while at < n:
         start = page.find("<", at)
@@ -173,23 +176,22 @@ def leaves(page: str) -> list[tuple[tuple[str, ...], str, float]]:
             continue
         read(at, start)
         at, tag = m.end(), m[2].lower()
-        if tag in BREAKS or tag not in KNOWN and not path.has(*FOREIGN) and not (path and path[-1][3]):
+        if tag in BREAKS or tag not in KNOWN and not path.foreign and not (path and path[-1][3]):
             flush()
         if m[1]:
             path.close(tag)
         elif tag in UNREAD:
-            if not (m[3].endswith("/") and path.has(*FOREIGN)):
+            if not (m[3].endswith("/") and path.foreign):
                 end = ENDS[tag].search(page, at)
                 at = page.find(">", end.end()) + 1 if end else 0
                 at = at or n
         elif tag not in VOID:
-            if path.has(*FOREIGN):
+            if path.foreign:
                 if m[3].endswith("/"):
                     continue
-                if tag in BREAKS and not path.has("foreignobject"):     # no such element can stand in a drawing
-                    for outer in FOREIGN:
-                        while path.has(outer):
-                            path.close(outer)
+                if tag in BREAKS and not path.count.get("foreignobject"):     # no such element can stand in a drawing
+                    while path.foreign:
+                        path.cut(len(path) - 1)
             elif tag in FOREIGN and m[3].endswith("/"):
                 continue
             if tag in CLOSES_P and path and path[-1][2] >= 0:
