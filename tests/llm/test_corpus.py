@@ -511,6 +511,24 @@ def test_mix_hits_targets_and_repeats_itself(spark):
     assert mixing.takes(docs(spark, [])).collect() == []
 
 
+def test_mix_of_sources_without_ids_and_of_equal_rows(spark):
+    rows = [(None, prose(int(n)), None, "a") for n in RNG.integers(1, 40, 300)] + [(None, "same words here", "x", "b")] * 900
+    rows += [(5, "one two", None, "c")] * 50 + [(i, prose(9), None, "d") for i in range(600)]
+    frame = docs(spark, rows)
+    got, again = mixing.takes(frame).collect(), mixing.takes(frame.repartition(11)).collect()
+    key = lambda r: (str(r.doc_id), r.size, r.target, r.taken)
+    assert sorted(map(key, got)) == sorted(map(key, again)) and len(got) == len(rows)
+    taken = Counter()
+    for r in got:
+        taken[r.source_size, r.target] += r.taken
+        assert r.size and r.taken % r.size == 0 and r.taken <= 3 * r.size
+    assert len(taken) == 4 and all(n == pytest.approx(target, rel=0.02) for (_, target), n in taken.items())
+    words = Counter()
+    for r in mixing.mixed(frame).collect():
+        words[r.source] += len(r.text.split(" "))
+    assert sorted(words.values()) == sorted(taken.values())
+
+
 # ---- pipeline
 
 def test_pipeline_stages_equal_brute_force(spark, tmp_path):
