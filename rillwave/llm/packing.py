@@ -8,7 +8,9 @@ two; the choice is read back length by length). What is missing then is cut from
 of a window fill sequences whose sizes are powers of two, which need no padding, so no sequence is padded at all.
 
 The ids are those of the named tokenizer, followed by `END`. Pieces of white-space delimited text are tokenised once
-per worker and remembered in a cache of bounded size: the tokenizer never merges across white space.
+per worker and remembered in a cache of bounded size: the tokenizer never merges across white space. The strings of the
+vocabulary's special tokens inside a text are read as the tokenizer reads them when loaded: as these tokens; texts that may
+hold one, and all texts if the vocabulary cuts words by other rules than `RULES`, are tokenised whole.
 
 Defined cases: null or empty text is the single id `END`; rows that repeat are packed each for itself; a null doc_id
 is kept; texts of any length are read whole; an empty table gives no rows; extra columns are ignored.
@@ -16,6 +18,7 @@ is kept; texts of any length are read whole; an empty table gives no rows; extra
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -40,6 +43,13 @@ SCHEMA = ("doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tok
           "sequence_id bigint, offset bigint")
 
 
+#: The normaliser and splitter for which words may be tokenised one by one.
+RULES = ({"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+         {"type": "Sequence", "pretokenizers": [
+             {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+             {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]})
+
+
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
@@ -62,8 +72,13 @@ class Ids(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
+        shape = json.loads(self.tokenizer.to_str())
+        self.by_word = (shape["normalizer"], shape["pre_tokenizer"]) == RULES
+        special = shape["added_tokens"]
+        #: First two characters of the special tokens; a text without them holds none.
+        self.heads = {t["content"][:2] for t in special}
+        self.by_word &= not any(t["normalized"] or t["lstrip"] or t["rstrip"] for t in special)
 
     def word(self, low: str) -> bytes:
         """Ids of a run of lower-case Latin letters: one token of the splitter, so only the merges are left to do."""
@@ -83,12 +98,17 @@ class Ids(dict):
         elif piece.isascii() and piece != low:
             ids = self[low]
         else:
-            ids = np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
+            ids = self.whole(piece)
         if len(piece) <= 64:
             self[piece] = ids
         return ids
 
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
     def of(self, text: str) -> bytes:
+        if not self.by_word or any(h in text for h in self.heads):
+            return self.whole(text) + END_BYTES
         return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" "))) + END_BYTES
 
 

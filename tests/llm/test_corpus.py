@@ -401,7 +401,6 @@ def test_licence_scores_equal_all_pieces():
 def test_packing_round_trip(spark):
     from tokenizers import Tokenizer
     tk = Tokenizer.from_file(packing.vocabulary())
-    tk.encode_special_tokens = True
     rows = [(1, None), (2, ""), (3, "Hello, it's THE <|endoftext|> Éa's é x²3. don't!! '?a"), (4, prose(9000)), (5, "\t tab\x1ccontrol\r\n"),
             (None, "null id"), (6, "same"), (6, "same")] + [(10 + i, prose(int(n))) for i, n in enumerate(RNG.integers(1, 900, 120))]
     got = packing.pieces(docs(spark, rows)).collect()
@@ -425,12 +424,18 @@ def test_packing_round_trip(spark):
 
 
 def test_pieces_tokenise_as_whole_texts():
-    ids = packing.token_ids(packing.vocabulary())
+    from tokenizers import Tokenizer
+    ids, judge = packing.Ids(packing.vocabulary()), Tokenizer.from_file(packing.vocabulary())
+    assert ids.by_word and np.frombuffer(ids.of("hi <|endoftext|> there"), "<u4").tolist() == [1883, 49407, 997, 2]
     signs = "aZ\u00e9\u00c9\u00df\u00f1\u0130\u0131\u017f\u212a\u0141\u0153\u01c5\u01f0\u03a9\u03c3\u03a3\u03c2\u0434\u4e2d\u00aa'\u02bc.,!#$%9\uff10\u00b2\u0301\u0307  \t\n -_"
     texts = ["".join(RNG.choice(list(signs), int(n))) for n in RNG.integers(1, 10, 4000)]
     texts += [a + chr(c) + b for c in range(1, 0x260) for a, b in (("", ""), ("a", ""), ("", "b."), ("", "."))]
+    texts += ["<|startoftext|><|endoftext|>", "A<|ENDOFTEXT|>b", "a<|endoftext|", "x <| y |> z", "don't<|endoftext|>'s  \n<|startoftext|>"]
+    other = packing.Ids(packing.vocabulary())
+    other.by_word = False
     for t in texts:
-        assert np.frombuffer(ids.of(t), "<u4")[:-1].tolist() == ids.tokenizer.encode(t, add_special_tokens=False).ids, t
+        want = judge.encode(t, add_special_tokens=False).ids
+        assert np.frombuffer(ids.of(t), "<u4")[:-1].tolist() == want == np.frombuffer(other.of(t), "<u4")[:-1].tolist(), t
 
 
 def test_fullest_is_the_best_subset_sum():
