@@ -1,10 +1,12 @@
 """Approximate nearest neighbours by few stable projections and a kd-tree.
 
 Vectors are projected to `DIMENSIONS` coordinates by Gaussian (2-stable) directions: the squared projected distance of
-two vectors over their squared distance follows a chi-square law. Each block of points is indexed by a kd-tree over its
-projections. A query walks the tree's leaves by projected distance and verifies their points on the original vectors;
-it stops when a point nearer than its k-th best would, with probability `SURE`, have shown up at a smaller projected
-distance: the chi-square test. The blocks' answers are merged; every row is indexed.
+two vectors over their squared distance follows a chi-square law. A global kd-tree, whose split values come from the
+projections of at most `SAMPLE` rows, deals all rows into cells of about `POINTS`; crowded cells are cut by hash. A query
+first meets its own cell and then, with the k-th distance found there, only the cells whose box may still hold a
+neighbour by the chi-square test. In a cell a kd-tree gives points in the order of their own projected distance; they are
+verified on the original vectors until a point nearer than the k-th best would, with probability `SURE`, have shown up at
+a smaller projected distance. Every row is indexed.
 
 Defined cases: vectors null, empty, zero, or with null or non-finite components take no part; vectors of different
 lengths are no candidates of each other; a query without candidates has no rows; ties go to the smaller vec_id; equal
@@ -19,15 +21,24 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rillwave.llm.common import stored, table
-from rillwave.llm.vectors import in_blocks, split, usable
+from rillwave.llm.vectors import POINTS, QUERIES, usable
 
-DIMENSIONS = 8
-SURE = 0.97
+DIMENSIONS = 16
+SURE = 0.95
 LEAF = 64
+#: Points verified between two looks at the bound.
+CHUNK = 16
+#: Rows whose projections give the split values of the cells, and the fewest of them in a cell.
+SAMPLE, FEWEST = 20_000, 8
+
+
+def directions(dim: int) -> np.ndarray:
+    return np.random.default_rng(dim).standard_normal((dim, DIMENSIONS))
 
 
 def chi_square_limit(p: float, dimensions: int) -> float:
@@ -64,52 +75,202 @@ class Tree:
         d = np.maximum(np.maximum(self.low[node] - q, q - self.high[node]), 0.0)
         return float(d @ d)
 
-    def leaves(self, q: np.ndarray):
-        """(squared distance of the box, rows) of the leaves, nearest first."""
-        heap = [(self._gap(0, q), 0)]
+    def walk(self, q: np.ndarray):
+        """Blocks of (squared projected distances, rows): all points in ascending order."""
+        heap, near, rows = [(self._gap(0, q), 0)], np.zeros(0), np.zeros(0, np.int64)
         while heap:
-            gap, node = heapq.heappop(heap)
-            if not self.children[node]:
-                yield gap, self.rows[node]
+            _, node = heapq.heappop(heap)
             for child in self.children[node]:
                 heapq.heappush(heap, (self._gap(child, q), child))
+            if not self.children[node]:
+                d = self.points[self.rows[node]] - q
+                near, rows = np.append(near, np.einsum("ij,ij->i", d, d)), np.append(rows, self.rows[node])
+            done = near <= heap[0][0] if heap else np.ones(len(near), bool)     # no leaf to come is nearer
+            if done.any():
+                order = np.flatnonzero(done)[np.argsort(near[done], kind="stable")]
+                yield near[order], rows[order]
+                near, rows = near[~done], rows[~done]
+
+
+class Cells:
+    """Split values of a kd-tree over all rows' projections."""
+
+    def __init__(self, sample: np.ndarray, wanted: int):
+        self.nodes: list[tuple] = []                  # (side, value, low child, high child) or (cell,)
+        self.cells = 0
+        self._grow(sample, wanted)
+
+    def _grow(self, sample: np.ndarray, wanted: int) -> int:
+        at = len(self.nodes)
+        self.nodes.append(())
+        if wanted > 1 and len(sample) >= 2 * FEWEST:
+            side = int(np.argmax(sample.max(0) - sample.min(0)))
+            value = float(np.median(sample[:, side]))
+            low = sample[:, side] <= value
+            if not low.all():
+                self.nodes[at] = (side, value, self._grow(sample[low], wanted // 2), self._grow(sample[~low], wanted - wanted // 2))
+                return at
+        self.nodes[at] = (self.cells,)
+        self.cells += 1
+        return at
+
+    def of(self, points: np.ndarray) -> np.ndarray:
+        out, todo = np.zeros(len(points), np.int64), [(0, np.arange(len(points)))]
+        while todo:
+            at, rows = todo.pop()
+            if len(self.nodes[at]) == 1:
+                out[rows] = self.nodes[at][0]
+                continue
+            side, value, low, high = self.nodes[at]
+            below = points[rows, side] <= value
+            todo += [(low, rows[below]), (high, rows[~below])]
+        return out
+
+    def near(self, q: np.ndarray, reach: float) -> list[int]:
+        """Cells whose box lies within the squared projected distance `reach`."""
+        out, todo = [], [(0, 0.0, np.zeros(DIMENSIONS))]
+        while todo:
+            at, gap, sides = todo.pop()
+            if len(self.nodes[at]) == 1:
+                out.append(self.nodes[at][0])
+                continue
+            side, value, *children = self.nodes[at]
+            off = q[side] - value
+            for child, beyond in zip(children, (max(off, 0.0), max(-off, 0.0))):
+                further = gap - sides[side] + max(sides[side], beyond * beyond)
+                if further <= reach:
+                    new = sides.copy()
+                    new[side] = max(sides[side], beyond * beyond)
+                    todo.append((child, further, new))
+        return out
 
 
-def nearest(points: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, k: int, sure: float = SURE):
-    """(query, id, distance) of the k nearest points found for each query, ids ascending in `points`."""
-    directions = np.random.default_rng(points.shape[1]).standard_normal((points.shape[1], DIMENSIONS))
-    tree, limit = Tree(points @ directions), chi_square_limit(sure, DIMENSIONS)
-    for q, qid, flat in zip(queries, query_ids, queries @ directions):
-        best_d, best_i, kth = np.zeros(0), np.zeros(0, np.int64), math.inf
-        for gap, rows in tree.leaves(flat):
-            if gap > limit * kth:
+def nearest(points, flat, ids, queries, query_flat, query_ids, bounds, k: int, sure: float = SURE):
+    """For each query: ids and squared distances of the k nearest points found within its bound, and how many were verified."""
+    tree, limit = Tree(flat), chi_square_limit(sure, DIMENSIONS)
+    for q, qf, qid, bound in zip(queries, query_flat, query_ids, bounds):
+        best_d, best_i, kth, seen = np.zeros(0), np.zeros(0, np.int64), bound, 0
+        for near, rows in tree.walk(qf):
+            for at in range(0, len(rows), CHUNK):
+                some = rows[at:at + CHUNK][near[at:at + CHUNK] <= limit * kth]
+                seen += len(some)
+                own = some[ids[some] != qid]
+                d = points[own] - q
+                d = np.append(best_d, np.einsum("ij,ij->i", d, d))
+                i = np.append(best_i, ids[own])
+                order = np.lexsort((i, d))[:k]
+                best_d, best_i = d[order], i[order]
+                if len(best_d) == k:
+                    kth = min(bound, best_d[-1])
+                if len(some) < len(rows[at:at + CHUNK]):
+                    break
+            if len(rows) and near[-1] > limit * kth:
                 break
-            rows = rows[ids[rows] != qid]
-            d = points[rows] - q
-            d = np.concatenate([best_d, np.einsum("ij,ij->i", d, d)])
-            i = np.concatenate([best_i, ids[rows]])
-            order = np.lexsort((i, d))[:k]
-            best_d, best_i = d[order], i[order]
-            if len(best_d) == k:
-                kth = best_d[-1]
-        yield from zip([qid] * len(best_d), best_i, np.sqrt(best_d))
+        yield best_i, best_d, seen
+
+
+def _by_length(batch: pa.RecordBatch):
+    """(length, places, matrix) of the batch's vectors of each length."""
+    v = batch.column(batch.schema.get_field_index("v"))
+    lengths = pc.list_value_length(v).to_numpy(zero_copy_only=False)
+    for dim in np.unique(lengths):
+        at = np.flatnonzero(lengths == dim)
+        yield int(dim), at, v.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(len(at), -1)
+
+
+def _with_flat(batches):
+    for batch in batches:
+        flat = np.zeros((batch.num_rows, DIMENSIONS))
+        for dim, at, m in _by_length(batch):
+            flat[at] = m @ directions(dim)
+        ends = pa.array(np.arange(0, flat.size + 1, DIMENSIONS), pa.int32())
+        yield batch.append_column("flat", pa.ListArray.from_arrays(ends, pa.array(flat.ravel())))
+
+
+def _matrix(column) -> np.ndarray:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def placed(points: DataFrame) -> tuple[DataFrame, dict[int, Cells]]:
+    """Points with projections and cells, and the cells of each length of vectors (a length outside the sample is one cell)."""
+    flat = stored(points.mapInArrow(_with_flat, "id long, v array<double>, row long, flat array<double>"))
+    n = flat.count()
+    sample = flat.orderBy(F.xxhash64("row")).limit(SAMPLE).select(F.size("v").alias("dim"), "flat").toPandas()
+    cells = {}
+    for dim, rows in sample.groupby("dim"):
+        cells[int(dim)] = Cells(np.stack(rows["flat"].to_list()), -(-n * len(rows) // (len(sample) * POINTS)))
+
+    def place(batches):
+        for batch in batches:
+            cell, flats = np.zeros(batch.num_rows, np.int64), _matrix(batch.column(batch.schema.get_field_index("flat")))
+            for dim, at, _ in _by_length(batch):
+                if dim in cells:
+                    cell[at] = cells[dim].of(flats[at])
+            yield batch.append_column("cell", pa.array(cell))
+
+    with_cell = flat.mapInArrow(place, "id long, v array<double>, row long, flat array<double>, cell long")
+    return stored(with_cell.withColumn("dim", F.size("v"))), cells
+
+
+def met(points: DataFrame, targets: DataFrame, k: int, sure: float) -> DataFrame:
+    """The k nearest found of each target (a query row, a cell it visits and its bound) in that cell, crowded ones in blocks."""
+    blocks = lambda df, size, name: df.groupBy("dim", "cell").agg(F.ceil(F.count("*") / size).cast("int").alias(name))
+    sides = stored(blocks(points, POINTS, "many").join(blocks(targets, QUERIES, "few"), ["dim", "cell"]))
+    one = lambda n: F.pmod(F.xxhash64("row"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    a = points.join(sides, ["dim", "cell"]).select("dim", "cell", one("many").alias("pb"), every("few").alias("qb"), F.lit(0).alias("role"),
+                                                   "id", "v", "flat", "row", F.lit(None).cast("double").alias("bound"))
+    b = targets.join(sides, ["dim", "cell"]).select("dim", "cell", every("many").alias("pb"), one("few").alias("qb"), F.lit(1).alias("role"),
+                                                    "id", "v", "flat", "row", "bound")
+
+    def block(rows: pa.Table) -> pa.Table:
+        role = rows["role"].to_numpy()
+        out = {"query_row": [], "query_id": [], "vec_id": [], "square": [], "verified": []}
+        if 0 < role.sum() < len(role):
+            ids, v, flat, row = rows["id"].to_numpy(), _matrix(rows["v"]), _matrix(rows["flat"]), rows["row"].to_numpy()
+            p, q = np.flatnonzero(role == 0), np.flatnonzero(role == 1)
+            p = p[np.argsort(ids[p], kind="stable")]
+            bounds = rows["bound"].fill_null(0.0).to_numpy()[q]
+            for at, (i, d, seen) in zip(q, nearest(v[p], flat[p], ids[p], v[q], flat[q], ids[q], bounds, k, sure)):
+                for name, values in zip(out, (np.full(len(i), row[at]), np.full(len(i), ids[at]), i, d, np.full(len(i), seen))):
+                    out[name].append(values)
+        joined = {c: np.concatenate(x) if x else np.zeros(0) for c, x in out.items()}
+        return pa.table({c: pa.array(x, pa.float64() if c == "square" else pa.int64()) for c, x in joined.items()})
+
+    return a.union(b).groupBy("dim", "cell", "pb", "qb").applyInArrow(
+        block, "query_row long, query_id long, vec_id long, square double, verified long")
 
 
 def search(vectors: DataFrame, is_query, k: int = 10, sure: float = SURE) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each query, by Euclidean distance."""
-    points = stored(usable(vectors, zero=False, distinct=True))
+    points, cells = placed(stored(usable(vectors, zero=False, distinct=True)))
     queries = points.where(is_query(F.col("id")))
+    first = stored(met(points, queries.withColumn("bound", F.lit(float("inf"))), k, sure))
+    place = F.row_number().over(Window.partitionBy("query_row").orderBy("square", "vec_id"))
+    bound = (first.withColumn("place", place).where(F.col("place") == k)
+             .select(F.col("query_row").alias("row"), F.col("square").alias("bound")))
+    bounded = queries.join(bound, "row", "left").withColumn("bound", F.coalesce("bound", F.lit(float("inf"))))
+    limit = chi_square_limit(sure, DIMENSIONS)
 
-    def block(rows: pa.Table) -> pa.Table:
-        pid, p, qid, q = split(rows, [], np.float64)
-        out = list(nearest(p, pid, q, qid, k, sure)) if len(pid) and len(qid) else []
-        a, b, c = zip(*out) if out else ((), (), ())
-        return pa.table({"query_id": pa.array(a, pa.int64()), "vec_id": pa.array(b, pa.int64()), "score": pa.array(c, pa.float64())})
+    def visits(batches):
+        for batch in batches:
+            col = {c: batch.column(i) for i, c in enumerate(batch.schema.names)}
+            dims, own, bounds = (col[c].to_numpy(zero_copy_only=False) for c in ("dim", "cell", "bound"))
+            flats, at, to = _matrix(col["flat"]), [], []
+            for i in range(batch.num_rows):
+                other = [c for c in cells[dims[i]].near(flats[i], limit * bounds[i]) if c != own[i]] if int(dims[i]) in cells else []
+                at += [i] * len(other)
+                to += other
+            out = batch.take(pa.array(at, pa.int64()))
+            yield out.set_column(out.schema.get_field_index("cell"), "cell", pa.array(to, pa.int64()))
 
-    found = in_blocks(points, queries, [], points.count(), queries.count()).groupBy("dim", "pb", "qb").applyInArrow(
-        block, "query_id long, vec_id long, score double")
+    names = ["id", "v", "row", "flat", "cell", "dim", "bound"]
+    further = stored(bounded.select(*names).mapInArrow(visits, "id long, v array<double>, row long, flat array<double>, cell long, dim int, bound double"))
+    found = first.union(met(points, further, k, sure))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return (found.select("query_id", "vec_id", F.sqrt("square").alias("score")).withColumn("rank", rank).where(F.col("rank") <= k)
+            .select("query_id", "rank", "vec_id", "score"))
 
 
 def op4_nearest_neighbours(spark, sf_dir):

@@ -227,6 +227,36 @@ def test_nearest_neighbours_reach_recall(spark):
     assert ann.search(vectors(spark, []), lambda i: i % 100 == 0).collect() == []
 
 
+def test_cells_and_stop_leave_most_points_unread(spark, monkeypatch):
+    monkeypatch.setattr(ann, "POINTS", 100)
+    monkeypatch.setattr(ann, "QUERIES", 3)
+    rng = np.random.default_rng(4)
+    data = np.repeat(rng.standard_normal((30, 24)) * 4, 50, axis=0) + rng.standard_normal((1500, 24)) * 0.3
+    data = np.concatenate([data, np.ones((320, 24))])                      # more equal rows than a cell takes
+    asked = list(range(0, len(data), 20))
+    got = ann.search(vectors(spark, list(enumerate(data.tolist()))), lambda i: i % 20 == 0).collect()
+    ids, hit = np.arange(len(data)), 0
+    for q in asked:
+        d = np.sqrt(((data - data[q]) ** 2).sum(1))
+        want = [i for i in np.lexsort((ids, d)) if i != q][:10]
+        mine = [r.vec_id for r in sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)]
+        hit += len(set(want) & set(mine))
+        assert len(mine) == 10 and (q < 1500 or mine == want)
+    assert hit / (10 * len(asked)) >= 0.9
+    flat, few = data @ ann.directions(24), [q for q in asked if q < 1500]
+    seen = [n for _, _, n in ann.nearest(data, flat, ids, data[few], flat[few], few, np.full(len(few), np.inf), 10)]
+    assert np.mean(seen) / len(data) < 0.1
+    points, cells = ann.placed(ann.usable(vectors(spark, list(enumerate(data.tolist()))), zero=False))
+    assert cells[24].cells > 4 and np.mean([len(cells[24].near(flat[q], 30.0)) for q in few]) < cells[24].cells / 2
+
+
+def test_walk_gives_points_in_projected_order():
+    points = np.random.default_rng(2).standard_normal((500, ann.DIMENSIONS))
+    got = [np.concatenate(x) for x in zip(*ann.Tree(points).walk(points[7] + 0.1))]
+    want = ((points - points[7] - 0.1) ** 2).sum(1)
+    assert got[0] == pytest.approx(np.sort(want)) and sorted(got[1]) == list(range(500)) and (np.diff(got[0]) >= 0).all()
+
+
 def exact(rows, k):
     grid = {i: [math.floor(1024 * x) for x in v] for i, v in rows}
     out = []
