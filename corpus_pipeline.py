@@ -14,7 +14,7 @@ from rillwave.session import ship
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents in a recognised language; those without letters and those between two languages go."""
+    """Keep documents in a recognised language, between two of them as well; those without letters go."""
     ship(spark)
     return language.accepted(docs)
 

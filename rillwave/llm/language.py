@@ -35,6 +35,8 @@ PSEUDO = 0.5
 AMBIGUOUS = 0.02
 #: Bytes of text that are turned into n-grams at once.
 CHUNK = 1 << 20
+#: Sums of a language are added up in blocks of this many slots, each by a task of its own.
+BLOCK = 1 << 10
 
 _FOLD = np.full(256, 32, np.uint8)
 _FOLD[65:91] = np.arange(97, 123)
@@ -120,10 +122,17 @@ def held_out():
 
 
 def _summed(docs: DataFrame, width: int, of) -> dict[str, np.ndarray]:
-    """Per language, the sum over all rows of `of(texts)` (rows x width): one row per task and language is shuffled."""
-    def packed(total: dict[str, np.ndarray]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_pydict({"lang": list(total), "part": [v.astype("<f8").tobytes() for v in total.values()]},
-                                          schema=pa.schema([("lang", pa.string()), ("part", pa.binary())]))
+    """Per language, the sum over all rows of `of(texts)` (rows x width).
+
+    A task sends one row per language and block of slots that is not zero; blocks are added up apart from each other, so a
+    language that holds most rows is no single task's work.
+    """
+    schema = pa.schema([("lang", pa.string()), ("block", pa.int32()), ("part", pa.binary())])
+
+    def packed(total: dict[tuple[str, int], np.ndarray]) -> pa.RecordBatch:
+        keys = list(total)
+        return pa.RecordBatch.from_pydict({"lang": [k for k, _ in keys], "block": [b for _, b in keys],
+                                           "part": [total[k].astype("<f8").tobytes() for k in keys]}, schema=schema)
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
@@ -135,17 +144,22 @@ def _summed(docs: DataFrame, width: int, of) -> dict[str, np.ndarray]:
                     values, langs = of([t for t, _ in rows]), np.array([k for _, k in rows], object)
                     for lang in dict.fromkeys(langs):
                         total[lang] = total.get(lang, 0) + values[langs == lang].sum(0, dtype=np.float64)
-        yield packed(total)
+        parts = {(k, at // BLOCK): v[at:at + BLOCK] for k, v in total.items() for at in range(0, width, BLOCK)}
+        yield packed({k: v for k, v in parts.items() if v.any()})
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[str, np.ndarray] = {}
+        total: dict[tuple[str, int], np.ndarray] = {}
         for batch in batches:
-            for lang, part in zip(batch["lang"].to_pylist(), batch["part"].to_pylist()):
-                total[lang] = total.get(lang, 0) + np.frombuffer(part, "<f8")
+            for lang, block, part in zip(*(batch[c].to_pylist() for c in schema.names)):
+                total[lang, block] = total.get((lang, block), 0) + np.frombuffer(part, "<f8")
         yield packed(total)
 
-    rows = docs.mapInArrow(sums, "lang string, part binary").repartition("lang").mapInArrow(add, "lang string, part binary")
-    return {r["lang"]: np.frombuffer(bytes(r["part"]), "<f8") for r in rows.collect()}   # one row per language
+    shape = "lang string, block int, part binary"
+    out: dict[str, np.ndarray] = {}
+    for r in docs.mapInArrow(sums, shape).repartition("lang", "block").mapInArrow(add, shape).collect():   # languages x blocks
+        part = np.frombuffer(bytes(r["part"]), "<f8")
+        out.setdefault(r["lang"], np.zeros(width))[r["block"] * BLOCK:r["block"] * BLOCK + len(part)] = part
+    return out
 
 
 def fit(docs: DataFrame) -> Model:
@@ -190,9 +204,9 @@ def identified(docs: DataFrame) -> DataFrame:
 
 
 def accepted(docs: DataFrame) -> DataFrame:
-    """Documents written in a known language; `und` and ambiguous ones go."""
+    """Documents in a known language; `und` ones go. A text between two languages is still one of a language and stays."""
     rows = with_language(docs, fit(docs))
-    return rows.where((F.col("__language.lang_pred") != "und") & ~F.col("__language.ambiguous")).drop("__language")
+    return rows.where(F.col("__language.lang_pred") != "und").drop("__language")
 
 
 def op1_language_id(spark, sf_dir):

@@ -62,6 +62,71 @@ def test_language_filter_keeps_columns(spark):
     assert kept.columns == frame.columns and kept.count() == len(language_rows()) - 3
 
 
+def ngram_slots(text):
+    b = re.sub("[^a-z\x80-\xff]", " ", text.lower().encode().decode("latin-1")).encode("latin-1")
+    b = b" " + re.sub(b" +", b" ", b) + b" "
+    for i in range(len(b)):
+        h = 0
+        for n in range(1, min(4, len(b) - i) + 1):
+            h = (h * 0x01000193 ^ (b[i + n - 1] + 256 * n)) & 0xFFFFFFFF
+            yield (h * 0x9E3779B1 & 0xFFFFFFFF) >> 18
+
+
+def decoded(rows):
+    """Languages and scores by plain loops over n-grams, bits and codewords."""
+    train = [(Counter(ngram_slots(t)), k) for i, t, k in rows if k and any(c.isalpha() for c in t or "") and zlib.crc32(str(i).encode()) % 4 != 2]
+    langs = sorted({k for _, k in train})
+    code = language.codewords(len(langs))
+    bits = range(code.shape[1])
+    count = {k: sum((c for c, of in train if of == k), Counter()) for k in langs}
+    floor = 0.5 / sum(sum(c.values()) for c in count.values())
+    share = {k: {s: v / sum(c.values()) for s, v in c.items()} for k, c in count.items()}
+
+    def slope(slot, b):
+        mean = {}
+        for sign in (1, -1):
+            with_bit = [share[k].get(slot, 0) for i, k in enumerate(langs) if code[i, b] == sign]
+            mean[sign] = (sum(with_bit) / len(with_bit) if with_bit else 0) + floor
+        return math.log(mean[1]) - math.log(mean[-1])
+
+    outputs = lambda grams: [math.tanh(4 * sum(v * slope(s, b) for s, v in grams.items()) / sum(grams.values())) for b in bits]
+    right = {k: [0] * len(bits) for k in langs}
+    for grams, k in train:
+        for b, o in enumerate(outputs(grams)):
+            right[k][b] += (o > 0) == (code[langs.index(k), b] > 0)
+    weight = {k: [max(r / sum(of == k for _, of in train), 1e-6) for r in right[k]] for k in langs}
+    out = {}
+    for i, t, _ in rows:
+        if not any(c.isalpha() for c in t or ""):
+            out[i] = ("und", 0.0)
+            continue
+        o = outputs(Counter(ngram_slots(t)))
+        loss = {k: sum(w * (1 - x * c) / 2 for w, x, c in zip(weight[k], o, code[n])) / sum(weight[k]) for n, k in enumerate(langs)}
+        best = min(langs, key=lambda k: (loss[k], k))
+        out[i] = (best, 1 - loss[best])
+    return out
+
+
+def test_language_equals_decoding_by_hand(spark, monkeypatch):
+    words = ["ala emi oui", "krz brt skt", "été naïve, l'eau!", "ÜBER straße  1"]
+    rows = [(i, " ".join(RNG.choice(words[i % 4].split(), 6)), f"l{i % 4}") for i in range(24)]
+    rows += [(50, "ala krz", None), (51, None, "l0"), (52, "7 8", "l1"), (53, "naïve brt", "l9")]
+    want = decoded(rows)
+    for block in (1 << 10, 100):
+        monkeypatch.setattr(language, "BLOCK", block)
+        got = {r.doc_id: r for r in language.identified(docs(spark, rows)).collect()}
+        assert {i: r.lang_pred for i, r in got.items()} == {i: k for i, (k, _) in want.items()}
+        assert all(abs(got[i].score - s) < 1e-4 for i, (_, s) in want.items())
+
+
+def test_language_filter_keeps_texts_between_languages(spark):
+    rows = language_rows()[:120] + [(500, "", None)] + [(600 + i, "ala krz emi brt oui skt ana dvk", None) for i in range(3)]
+    frame = docs(spark, rows)
+    got = {r.doc_id: r for r in language.identified(frame).collect()}
+    kept = {r.doc_id for r in language.accepted(frame).collect()}
+    assert kept == {i for i, r in got.items() if r.lang_pred != "und"} == {r[0] for r in rows} - {500}
+
+
 def test_codewords_differ():
     code = language.codewords(6)
     assert min((code[i] != code[j]).sum() for i in range(6) for j in range(i)) >= 4
