@@ -600,6 +600,7 @@ SELECT session_id, t, alert_level AS level, '[' || format('{{:02d}}:{{:02d}}', C
 
 
 ORACLES["alert_messages"] = messages()
+ORACLES["alert_outbox"] = f"SELECT session_id, t, level, text, count(*) AS deliveries FROM ({messages()}) GROUP BY ALL"
 
 
 def live_detector() -> str:

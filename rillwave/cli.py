@@ -46,6 +46,7 @@ def _parser() -> argparse.ArgumentParser:
     live.add_argument("--frontal", nargs=2, default=["AF7", "AF8"])
     live.add_argument("--events", type=float, nargs="*", default=[22.0, 42.0])
     live.add_argument("--notify", nargs="+", default=["console"])
+    live.add_argument("--outbox", help="folder that remembers what was delivered, so that a second run sends only what is new")
     return p
 
 
@@ -108,7 +109,7 @@ def _monitor(spark, a) -> dict:
     from .sources.simulate import Script, simulated_blocks
     from .sources.wearable import read_wearable_csv
     from .streaming.live import live_windows
-    from .streaming.notify import build, deliver
+    from .streaming.notify import build, deliver, outbox
     from .streaming.sessions import run_sessions
 
     cfg = LiveConfig(fs=a.fs, channels=tuple(a.channels), frontal_pair=tuple(a.frontal), baseline_sec=a.baseline_sec).with_profile(a.profile)
@@ -127,7 +128,8 @@ def _monitor(spark, a) -> dict:
     if a.bvc_file:
         windows = with_clinical(windows, read_checklist(spark, a.bvc_file, "session"), cfg.bvc_valid_sec)
     steps = run_sessions(windows, cfg).cache()
-    deliver(build(a.notify, a.webhook_url))(steps, 0)
+    notifiers = build(a.notify, a.webhook_url)
+    (outbox(notifiers, a.outbox) if a.outbox else deliver(notifiers))(steps, 0)
     alerts = steps.where("alert is not null").select("session_id", "alert.t", "alert.level")
     if not a.events:
         return {"alerts": alerts.count()}

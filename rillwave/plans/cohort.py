@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import hashlib
 import json
+import threading
+import uuid
+from contextlib import contextmanager
 from functools import reduce
 
+from pyspark.accumulators import AccumulatorParam
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.scalars import literal_map
@@ -13,13 +17,68 @@ from ..model import GROUP_NAMES, GuardError
 from ..operators import guards, montage
 from ..session import cut_lineage
 from ..sources.cohort import read_manifest
-from ..sources.recordings import decode, decode_plan, filesystem
+from ..sources.recordings import decode, decode_plan
+from . import commit
 from .analyze import analyze
 
+#: Tables of a cohort folder; blocks stay only where they are asked for.
+TABLES = ("blocks", "features", "failures")
 
-def _exists(path: str) -> bool:
-    fs, p = filesystem(path)
-    return fs.get_file_info(p + "/_SUCCESS").is_file
+
+class _Failed(AccumulatorParam):
+    """Failed recordings with their errors; never more than the limit needs."""
+
+    def __init__(self, most: int):
+        self.most = most
+
+    def zero(self, value: dict) -> dict:
+        return {}
+
+    def addInPlace(self, a: dict, b: dict) -> dict:
+        for k, v in b.items():
+            if len(a) > self.most:
+                break
+            a.setdefault(k, v)
+        return a
+
+
+@contextmanager
+def failure_budget(spark: SparkSession, most: int | None, poll_s: float = 0.1):
+    """Yields ``note(recording, error)`` for tasks; as soon as more than ``most`` recordings failed, the jobs inside stop.
+
+    Counts arrive as tasks end, and a recording counts once however often its task is tried.
+    """
+    if most is None:
+        yield None
+        return
+    sc = spark.sparkContext
+    seen, group, over, ended = sc.accumulator({}, _Failed(most)), f"failure-budget-{uuid.uuid4().hex}", threading.Event(), threading.Event()
+
+    def watch() -> None:
+        while not ended.wait(poll_s):
+            if len(seen.value) > most:
+                over.set()
+                sc.cancelJobGroup(group)
+
+    sc.setJobGroup(group, "stops at too many failures", interruptOnCancel=True)
+    watcher = threading.Thread(target=watch, daemon=True)
+    watcher.start()
+    try:
+        yield lambda recording, error: seen.add({recording: error})
+    except Exception:
+        if not over.is_set():
+            raise
+        raise _aborted(len(seen.value), next(iter(seen.value.values()))) from None
+    finally:
+        ended.set()
+        watcher.join()
+        sc._jsc.clearJobGroup()
+    if len(seen.value) > most:
+        raise _aborted(len(seen.value), next(iter(seen.value.values())))
+
+
+def _aborted(n: int, error: str) -> GuardError:
+    return GuardError(f"aborted after {n} failures; one of them: {error}")
 
 
 def run_key(epoch_s: float) -> str:
@@ -29,10 +88,10 @@ def run_key(epoch_s: float) -> str:
 
 def finished(spark: SparkSession, out_dir: str, key: str) -> DataFrame:
     """Subjects whose features are committed under this key."""
-    path = f"{out_dir}/features"
-    if not _exists(path):
+    rows = commit.read(spark, out_dir, "features")
+    if rows is None:
         return spark.createDataFrame([], "subject_id string")
-    return spark.read.parquet(path).where(F.col("run_key") == key).select("subject_id").distinct()
+    return rows.where(F.col("run_key") == key).select("subject_id").distinct()
 
 
 def _rederived(blocks: DataFrame, jobs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -55,22 +114,30 @@ def convert_cohort(spark: SparkSession, manifest: str | DataFrame, out_dir: str,
     """Convert and analyse every manifest row that is not finished yet.
 
     All recordings go through the same DataFrame stages at once; a file that cannot be read or
-    analysed becomes a row of ``failures``. Features are committed atomically per run.
+    analysed becomes a row of ``failures``. A run is committed by one log entry (`commit`); what a broken run
+    left is removed by the next. With ``max_failures`` reading stops, without a commit, as soon as more files than
+    that cannot be read; failures that only the analysis meets are counted at the end, after the commit.
     """
     table = read_manifest(spark, manifest) if isinstance(manifest, str) else manifest
     guards.enforce(guards.manifest_report(table))
-    key = run_key(epoch_s)
+    key, attempt = run_key(epoch_s), commit.begin(out_dir, TABLES)
+    at = lambda name: f"{out_dir}/{name}/attempt={attempt}"
     base = root or (manifest.rsplit("/", 1)[0] if isinstance(manifest, str) else "")
     jobs = (table.join(finished(spark, out_dir, key), "subject_id", "left_anti")
             .withColumn("recording_id", F.col("subject_id"))
             .withColumn("path", F.when(F.col("file").rlike("^(/|[a-z0-9]+:)"), F.col("file")).otherwise(F.concat(F.lit(base + "/"), "file"))))
     jobs = cut_lineage(jobs)
     plan = cut_lineage(decode_plan(jobs))
+    if max_failures is not None:
+        bad = plan.where("error is not null").select("recording_id", "error").limit(max_failures + 1).collect()
+        if len(bad) > max_failures:                       # headers are enough to stop: no signal is read
+            raise _aborted(len(bad), bad[0]["error"])
     rates = [r["fs"] for r in plan.where("error is null and samples >= 0").select("fs").distinct().collect()]   # device types
-    raw = decode(plan)
     # blocks are kept as a table: analysis reads them several times and executors may be lost
-    raw.write.mode("overwrite").parquet(f"{out_dir}/blocks")
-    stored = spark.read.schema(raw.schema).parquet(f"{out_dir}/blocks")
+    with failure_budget(spark, max_failures) as note:
+        raw = decode(plan, note)
+        raw.write.mode("overwrite").parquet(at("blocks"))
+    stored = spark.read.schema(raw.schema).parquet(at("blocks"))
     failures = stored.where("error is not null").groupBy("recording_id").agg(F.min("error").alias("error"))
     usable = stored.where("error is null").join(failures.select("recording_id"), "recording_id", "left_anti")
     rates += [r["fs"] for r in usable.where("fs is not null").select("fs").distinct().collect() if r["fs"] not in rates]
@@ -90,28 +157,28 @@ def convert_cohort(spark: SparkSession, manifest: str | DataFrame, out_dir: str,
                          "site", F.when(F.col("context") == "", "awake_observational_research").otherwise(F.col("context")).alias("recording_context"),
                          F.when(F.col("license") == "", "unspecified").otherwise(F.col("license")).alias("license"),
                          F.when(F.col("source") == "", F.col("path")).otherwise(F.col("source")).alias("source"))
+    done = finished(spark, out_dir, key)
     if results:
         pooled = reduce(DataFrame.unionByName, results)
         (labels.join(pooled, "recording_id").drop("recording_id").withColumn("run_key", F.lit(key))
-         .write.mode("append").parquet(f"{out_dir}/features"))
-    done = finished(spark, out_dir, key)
+         .write.mode("overwrite").parquet(at("features")))
+        done = done.union(spark.read.parquet(at("features")).select("subject_id").distinct())
     silent = (jobs.select("recording_id").join(failures, "recording_id", "left_anti")
               .join(done.withColumnRenamed("subject_id", "recording_id"), "recording_id", "left_anti")
               .withColumn("error", F.lit("GuardError: recording is shorter than one complete epoch")))
     failed = failures.unionByName(silent).withColumnRenamed("recording_id", "subject_id")
-    failed.write.mode("overwrite").parquet(f"{out_dir}/failures")
-    failed = spark.read.parquet(f"{out_dir}/failures")
+    failed.write.mode("overwrite").parquet(at("failures"))
+    commit.commit(out_dir, attempt, ["features"] * bool(results) + ["failures"] + ["blocks"] * keep_raw)
+    commit.recover(out_dir, TABLES)                       # blocks nobody asked for, failures of earlier runs
+    failed = spark.read.parquet(at("failures"))
     n_failed = failed.count()
     if max_failures is not None and n_failed > max_failures:
-        raise GuardError(f"aborted after {n_failed} failures; one of them: {failed.first()['error']}")
+        raise _aborted(n_failed, failed.first()["error"])
     total = table.count()
     converted = table.join(done, "subject_id", "left_semi")
     groups = {GROUP_NAMES[r["group"]]: r["n"] for r in converted.groupBy("group").agg(F.count("*").alias("n")).collect()}
     if not groups:
         raise GuardError("no recording converted successfully; see failures")
-    if not keep_raw:
-        fs_, p = filesystem(f"{out_dir}/blocks")
-        fs_.delete_dir(p)
     return {"subjects_per_group": groups, "converted": sum(groups.values()), "failed": n_failed, "total": total}
 
 

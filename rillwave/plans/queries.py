@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import scalars as S
@@ -9,9 +11,9 @@ from ..functions.kernels import SPECTRAL_COLUMNS
 from ..model import BVC_ITEMS, LIVE_FEATURES, LiveConfig, QualityPolicy
 from ..operators import (asof, clinical, composite, coupling, epochs as E, evaluate, guards, labelled, learn, montage,
                          personal, quality, recurrence, spectral)
-from ..session import cut_lineage
+from ..session import cut_lineage, shared_folder
 from ..sources import tables as G
-from ..streaming import eventtime, live, sessions
+from ..streaming import eventtime, live, notify, sessions
 from . import analyze as offline
 
 FS, N = G.FS, 512
@@ -405,6 +407,17 @@ def alert_messages(spark, d):
                     S.alert_text("t", "level", "index", "slope_per_min", "eta_min", "message").alias("text"))
 
 
+def alert_outbox(spark, d):
+    """Alerts through the outbox into a folder of messages, with every batch replayed: how often each one arrived."""
+    path = f"{shared_folder(spark)}/outbox-{uuid.uuid4().hex}"
+    send = notify.outbox([notify.Spool(f"{path}/spool")], path)
+    steps = _steps(spark, d, bvc=True)
+    for part in ("t < 5000", "t < 5000", "true", "true"):       # a part of the steps, all of them, each twice
+        send(steps.where(part), 0)
+    got = spark.read.schema("session_id string, t double, level string, text string").json(f"{path}/spool")
+    return got.groupBy("session_id", "t", "level", "text").agg(F.count("*").alias("deliveries"))
+
+
 def onset_order(spark, d):
     a = _steps(spark, d).where("alert.onset is not null").select("session_id", "t", "alert.onset.*")
     return (a.select("session_id", "t", "first_channel", "first_region", "first_kind",
@@ -559,6 +572,6 @@ QUERIES = [epoch_qc, history_qc, clock_validate, unit_convert, compact_clock, tr
            mean_psd, density_array, bicoherence_60s, analyze_recording, plv_alpha, bipolar_montage, bipolar_montage_mean_reference, depth_proxy,
            site_of, region_lookup, calibration_fit, interval_union, soi_rdi_score, robust_baseline, arousal_index, ewma, cusum,
            cusum_forget, ols_trend, quality_fraction, bvc_band, asof_bvc, detector_steps, detector_steps_bvc, stream_detector_steps, event_sessions, kalman_level,
-           alert_messages, onset_order, live_window_features, live_channel_features, live_steps, lead_times, false_alarms,
+           alert_messages, alert_outbox, onset_order, live_window_features, live_channel_features, live_steps, lead_times, false_alarms,
            evaluation, alert_leads, ols_trend_long, svm_held_out, majority_vote, confusion, classification_metrics, subject_metrics, manifest_guards, group_guards,
            state_guards, union_columns, set_checks, resume_pending, content_digest]

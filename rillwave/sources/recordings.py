@@ -257,8 +257,11 @@ def decode_plan(files: DataFrame, chunk_bytes: int = 8 << 20) -> DataFrame:
 _DECODED = "recording_id string, channel string, start_ix long, uv array<double>, fs double, position int, error string"
 
 
-def decode(plan: DataFrame) -> DataFrame:
-    """Record ranges -> blocks (recording_id, channel, start_ix, uv, fs, position, error); ranges spread over tasks."""
+def decode(plan: DataFrame, note: Callable[[str, str], None] | None = None) -> DataFrame:
+    """Record ranges -> blocks (recording_id, channel, start_ix, uv, fs, position, error); ranges spread over tasks.
+
+    ``note(recording, error)`` is called in the task for every range that cannot be decoded.
+    """
     decoders = dict(_DECODERS)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -285,7 +288,10 @@ def decode(plan: DataFrame) -> DataFrame:
                     yield pd.DataFrame({"recording_id": row.recording_id, "channel": names, "start_ix": start,
                                         "uv": list(x), "fs": fs, "position": range(len(names)), "error": None})
                 except Exception as exc:
-                    yield pd.DataFrame({**bad, "error": [f"{type(exc).__name__}: {exc}"]})
+                    error = f"{type(exc).__name__}: {exc}"
+                    if note:
+                        note(row.recording_id, error)
+                    yield pd.DataFrame({**bad, "error": [error]})
 
     parts = max(1, plan.sparkSession.sparkContext.defaultParallelism) * 4
     return plan.repartition(parts, "recording_id", "first").mapInPandas(run, _DECODED)

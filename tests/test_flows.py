@@ -13,6 +13,7 @@ from rillwave.model import GuardError, LiveConfig, PROFILES, QualityPolicy
 from rillwave.operators import evaluate, learn
 from rillwave.operators.clinical import with_clinical
 from rillwave.plans.analyze import analyze, analyze_recording
+from rillwave.plans import commit
 from rillwave.plans.cohort import convert_cohort, pooled_wide
 from rillwave.plans.report import write_report
 from rillwave.sources import cohort as C, monitor, recordings as R, simulate, wearable
@@ -162,6 +163,69 @@ def test_cohort_isolates_failures_and_resumes(spark, tmp_path):
         convert_cohort(spark, table, out, root=str(tmp_path), max_failures=0)
 
 
+def cohort(spark, root, good=3):
+    rng = np.random.default_rng(5)
+    for i in range(good):
+        write_edf(root / "HC" / f"h{i}.edf", {"Cz": rng.normal(0, 20, 128 * 9)}, seconds=9)
+    C.build_manifest(spark, str(root)).coalesce(1).write.option("header", True).csv(str(root / "manifest"))
+    return C.read_manifest(spark, str(root / "manifest"))
+
+
+@pytest.mark.parametrize("dies", ["commit", "recover"])
+def test_cohort_run_that_dies_half_way_leaves_nothing_double(spark, tmp_path, monkeypatch, dies):
+    table, out = cohort(spark, tmp_path), str(tmp_path / "out")
+    first = table.where("subject_id = 'HC_h0'")
+    assert convert_cohort(spark, first, out, root=str(tmp_path))["converted"] == 1
+    calls, real = [], getattr(commit, dies)
+
+    def broken(*args):
+        calls.append(args)
+        if len(calls) == (1 if dies == "commit" else 2):            # `recover` runs at the start as well
+            raise OSError("killed")
+        return real(*args)
+
+    monkeypatch.setattr(commit, dies, broken)
+    with pytest.raises(OSError):
+        convert_cohort(spark, table, out, root=str(tmp_path))
+    seen = {r["subject_id"] for r in commit.read(spark, out, "features").collect()}
+    assert seen == ({"HC_h0"} if dies == "commit" else {"HC_h0", "HC_h1", "HC_h2"})
+    monkeypatch.setattr(commit, dies, real)
+    r = convert_cohort(spark, table, out, root=str(tmp_path))
+    assert (r["converted"], r["failed"], r["total"]) == (3, 0, 3)
+    rows = spark.read.parquet(out + "/features")
+    assert rows.count() == rows.select("subject_id", "epoch_ix", "channel").distinct().count() == commit.read(spark, out, "features").count() == 6
+    assert rows.select("subject_id").distinct().count() == 3
+    assert commit.folders(out, "blocks") == [] and not list((tmp_path / "out" / "blocks").glob("attempt=*"))
+
+
+def test_cohort_stops_reading_at_too_many_failures(spark, tmp_path):
+    table, out = cohort(spark, tmp_path, good=1), str(tmp_path / "out")
+    (tmp_path / "opened").mkdir()
+    opened = str(tmp_path / "opened")
+
+    def slow(path, channels):
+        import time
+        from pathlib import Path
+
+        (Path(opened) / Path(path).stem).touch()
+        time.sleep(0.3)
+        raise ValueError("unreadable")
+
+    bad = table.crossJoin(spark.range(200)).withColumn("subject_id", F.concat(F.lit("b"), "id")).withColumn(
+        "file", F.concat("subject_id", F.lit(".slow"))).drop("id").select(table.columns)
+    R.register_decoder(".slow", slow)
+    try:
+        with pytest.raises(GuardError, match="aborted after 4 failures; one of them: .*unreadable"):
+            convert_cohort(spark, table.unionByName(bad), out, root=str(tmp_path), max_failures=3)
+    finally:
+        R._DECODERS.pop(".slow")
+    assert 4 <= len(list((tmp_path / "opened").iterdir())) < 150
+    assert commit.entries(out) == {}
+    assert convert_cohort(spark, table, out, root=str(tmp_path), max_failures=0)["converted"] == 1
+    with pytest.raises(GuardError, match="unsupported format"):          # headers alone are enough
+        convert_cohort(spark, table.unionByName(bad), str(tmp_path / "other"), root=str(tmp_path), max_failures=3)
+
+
 def states(spark):
     rows = [(f"s{s}", "x", str(i), "baseline" if i % 2 == 0 else "sensory_loading", "participant", "unit_test", i % 2 + s * 0.01)
             for s in range(3) for i in range(8)]
@@ -353,6 +417,45 @@ def test_windows_stream_names_late_rows(spark, demo, tmp_path):
     assert len(sent) == 5 and sent[0]["level"] == "EARLY_WARNING"
 
 
+def test_outbox_delivers_once_and_tries_again(spark, demo, tmp_path):
+    steps = sessions.run_sessions(demo, LiveConfig()).cache()
+    want = sorted(r[0] for r in steps.where("alert is not null").select("alert.t").collect())
+    box, down = str(tmp_path / "box"), tmp_path / "down"
+    down.touch()
+
+    class Sink:
+        def __init__(self, name, flag=None):
+            self.address, self.folder, self.flag = name, str(tmp_path / name), str(flag) if flag else None
+
+        def send(self, alert):
+            import os
+            import uuid
+
+            os.makedirs(self.folder, exist_ok=True)
+            if self.flag and os.path.exists(self.flag):
+                raise OSError("receiver is down")
+            open(f"{self.folder}/{alert['t']}_{uuid.uuid4().hex}", "w").close()
+
+    def got(name):
+        return sorted(float(f.name.split("_")[0]) for f in (tmp_path / name).iterdir())
+
+    batch = notify.outbox([Sink("up"), Sink("late", down), notify.Console()], box, tries=2, pause_s=0.01)
+    for part, number in (("t < 800", 0), ("t < 800", 0), ("true", 1)):    # the first batch is replayed
+        batch(steps.where(part), number)
+    assert got("up") == want and got("late") == [] and len(want) == 5
+    down.unlink()
+    batch(steps.where("false"), 2)                                       # an empty batch: what is due goes out
+    batch(steps, 3)
+    assert got("up") == got("late") == want
+    sent = notify.receipts(spark, box).where("sent").groupBy("session_id", "t", "level", "target").count().collect()
+    assert len(sent) == 15 and {r["count"] for r in sent} == {1}
+    assert notify.receipts(spark, box).where("not sent and tries = 2").count() > 0
+    # a task that dies after sending leaves its mark: without any receipt nothing is sent again
+    spark.createDataFrame([], notify._RECEIPT).write.mode("overwrite").parquet(box + "/receipts")
+    batch(steps, 4)
+    assert got("up") == got("late") == want
+
+
 def test_state_of_idle_sessions_expires(spark, demo, tmp_path):
     import time
 
