@@ -3,7 +3,9 @@
 Texts are cut into lines, lines into sentences. Every line, every sentence and every run of neighbouring sentences of
 at most `SPAN` terms (a header wrapped over lines) is a sparse TF-IDF vector, and so is the whole of a licence file; it is
 compared with the vectors of `TEMPLATES` through their shared terms. Document frequencies of the templates' terms are
-counted over all texts; a term outside the templates counts as the rarest. A file takes the licence of its best piece
+counted over all texts; a term outside the templates counts as the rarest. Near relatives (versions, added clauses) have
+templates of their own that differ in those words, so the nearest one wins; a text without them falls to the template it is
+nearest to. A file takes the licence of its best piece
 from `THRESHOLD` on. A bare reservation of rights counts by whole lines only: inside a line it tells the owner and stands
 before licences of all kinds. A licence file gives its licence to its directory; a file without a licence of its own
 inherits from the nearest ancestor directory that has one, found by joining the ancestors of the distinct directories.
@@ -27,21 +29,63 @@ from pyspark.sql import functions as F
 
 from rillwave.llm.common import stored, table
 
+# The licences' own words, and the parts that several of them share.
+_GNU = ("This {what} is free software{mark} you can redistribute it and/or modify it under the terms of the GNU {kind}General Public License "
+        "as published by the Free Software Foundation{stop} either version {version} of the License, or (at your option) any later version.")
+_BSD = ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions "
+        "are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following "
+        "disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following "
+        "disclaimer in the documentation and/or other materials provided with the distribution.")
+_NEITHER = ("Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from "
+            "this software without specific prior written permission.")
+_AS_IS = ("THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT "
+          "NOT LIMITED TO,")
+_CC = "This work is licensed under a Creative Commons {long} International License."
+
 TEMPLATES = {
+    "agpl-3.0": [_GNU.format(what="program", mark=":", kind="Affero ", stop=",", version="3"),
+                 "This work is licensed under the GNU Affero General Public License, version 3.",
+                 "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"],
     "apache-2.0": ["Licensed under the Apache License, Version 2.0.",
-                   "You may not use this file except in compliance with the License."],
+                   "You may not use this file except in compliance with the License.",
+                   "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"],
+    "bsd-2-clause": [f"{_BSD} {_AS_IS}"],
     "bsd-3-clause": ["Redistribution and use in source and binary forms, with or without modification, are permitted.",
-                     "Use of this source code is governed by a BSD-style license."],
-    "cc-by-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
-    "cc-by-nc-4.0": ["Licensed under CC BY-NC 4.0.",
-                     "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
+                     "Use of this source code is governed by a BSD-style license.", _NEITHER, f"{_BSD} 3. {_NEITHER} {_AS_IS}"],
+    "bsl-1.0": ["Distributed under the Boost Software License, Version 1.0.", "Boost Software License - Version 1.0 - August 17th, 2003"],
+    "cc-by-4.0": ["Licensed under CC BY 4.0.", _CC.format(long="Attribution 4.0")],
+    "cc-by-nc-4.0": ["Licensed under CC BY-NC 4.0.", _CC.format(long="Attribution-NonCommercial 4.0")],
+    "cc-by-nc-nd-4.0": ["Licensed under CC BY-NC-ND 4.0.", _CC.format(long="Attribution-NonCommercial-NoDerivatives 4.0")],
+    "cc-by-nc-sa-4.0": ["Licensed under CC BY-NC-SA 4.0.", _CC.format(long="Attribution-NonCommercial-ShareAlike 4.0")],
+    "cc-by-nd-4.0": ["Licensed under CC BY-ND 4.0.", _CC.format(long="Attribution-NoDerivatives 4.0")],
+    "cc-by-sa-4.0": ["Licensed under CC BY-SA 4.0.", _CC.format(long="Attribution-ShareAlike 4.0")],
+    "cc0-1.0": ["Creative Commons Legal Code CC0 1.0 Universal", "Licensed under CC0 1.0."],
+    "epl-2.0": ["This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0.",
+                "Eclipse Public License - v 2.0"],
+    "gpl-2.0": [_GNU.format(what="program", mark=";", kind="", stop=";", version="2"),
+                "This work is licensed under the GNU General Public License, version 2.", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"],
     "gpl-3.0": ["This work is licensed under the GNU General Public License, version 3.",
-                "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License."],
+                "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License.",
+                _GNU.format(what="program", mark=":", kind="", stop=",", version="3"), "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"],
+    "isc": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided "
+            "that the above copyright notice and this permission notice appear in all copies."],
+    "lgpl-2.1": [_GNU.format(what="library", mark=";", kind="Lesser ", stop=";", version="2.1"),
+                 "This work is licensed under the GNU Lesser General Public License, version 2.1.",
+                 "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"],
+    "lgpl-3.0": [_GNU.format(what="library", mark=":", kind="Lesser ", stop=",", version="3"),
+                 "This work is licensed under the GNU Lesser General Public License, version 3.",
+                 "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"],
     "mit": ["Released under the MIT License.", "Licensed under the MIT License.",
-            "Permission is hereby granted, free of charge, to any person obtaining a copy of this software."],
-    "mpl-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
+            "Permission is hereby granted, free of charge, to any person obtaining a copy of this software.",
+            "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files "
+            "(the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, "
+            "merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is "
+            "furnished to do so, subject to the following conditions:"],
+    "mpl-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Mozilla Public License Version 2.0"],
     "proprietary": ["All rights reserved.", "Copyright. All rights reserved."],
     "unlicense": ["This is free and unencumbered software released into the public domain."],
+    "zlib": ["Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and "
+             "redistribute it freely, subject to the following restrictions:"],
 }
 THRESHOLD = 0.7
 LICENCE_FILE = r"(?i)(^|/)(licen[cs]e|copying|unlicense|notice)(\.[a-z]+)?$"
@@ -60,6 +104,8 @@ def _template_terms() -> list[tuple[str, Counter]]:
 
 #: A run of n terms that repeat nothing and weigh alike has a cosine of at most sqrt(m / n) with a template of m terms.
 SPAN = math.ceil(max(sum(c.values()) for _, c in _template_terms()) / THRESHOLD**2)
+#: Terms whose products with the templates are added up at once.
+CHUNK = 1 << 15
 #: Licences whose templates say nothing but that rights are reserved.
 RESERVED = "proprietary"
 
@@ -91,6 +137,20 @@ def scorer(idf: dict[str, float]) -> Callable[[str, bool], tuple[str | None, flo
         for t, w in unit[-1].items():
             part[number[t], no] = idf[t] * w
     reserved = np.array([n == RESERVED for n in names])
+    most = part.max(axis=1)                                        # of a term, over all templates
+
+    def products(terms_: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Sums of `part` over the terms from a to b: running sums over a chunk of starts, long pieces by counting."""
+        out = np.empty((len(a), len(names)))
+        long = b - a > CHUNK
+        for h in np.flatnonzero(long):
+            out[h] = np.bincount(terms_[a[h]:b[h]], minlength=len(vocabulary)) @ part
+        for c in np.unique(a[~long] // CHUNK):
+            some = np.flatnonzero(~long & (a // CHUNK == c))
+            lo, hi = int(a[some].min()), int(b[some].max())
+            run = np.vstack([np.zeros(len(names)), np.cumsum(part[terms_[lo:hi]], axis=0)])
+            out[some] = run[b[some] - lo] - run[a[some] - lo]
+        return out
 
     def best(text: str | None, whole: bool) -> tuple[str | None, float | None]:
         tokens = TOKEN.findall(text or "")
@@ -100,32 +160,45 @@ def scorer(idf: dict[str, float]) -> Callable[[str, bool], tuple[str | None, flo
         if not n:
             return None, None
         terms_ = ids[ids >= 0]
-        dots = np.vstack([np.zeros(len(names)), np.cumsum(part[terms_], axis=0)])
+        tops = np.append(0.0, np.cumsum(most[terms_]))
         norms = np.append(0.0, np.cumsum(square[terms_]))
+        near = lambda a, b: tops[b] - tops[a] >= (THRESHOLD - 1e-6) * np.sqrt(norms[b] - norms[a])
         ends = lambda marks: np.unique(np.concatenate([[0, n], at[:-1][marks]]))
         lines, cuts = ends(ids == -1), ends(ids < 0)
         is_line = np.zeros(n + 1, bool)
         is_line[lines] = True
-        found, pieces = {}, [(lines[:-1], lines[1:])] + [(np.array([0]), np.array([n]))] * whole
+        pieces = []
+
+        def add(a: np.ndarray, b: np.ndarray) -> None:             # most pieces fall here, before any template is looked at
+            keep = near(a, b)
+            pieces.append((a[keep], b[keep]))
+
+        add(lines[:-1], lines[1:])
+        if whole:
+            add(np.array([0]), np.array([n]))
         for k in range(1, len(cuts)):
             a, b = cuts[:-k], cuts[k:]
             fits = b - a <= SPAN
             if k > 1 and not fits.any():
                 break
-            pieces.append((a, b) if k == 1 else (a[fits], b[fits]))
-        a, b = (np.concatenate(x) for x in zip(*pieces))
-        like = (dots[b] - dots[a]) / np.sqrt(norms[b] - norms[a])[:, None] >= THRESHOLD - 1e-6
-        like &= ~reserved | (is_line[a] & is_line[b])[:, None]
-        hits = np.flatnonzero(like.any(axis=1))
-        words = [t for t, i in zip(tokens, ids.tolist()) if i >= 0] if len(hits) else []
-        for i, j in sorted({(int(a[h]), int(b[h])) for h in hits}):
-            held = {t: k * idf.get(t, idf[""]) for t, k in Counter(words[i:j]).items()}
-            norm = math.sqrt(sum(v * v for v in held.values()))
-            for no in np.flatnonzero(~reserved | (is_line[i] & is_line[j])):
-                score = round(sum(held[t] * w for t, w in unit[no].items() if t in held) / norm, 9)
-                if score >= THRESHOLD:
-                    found[names[no]] = max(score, found.get(names[no], 0.0))
-        return min(((name, s) for name, s in found.items()), key=lambda x: (-x[1], x[0]), default=(None, None))
+            add(*((a, b) if k == 1 else (a[fits], b[fits])))
+        a, b = np.unique(np.stack([np.concatenate(x) for x in zip(*pieces)]), axis=1)
+        bound = products(terms_, a, b) / np.sqrt(norms[b] - norms[a])[:, None]
+        bound[np.ix_(~(is_line[a] & is_line[b]), reserved)] = 0.0
+        pairs = np.argwhere(bound >= THRESHOLD - 1e-6)
+        words = [t for t, i in zip(tokens, ids.tolist()) if i >= 0] if len(pairs) else []
+        name, top, vector = None, THRESHOLD, {}
+        for h, no in pairs[np.argsort(-bound[tuple(pairs.T)], kind="stable")].tolist():
+            if bound[h, no] < top - 1e-6:                          # nothing that follows can score more
+                break
+            if h not in vector:
+                held = {t: k * idf.get(t, idf[""]) for t, k in Counter(words[a[h]:b[h]]).items()}
+                vector[h] = held, math.sqrt(sum(v * v for v in held.values()))
+            held, norm = vector[h]
+            score = round(sum(held[t] * w for t, w in unit[no].items() if t in held) / norm, 9)
+            if score > top or score == top and (name is None or names[no] < name):
+                name, top = names[no], score
+        return (name, top) if name else (None, None)
 
     return best
 

@@ -464,6 +464,52 @@ def test_licence_headers_across_lines_and_inside_them(spark):
                    "c/LICENSE": ("apache-2.0", "own")}
 
 
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice,
+   this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+{third}
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND
+ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED
+WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.
+"""
+THIRD = """3. Neither the name of the copyright holder nor the names of its contributors
+   may be used to endorse or promote products derived from this software
+   without specific prior written permission.
+"""
+GNU = """// {what} is free software{m} you can redistribute it and/or modify
+// it under the terms of the GNU {kind}General Public License as published by
+// the Free Software Foundation, either version {v} of the License, or
+// (at your option) any later version.
+int main() {{}}
+"""
+
+
+def test_near_relatives_of_licences_are_told_apart(spark):
+    gnu = lambda what, kind, v: GNU.format(what=what, kind=kind, v=v, m=":" if v == "3" else ";")
+    files = {"gpl-2.0": [gnu("This program", "", "2"), "licensed under the GNU General Public License, version 2.",
+                         "GNU GENERAL PUBLIC LICENSE\n  Version 2, June 1991\n\n" + prose(300)],
+             "gpl-3.0": [gnu("This file", "", "3"), "GNU GENERAL PUBLIC LICENSE\n  Version 3, 29 June 2007\n\n" + prose(300)],
+             "lgpl-2.1": [gnu("This library", "Lesser ", "2.1")],
+             "lgpl-3.0": [gnu("This library", "Lesser ", "3"), "GNU LESSER GENERAL PUBLIC LICENSE\n  Version 3, 29 June 2007\n\n" + prose(300)],
+             "agpl-3.0": [gnu("This program", "Affero ", "3"), "GNU AFFERO GENERAL PUBLIC LICENSE\nVersion 3, 19 November 2007\n\n" + prose(300)],
+             "bsd-2-clause": [BSD.format(third="")], "bsd-3-clause": [BSD.format(third=t) for t in (THIRD, THIRD.replace("the copyright holder", "the University of Somewhere"))],
+             "isc": ["Copyright (c) 2020 Someone\n\n" + licenses.TEMPLATES["isc"][0].replace(" for any", "\nfor any")],
+             "bsl-1.0": ["// Distributed under the Boost Software License, Version 1.0.\n// (See accompanying file)"],
+             "mit": ["MIT License\n\nCopyright (c) 2020 A B\n\n" + licenses.TEMPLATES["mit"][3].replace(", to deal", ", to\ndeal") + "\n" + prose(80)],
+             **{f"cc-{k.lower()}-4.0": [f"{prose(9)}. Licensed under CC {k} 4.0.", licenses.TEMPLATES[f"cc-{k.lower()}-4.0"][1]]
+                for k in ("BY", "BY-SA", "BY-ND", "BY-NC", "BY-NC-SA", "BY-NC-ND")}}
+    rows = [(f"{name}/{i}/{kind}", text) for name, texts in files.items() for i, text in enumerate(texts) for kind in ("LICENSE", "x.c")]
+    rows += [(f"prose/{i}", prose(400)) for i in range(30)]
+    got = licenses.licensed(spark.createDataFrame(rows, "path string, text string")).where("how = 'own'").collect()
+    assert [(r.path, r.license) for r in got if r.path.split("/")[0] != r.license] == []
+    assert len(got) == len(rows) - 30
+
+
 def test_licence_scores_equal_all_pieces():
     idf = {t: 1.0 + len(t) / 3 for t in {t for _, c in licenses._template_terms() for t in c}} | {"": 4.0}
     best, rng = licenses.scorer(idf), np.random.default_rng(4)
