@@ -107,3 +107,25 @@ def test_estimation_noise_theory():
     v = noise_variance(LiveConfig())
     assert segments == 3 and bins["beta"] > bins["alpha"] > 0
     assert v["frontal_asymmetry"] > v["beta_alpha_ratio"] > v["muscle_tension"]
+
+
+def test_rolling_bicoherence_equals_each_history_alone():
+    rng = np.random.default_rng(3)
+    fs, n = 128.0, 500                                       # epochs off the segment grid: several phases
+    span = round(60 * fs)
+    x = rng.normal(0, 20, span + n * 60)
+    x[9000:9200] *= 1e4                                      # a burst must not spoil histories after it
+    x[30000] = np.nan
+    ends = [n * k for k in range(1, len(x) // n + 1)] + [3, len(x) + 5]
+    got = K.rolling_bicoherence(x, fs, ends, span)
+    seg, hop, i, j = K.bicoherence_plan(fs)
+    window = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(seg) / seg)
+    for e, value in zip(ends, got):
+        h = x[max(e - span, 0):e]
+        if e < span or e > len(x) or not np.isfinite(h).all():
+            assert np.isnan(value)
+            continue
+        z = [np.fft.rfft((h[a:a + seg] - h[a:a + seg].mean()) * window) for a in range(0, span - seg + 1, hop)]
+        num = abs(sum(s[i] * s[j] * np.conj(s[i + j]) for s in z)) ** 2
+        den = sum(abs(s[i] * s[j]) ** 2 for s in z) * sum(abs(s[i + j]) ** 2 for s in z)
+        assert value == pytest.approx((num / den).mean(), rel=1e-9)
