@@ -106,6 +106,8 @@ def _template_terms() -> list[tuple[str, Counter]]:
 SPAN = math.ceil(max(sum(c.values()) for _, c in _template_terms()) / THRESHOLD**2)
 #: Terms whose products with the templates are added up at once.
 CHUNK = 1 << 15
+#: Starts whose runs are looked at together.
+STARTS = 1 << 12
 #: Licences whose templates say nothing but that rights are reserved.
 RESERVED = "proprietary"
 
@@ -162,7 +164,7 @@ def scorer(idf: dict[str, float]) -> Callable[[str, bool], tuple[str | None, flo
         terms_ = ids[ids >= 0]
         tops = np.append(0.0, np.cumsum(most[terms_]))
         norms = np.append(0.0, np.cumsum(square[terms_]))
-        near = lambda a, b: tops[b] - tops[a] >= (THRESHOLD - 1e-6) * np.sqrt(norms[b] - norms[a])
+        near = lambda a, b: (tops[b] - tops[a]) ** 2 >= (THRESHOLD - 1e-6) ** 2 * (norms[b] - norms[a])
         ends = lambda marks: np.unique(np.concatenate([[0, n], at[:-1][marks]]))
         lines, cuts = ends(ids == -1), ends(ids < 0)
         is_line = np.zeros(n + 1, bool)
@@ -176,13 +178,15 @@ def scorer(idf: dict[str, float]) -> Callable[[str, bool], tuple[str | None, flo
         add(lines[:-1], lines[1:])
         if whole:
             add(np.array([0]), np.array([n]))
-        for k in range(1, len(cuts)):
-            a, b = cuts[:-k], cuts[k:]
-            fits = b - a <= SPAN
-            if k > 1 and not fits.any():
-                break
-            add(*((a, b) if k == 1 else (a[fits], b[fits])))
-        a, b = np.unique(np.stack([np.concatenate(x) for x in zip(*pieces)]), axis=1)
+        starts = np.arange(len(cuts) - 1)
+        many = np.maximum(np.searchsorted(cuts, cuts[:-1] + SPAN, side="right") - starts - 1, 1)   # runs from each start
+        for at_once in range(0, len(starts), STARTS):
+            m = many[at_once:at_once + STARTS]
+            first = np.repeat(starts[at_once:at_once + STARTS], m)
+            add(cuts[first], cuts[first + 1 + np.arange(len(first)) - np.repeat(np.cumsum(m) - m, m)])
+        a, b = (np.concatenate(x) for x in zip(*pieces))
+        if not len(a):
+            return None, None
         bound = products(terms_, a, b) / np.sqrt(norms[b] - norms[a])[:, None]
         bound[np.ix_(~(is_line[a] & is_line[b]), reserved)] = 0.0
         pairs = np.argwhere(bound >= THRESHOLD - 1e-6)
