@@ -124,10 +124,12 @@ def sorted_runs(df: DataFrame, *cols: str) -> DataFrame:
     """Rows hashed by the first two columns and sorted by all of them.
 
     The partition count is given, because byte-sized coalescing would put a Python-heavy walk over
-    compact rows into a few tasks.
+    compact rows into a few tasks. Rows are placed by a digest of the columns: Spark drops a shuffle by the
+    columns themselves when a join on them came before, and that join may turn into a broadcast with local
+    reads while it runs, which leaves a run spread over tasks.
     """
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(parts, *cols[:2]).sortWithinPartitions(*cols)
+    return df.repartition(parts, F.xxhash64(*cols[:2])).sortWithinPartitions(*cols)
 
 
 def scan(df: DataFrame, key: str, position: str, op, out: str, size: float = 65536.0, **columns: str) -> DataFrame:

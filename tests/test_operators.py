@@ -172,6 +172,21 @@ def test_recurrences_do_not_depend_on_segments(spark):
     np.testing.assert_allclose(small[["level", "s"]], big[["level", "s"]], atol=1e-12)
 
 
+def test_recurrences_survive_a_join_that_turns_into_a_broadcast(spark):
+    df = spark.range(6000).select((F.col("id") % 20).alias("k"), F.floor(F.col("id") / 20).cast("double").alias("t"), F.lit(1.0).alias("x"))
+    # planned as a sort-merge join; its small side is broadcast once its size is known, and reads stay spread as over large tables
+    large = {"autoBroadcastJoinThreshold": "-1", "adaptive.autoBroadcastJoinThreshold": "50KB", "adaptive.coalescePartitions.enabled": "false"}
+    kept = {k: spark.conf.get(f"spark.sql.{k}", None) for k in large}
+    for k, v in large.items():
+        spark.conf.set(f"spark.sql.{k}", v)
+    try:
+        s = recurrence.scan(df, "k", "t", recurrence.Accumulation(0.5), "s", size=1.0, x="x")
+        assert s.where("abs(s - (t + 1) * 0.5) > 1e-9 or s is null").count() == 0 and s.count() == 6000
+    finally:
+        for k, v in kept.items():
+            spark.conf.unset(f"spark.sql.{k}") if v is None else spark.conf.set(f"spark.sql.{k}", v)
+
+
 def test_interval_union_counts_overlap_once(spark):
     df = spark.createDataFrame([("a", 0.0, 10.0), ("a", 1.0, 11.0), ("a", 2.0, 12.0), ("b", 0.0, 100.0), ("b", 50.0, 60.0), ("b", 150.0, 151.0)],
                                "k string, a double, b double")
