@@ -14,12 +14,13 @@ from .recurrence import union_duration
 COMPONENTS = {"SOI": tuple(SOI_COMPONENTS), "RDI": RDI_COMPONENTS}
 
 
-def fit_calibrations(epochs: DataFrame, context: str = "awake_personal_baseline") -> DataFrame:
+def fit_calibrations(epochs: DataFrame, context: str = "awake_personal_baseline", instants: bool = False) -> DataFrame:
     """One calibration per subject from its epochs labelled ``baseline``.
 
     Result: subject_id, medication_profile_id, session_id, context, duration_s, SOI, RDI and
     ``problems``, the guards the subject violates. A subject with problems has no usable
-    calibration; ``require_calibration`` turns that into an error.
+    calibration; ``require_calibration`` turns that into an error. With ``instants`` an epoch may
+    end where it begins, as events without a length do: it adds its values and no duration.
     """
     need = {"time_s", "epoch_end_s", "subject_id", "research_label", "recording_context"}
     if not need <= set(epochs.columns):
@@ -29,7 +30,8 @@ def fit_calibrations(epochs: DataFrame, context: str = "awake_personal_baseline"
     every = [c for names in present.values() for c in names]
     times = F.coalesce((finite(F.col("time_s").cast("double")).isNotNull()
                         & finite(F.col("epoch_end_s").cast("double")).isNotNull()
-                        & (F.col("epoch_end_s") > F.col("time_s"))), F.lit(False))
+                        & (F.col("epoch_end_s") >= F.col("time_s") if instants else F.col("epoch_end_s") > F.col("time_s"))),
+                       F.lit(False))
     known = F.coalesce(F.col("recording_context").isin(*BASELINE_CONTEXTS), F.lit(False))
     aggs = [F.count("*").alias("n"), F.count_if(~known).alias("_ctx"), F.count_if(~times).alias("_times")]
     ids = [c for c in ("session_id", "medication_profile_id") if c in epochs.columns]

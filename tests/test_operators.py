@@ -1,3 +1,4 @@
+import json
 import math
 
 import numpy as np
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 from rillwave.functions import scalars as S, sqlfuncs
 from rillwave.model import GuardError, QualityPolicy, RDI_COMPONENTS, SOI_COMPONENTS
 from rillwave.operators import asof, composite, epochs as E, evaluate, guards, labelled, montage, quality, recurrence, segments
+from rillwave.plans import queries
 
 
 def track(spark, rows, tname="BIS/SQI"):
@@ -295,6 +297,26 @@ def calib(spark, **cols):
     return spark.createDataFrame([{k: float(v) if isinstance(v, int) else v for k, v in zip(base, r)} for r in zip(*base.values())])
 
 
+def test_epochs_without_a_length_add_values_and_no_duration(spark):
+    for ends, instants, problems in (([0.0, 2, 3, 4, 5], True, 0), ([0.0, 2, 3, 4, 5], False, 1), ([-1.0, 2, 3, 4, 5], True, 1)):
+        r = composite.fit_calibrations(calib(spark, epoch_end_s=ends), instants=instants).where("subject_id = 'A'").first()
+        assert len(r["problems"]) == problems and r["duration_s"] == 2.0 and r["RDI"]["components"] == {}
+        assert tuple(r["SOI"]["components"]["posterior_gamma"]) == (2.0, 1.0, 3)
+
+
+def event(i, kind, value, k):
+    return i, 7, kind, value, json.dumps({"k": k})
+
+
+def test_events_of_value_zero_are_calibrated_and_scored(spark, tmp_path):
+    rows = [event(0, "view", 3.0, 5), event(1, "click", 0.0, 9), event(2, "signup", 8.0, 40), event(3, "purchase", 2.0, 7)]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    fit = queries.calibration_fit(spark, str(tmp_path)).collect()
+    assert len(fit) == 10 and {(r["n_problems"], r["n"], r["duration_s"]) for r in fit} == {(0, 3, 1080.0)}
+    (r,) = queries.soi_rdi_score(spark, str(tmp_path)).collect()
+    assert (r["soi_coverage"], r["soi_missing"], r["issues"]) == (1.0, "", "calibration_shorter_than_article_24h")
+
+
 def test_calibration_of_one_subject(spark):
     r = composite.require_calibration(calib(spark), "A").first()
     assert r["SOI"]["components"]["posterior_gamma"]["mean"] == 2 and r["SOI"]["components"]["posterior_gamma"]["sd"] == 1
