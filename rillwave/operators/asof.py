@@ -41,16 +41,24 @@ def asof_backward(left: DataFrame, right: DataFrame, keys: list[str], left_t: st
 
 
 def check_track(tracks: DataFrame, reach_rows: int = 65536) -> DataFrame:
-    """Per track: rows with a non-finite time, and rows whose time does not exceed the previous row's."""
+    """Per track: rows with a non-finite time, and rows whose time does not exceed the previous row's.
+
+    The row before a track's first one in a segment of row numbers is the last one of the segment before that holds
+    any: tracks may share one numbering, so it can lie any distance back.
+    """
     t = F.col("t")
     bad = t.isNull() | F.isnan(t) | (F.abs(t) == float("inf"))
-    w = W.partitionBy("case_id", "tname", "segment").orderBy("row_ix")
-    return (with_halo(tracks, "row_ix", reach_rows, 1)
-            .withColumn("_prev", F.lag("t").over(w))
-            .where("is_own")
-            .groupBy("case_id", "tname")
-            .agg(F.count("*").alias("n_rows"), F.count_if(bad).alias("n_bad_time"),
-                 F.count_if(F.col("_prev") >= t).alias("n_not_increasing")))
+    keys, at = ["case_id", "tname"], F.struct("row_ix", "t")
+    inside = W.partitionBy(*keys, "segment").orderBy("row_ix")
+    counts = (tracks.withColumn("segment", segment_of(F.col("row_ix"), reach_rows))
+              .withColumn("_prev", F.lag("t").over(inside))
+              .groupBy(*keys, "segment")
+              .agg(F.count("*").alias("_n"), F.count_if(bad).alias("_bad"), F.count_if(F.col("_prev") >= t).alias("_back"),
+                   F.min(at).alias("_first"), F.max(at).alias("_last")))
+    edge = F.lag("_last.t").over(W.partitionBy(*keys).orderBy("segment")) >= F.col("_first.t")
+    return (counts.withColumn("_edge", F.coalesce(edge, F.lit(False)).cast("long"))
+            .groupBy(*keys)
+            .agg(F.sum("_n").alias("n_rows"), F.sum("_bad").alias("n_bad_time"), F.sum(F.col("_back") + F.col("_edge")).alias("n_not_increasing")))
 
 
 def hold_numeric(clock: DataFrame, tracks: DataFrame, keys: list[str], clock_t: str = "t",

@@ -41,6 +41,14 @@ def test_backward_track_is_rejected(spark):
         asof.hold_numeric(clock, track(spark, [(2.0, 50.0), (1.0, 60.0)]), ["case_id"])
 
 
+def test_track_steps_backwards_across_segments_and_gaps(spark):
+    rows = [("c", n, i, t, 0.0) for n, i, t in (("a", 1, 5.0), ("b", 3, 1.0), ("a", 7, 4.0), ("b", 39, 2.0), ("b", 40, 2.0), ("a", 41, 6.0), ("a", 90, None), ("a", 97, 1.0))]
+    df = spark.createDataFrame(rows, "case_id string, tname string, row_ix long, t double, value double")
+    for reach in (1, 8, 65536):
+        got = {r["tname"]: tuple(r)[2:] for r in asof.check_track(df, reach).collect()}
+        assert got == {"a": (5, 1, 1), "b": (3, 0, 1)}
+
+
 def test_compact_clock(spark):
     got = asof.compact_clock(track(spark, [(0.0, 1.0), (1 / 128, 2.0), (None, 3.0), (None, 4.0)])).orderBy("row_ix").collect()
     assert [r["t"] for r in got] == [i / 128 for i in range(4)]
