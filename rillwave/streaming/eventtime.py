@@ -23,18 +23,25 @@ from ..session import shared_folder
 
 SESSION, LATE = "SESSION", "LATE"
 OUTPUT = "session_id string, kind string, start_ms long, end_ms long, n long, total double"
-_COLUMNS = [c.split()[0] for c in OUTPUT.split(", ")]
 
 
-def joined(spans: pd.DataFrame, gap: int) -> pd.DataFrame:
-    """Spans (start_ms, end_ms, n, total) with those at most ``gap`` apart made one."""
-    spans = spans.sort_values(["start_ms", "end_ms"], kind="stable")
-    start, end = spans["start_ms"].to_numpy(), np.maximum.accumulate(spans["end_ms"].to_numpy())
-    new = np.concatenate([[True], start[1:] - end[:-1] > gap])[:len(start)]
-    return spans.groupby(np.cumsum(new), sort=True).agg(start_ms=("start_ms", "min"), end_ms=("end_ms", "max"), n=("n", "sum"), total=("total", "sum"))
+_SPANS = ["start_ms", "end_ms", "n", "total"]
+Spans = list[np.ndarray]                       # one array per column of _SPANS: a key has few rows, frames would cost more than the work
 
 
-_SPANS = ["start_ms", "end_ms", "n", "total"]
+def merged(spans: Spans, gap: int) -> Spans:
+    """Spans with those at most ``gap`` apart made one, in order."""
+    if not len(spans[0]):
+        return spans
+    order = np.lexsort((spans[1], spans[0]))
+    start, end, n, total = (c[order] for c in spans)
+    first = np.flatnonzero(np.concatenate([[True], start[1:] - np.maximum.accumulate(end)[:-1] > gap]))
+    return [start[first], np.maximum.reduceat(end, first), np.add.reduceat(n, first), np.add.reduceat(total, first)]
+
+
+def joined(spans: pd.DataFrame, gap: int) -> pd.DataFrame:
+    """`merged` for a frame."""
+    return pd.DataFrame(dict(zip(_SPANS, merged([spans[c].to_numpy() for c in _SPANS], gap))))
 
 
 class GapSessions(StatefulProcessor):
@@ -47,44 +54,50 @@ class GapSessions(StatefulProcessor):
         self.handle = handle
         self.open = handle.getValueState("open", "start_ms array<long>, end_ms array<long>, n array<long>, total array<double>")
 
-    def _held(self) -> pd.DataFrame:
-        columns = self.open.get() if self.open.exists() else [[]] * len(_SPANS)
-        return pd.DataFrame(dict(zip(_SPANS, columns))).astype(dict.fromkeys(_SPANS[:3], "int64") | {"total": float})
+    def _held(self) -> Spans:
+        columns = self.open.get() or [[]] * len(_SPANS)
+        return [np.array(c, float if name == "total" else np.int64) for name, c in zip(_SPANS, columns)]
 
-    def _hold(self, spans: pd.DataFrame) -> None:
-        if len(spans):
-            self.open.update(tuple(spans[c].tolist() for c in _SPANS))
-            self.handle.registerTimer(int(spans["end_ms"].min()) + self.gap)
-        else:
-            self.open.clear()
+    def _hold(self, spans: Spans) -> None:
+        self.open.update(tuple(c.tolist() for c in spans))
+        self._wait(spans)
+
+    def _wait(self, spans: Spans) -> None:
+        self.handle.registerTimer(int(spans[1].min()) + self.gap)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        watermark = timerValues.getCurrentWatermarkInMs()
-        held, fresh = self._held(), False
+        watermark, held = timerValues.getCurrentWatermarkInMs(), None
         for batch in rows:
-            points = pd.DataFrame({"start_ms": batch["at_ms"], "end_ms": batch["at_ms"], "n": 1, "total": batch["value"]})
-            late = batch["at_ms"] < watermark
+            at, value = batch["at_ms"].to_numpy(), batch["value"].to_numpy()
+            points = [at, at, np.ones(len(at), np.int64), value]
+            late = at < watermark
             if late.any():
-                yield _output(key[0], LATE, points[late])
+                yield _output(key[0], LATE, [c[late] for c in points])
             if not late.all():
-                held, fresh = joined(pd.concat([held, points[~late]], ignore_index=True), self.gap), True
-        if fresh:
+                held = self._held() if held is None else held
+                held = merged([np.concatenate([h, c[~late]]) for h, c in zip(held, points)], self.gap)
+        if held is not None:
             self._hold(held)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         """Ends all sessions the watermark has passed; a timer of a session that has grown since finds none."""
         held = self._held()
-        done = held["end_ms"] + self.gap < timerValues.getCurrentWatermarkInMs()
-        self._hold(held[~done])
+        done = held[1] + self.gap < timerValues.getCurrentWatermarkInMs()
+        if done.all():
+            self.open.clear()
+        elif done.any():
+            self._hold([c[~done] for c in held])
+        else:
+            self._wait(held)
         if done.any():
-            yield _output(key[0], SESSION, held[done])
+            yield _output(key[0], SESSION, [c[done] for c in held])
 
     def close(self) -> None:
         pass
 
 
-def _output(session: str, kind: str, spans: pd.DataFrame) -> pd.DataFrame:
-    return spans.assign(session_id=session, kind=kind)[_COLUMNS]
+def _output(session: str, kind: str, spans: Spans) -> pd.DataFrame:
+    return pd.DataFrame({"session_id": session, "kind": kind, **dict(zip(_SPANS, spans))})
 
 
 def sessions(rows: DataFrame, gap_s: float, delay_s: float) -> DataFrame:

@@ -41,6 +41,58 @@ def test_joined_spans():
     assert eventtime.joined(spans.iloc[:0], 5).empty
 
 
+def test_merged_spans_equal_brute_force():
+    rng = np.random.default_rng(4)
+    for _ in range(200):
+        n, gap = int(rng.integers(0, 12)), int(rng.integers(0, 6))
+        start = rng.integers(0, 60, n)
+        spans = [start, start + rng.integers(0, 9, n), rng.integers(1, 4, n), rng.integers(0, 9, n).astype(float)]
+        want = []
+        for row in sorted(zip(*(c.tolist() for c in spans))):
+            if want and row[0] - want[-1][1] <= gap:
+                want[-1] = [want[-1][0], max(want[-1][1], row[1]), want[-1][2] + row[2], want[-1][3] + row[3]]
+            else:
+                want.append(list(row))
+        assert [list(r) for r in zip(*(c.tolist() for c in eventtime.merged(spans, gap)))] == want
+
+
+def test_a_key_touches_its_state_only_when_it_changes():
+    calls = []
+
+    class State:
+        kept = None
+
+        def __getattr__(self, name):
+            calls.append(name)
+            return {"get": lambda: self.kept, "exists": lambda: self.kept is not None, "update": lambda v: setattr(self, "kept", v),
+                    "clear": lambda: setattr(self, "kept", None)}[name]
+
+    class Handle:
+        def getValueState(self, *_):
+            return State()
+
+        def registerTimer(self, at):
+            calls.append(at)
+
+    class Clock:
+        def __init__(self, ms):
+            self.getCurrentWatermarkInMs = lambda: ms
+
+    def turn(act):
+        calls.clear()
+        return [r for f in act for r in f.itertuples(index=False, name=None)], list(calls)
+
+    rows = lambda *at: iter([pd.DataFrame({"at_ms": np.array(at, np.int64), "value": [1.0] * len(at)})])
+    sessions = eventtime.GapSessions(10)
+    sessions.init(Handle())
+    assert turn(sessions.handleInputRows(("a",), rows(5, 12, 40), Clock(0))) == ([], ["get", "update", 22])
+    assert turn(sessions.handleInputRows(("a",), rows(3), Clock(4))) == ([("a", "LATE", 3, 3, 1, 1.0)], [])
+    assert turn(sessions.handleExpiredTimer(("a",), Clock(22), None)) == ([], ["get", 22])
+    assert turn(sessions.handleExpiredTimer(("a",), Clock(23), None)) == ([("a", "SESSION", 5, 12, 2, 2.0)], ["get", "update", 50])
+    assert turn(sessions.handleExpiredTimer(("a",), Clock(51), None)) == ([("a", "SESSION", 40, 40, 1, 1.0)], ["get", "clear"])
+    assert turn(sessions.handleExpiredTimer(("a",), Clock(60), None)) == ([], ["get", "clear"])
+
+
 @pytest.mark.parametrize("crowd", [1, 3, 4096])
 def test_interval_join_equals_brute_force(spark, crowd):
     rng = np.random.default_rng(crowd)
