@@ -30,9 +30,10 @@ from rillwave.llm.vectors import POINTS, QUERIES, usable
 
 DIMENSIONS = 16
 SURE = 0.95
-LEAF = 64
-#: Points verified between two looks at the bound.
-CHUNK = 16
+#: Points of a leaf: their projected distances are one array operation.
+LEAF = 512
+#: Points verified before the first look at the bound; twice as many before each further one, up to MOST.
+CHUNK, MOST = 16, 512
 #: Rows whose projections give the split values of the cells, and the fewest of them in a cell.
 SAMPLE, FEWEST = 20_000, 8
 
@@ -149,21 +150,26 @@ def nearest(points, flat, ids, queries, query_flat, query_ids, bounds, k: int, s
     """For each query: ids and squared distances of the k nearest points found within its bound, and how many were verified."""
     tree, limit = Tree(flat), chi_square_limit(sure, DIMENSIONS)
     for q, qf, qid, bound in zip(queries, query_flat, query_ids, bounds):
-        best_d, best_i, kth, seen = np.zeros(0), np.zeros(0, np.int64), bound, 0
+        best_d, best_i, kth, seen, step = np.zeros(0), np.zeros(0, np.int64), bound, 0, CHUNK
         for near, rows in tree.walk(qf):
-            for at in range(0, len(rows), CHUNK):
-                some = rows[at:at + CHUNK][near[at:at + CHUNK] <= limit * kth]
+            at = 0
+            while at < len(rows):
+                here = rows[at:at + step]
+                some = here[near[at:at + step] <= limit * kth]
                 seen += len(some)
                 own = some[ids[some] != qid]
                 d = points[own] - q
-                d = np.append(best_d, np.einsum("ij,ij->i", d, d))
-                i = np.append(best_i, ids[own])
-                order = np.lexsort((i, d))[:k]
-                best_d, best_i = d[order], i[order]
-                if len(best_d) == k:
-                    kth = min(bound, best_d[-1])
-                if len(some) < len(rows[at:at + CHUNK]):
+                d = np.einsum("ij,ij->i", d, d)
+                better = d <= kth
+                if better.any():
+                    d, i = np.append(best_d, d[better]), np.append(best_i, ids[own[better]])
+                    order = np.lexsort((i, d))[:k]
+                    best_d, best_i = d[order], i[order]
+                    if len(best_d) == k:
+                        kth = min(bound, best_d[-1])
+                if len(some) < len(here):
                     break
+                at, step = at + step, min(2 * step, MOST)
             if len(rows) and near[-1] > limit * kth:
                 break
         yield best_i, best_d, seen
