@@ -2,12 +2,14 @@
 
 import hashlib
 import math
+import random
 import re
 import time
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from rillwave.llm import ann, components, language, licenses, mixing, neardup, packing, pages, secrets, shingles, substrings, topk
@@ -166,6 +168,59 @@ def test_crowded_minimizers_divide_by_hash(spark, monkeypatch):
     assert sorted((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == removed(rows)
 
 
+def written(spark):
+    """Bytes of each shuffle file there is."""
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {f.getPath(): f.length() for f in map(files.apply, range(files.size())) if f.getName().endswith(".data")}
+
+
+def shuffled(spark, rows):
+    """Shuffled bytes per byte of text, after a comparison with brute force."""
+    frame = docs(spark, rows).repartition(8).localCheckpoint()
+    before = written(spark)
+    got = substrings.deduplicated(frame).collect()
+    assert sorted((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == removed(rows)
+    return sum(n for f, n in written(spark).items() if f not in before) / sum(len(text.encode()) for _, text in rows)
+
+
+def test_stock_phrases_ask_for_no_bytes(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=5))
+    phrases = [" ".join(word() for _ in range(6)) for _ in range(400)]
+    rows = [(i, ". ".join(rng.choices(phrases, k=60))) for i in range(120)]
+    assert shuffled(spark, rows) < 2
+
+
+def test_covered_ranges_travel_packed(spark):
+    rng = random.Random(6)
+    texts = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=3000)).encode() for _ in range(60)]
+
+    def task(first):
+        batch = pa.RecordBatch.from_arrays([pa.array(range(first, first + 60), pa.int64()), pa.array([1] * 60, pa.int32()), pa.array(texts, pa.binary())], names=["k", "copy", "raw"])
+        return pa.Table.from_batches(list(substrings._pack(1)(iter([batch]))))
+
+    found = substrings._settle(4)(pa.concat_tables([task(1000), task(0)]))
+    assert len(found) == 4 and not any(found["h"].to_pylist())
+    copy, start, size = substrings._undealt(found)
+    assert len(copy) > 60 * 2901 / substrings.SPAN and set(copy) == {1} and size.max() < 100 + substrings.SPAN
+    assert sum((size - 99).tolist()) == 60 * 2901                 # every string of the later task's copies
+    assert len(pa.compress(b"".join(found["ranges"].to_pylist()), "lz4", asbytes=True)) < 7 * len(copy)
+    k = [0, 1, -1, 12345678901, (1 << 63) - 1, -(1 << 63)]
+    got = spark.createDataFrame([(x,) for x in k], "k long").selectExpr("pmod(hash(k), 7) p").collect()
+    assert [r.p for r in got] == substrings._part(np.array(k), 7).tolist()
+
+
+def test_runs_and_matches_at_the_limit(spark):
+    rng = random.Random(7)
+    some = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=n))
+    shared = some(400)
+    rows = [(i, some(60) + shared[i * 7:i * 7 + 95 + i % 10] + some(60)) for i in range(40)] + [(100, shared), (101, some(30) + shared[200:300])]
+    rows += [(200 + i, ("-" * (20 + 9 * i) + some(2)) * 12 + " " * 30 * i + some(90) + "ab" * 20 * i) for i in range(8)]
+    rows += [(300 + i, "".join(rng.choices(["-" * 30, " " * 40, "ab" * 15], k=25))) for i in range(8)]
+    got = substrings.deduplicated(docs(spark, rows)).collect()
+    assert sorted((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == removed(rows)
+
+
 def test_texts_longer_than_a_chunk(spark, monkeypatch):
     monkeypatch.setattr(substrings, "CHUNK", 700)
     raw = (prose(300) + "q" * 800 + prose(100)).encode()
