@@ -29,6 +29,8 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -57,6 +59,7 @@ _PLACE = np.uint64((1 << (CHUNK + LENGTH).bit_length()) - 1)
 
 _PACKED = "bucket int, h binary, c binary, sides binary, k binary, copy binary, start binary, size binary"
 _FOUND = "part int, ranges binary, h binary, groups binary"
+_BYTES = {"h": "<i8", "k": "<i8", "copy": "<i4", "start": "<i8", "size": "<i4"}
 
 
 def _least(x: np.ndarray, span: int) -> np.ndarray:
@@ -279,6 +282,7 @@ def _equal(rows: pa.Table) -> tuple[np.ndarray, ...]:
 def _copies(parts: int):
     """Step 3 for one group: covered ranges among pieces whose bytes are known."""
     def run(rows: pa.Table) -> pa.Table:
+        rows = _fetched(rows)
         single = pa.compute.equal(pa.compute.binary_length(rows["content"]), DIGEST)
         out = [_equal(rows.filter(single))]
         rows = rows.filter(pa.compute.invert(single))
@@ -324,11 +328,28 @@ def _fetch(spread: int):
                 part = int.from_bytes(one[:8], "little") % n
                 group = int(mixed(np.array([(a + part) & (1 << 64) - 1], np.uint64))[0]) % spread
                 out.append((group, a, k, copy, i, one))
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
-        return pa.table([pa.array(c, t) for c, t in zip(zip(*out) if out else ((),) * 6, kinds)], names=["grp", "h", "k", "copy", "start", "content"])
+        packed = []
+        for group, some in groupby(sorted(out, key=itemgetter(0)), key=itemgetter(0)):
+            *numbers, content = [*zip(*some)][1:]
+            numbers = (np.array(x, t) for x, t in zip((*numbers, [*map(len, content)]), _BYTES.values()))
+            packed.append((group, *map(_planes, numbers), pa.compress(b"".join(content), "zstd", asbytes=True)))
+        kinds = (pa.int64(), *[pa.binary()] * 6)
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*packed) if packed else ((),) * 7, kinds)], names=["grp", *_BYTES, "content"])
     return run
 
 
+def _fetched(rows: pa.Table) -> pa.Table:
+    """One row for each piece of what _fetch has packed."""
+    columns = {c: _numbers(rows[c].to_pylist(), t) for c, t in _BYTES.items()}
+    sizes = [_numbers([x], _BYTES["size"]) for x in rows["size"].to_pylist()]
+    content = []
+    for raw, size in zip(rows["content"].to_pylist(), sizes):
+        raw = pa.decompress(raw, int(size.sum()), "zstd", asbytes=True)
+        stop = np.cumsum(size)
+        content += [raw[lo:hi] for lo, hi in zip((stop - size).tolist(), stop.tolist())]
+    return pa.table({c: columns[c] for c in ("h", "k", "copy", "start")} | {"content": pa.array(content, pa.binary())})
+
+
 def _kept(rows: pa.Table, covered: pa.Table) -> pa.Table:
     """Step 4: what remains of each document of a part."""
     copy, start, size = _undealt(covered)
@@ -367,7 +388,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     found = packed.groupBy("bucket").applyInArrow(_settle(parts), _FOUND)
     asked = found.where("octet_length(h) > 0")
     bytes_ = rows.select("part", "k", "copy", "raw").groupBy("part").cogroup(asked.groupBy("part")).applyInArrow(
-        _fetch(2 * buckets), "grp bigint, h bigint, k bigint, copy int, start bigint, content binary")
+        _fetch(2 * buckets), "grp bigint, h binary, k binary, copy binary, start binary, size binary, content binary")
     copies = bytes_.groupBy("grp").applyInArrow(_copies(parts), "part int, ranges binary")
     covered = found.where("octet_length(h) = 0").select("part", "ranges").union(copies)
     return rows.select("part", "doc_id", "copy", "raw").groupBy("part").cogroup(covered.groupBy("part")).applyInArrow(
